@@ -56,9 +56,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page table spread over the cores (extraction is CPU-bound)."""
-    return spread(table(spark, sf_dir, "pages"))
+def pages_table(spark: SparkSession, sf_dir: str, name: str = "pages") -> DataFrame:
+    """A page table spread over the cores (extraction is CPU-bound)."""
+    return spread(table(spark, sf_dir, name))
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
