@@ -212,10 +212,8 @@ def url_gate(df: DataFrame, url: str = "url", allow_loopback: bool = False) -> D
     return out.drop("ipv4_blocked")
 
 
-def address_blocked(addr: Column, allow_loopback: bool = False) -> Column:
-    """Blocked state of a resolved address (IPv4 ranges as an expression
-    over the fixed list, or the IPv6 rules)."""
-    ip = ipv4_to_long(addr)
+def ip_in_blocked_ranges(ip: Column, allow_loopback: bool = False) -> Column:
+    """``ip`` (BIGINT column) inside one of the fixed deny ranges."""
     cond = F.lit(False)
     for lo, hi, lb in P.BLOCKED_IPV4_RANGES:
         if allow_loopback and lb:
@@ -225,7 +223,17 @@ def address_blocked(addr: Column, allow_loopback: bool = False) -> Column:
         lo_n = ((a[0] * 256 + a[1]) * 256 + a[2]) * 256 + a[3]
         hi_n = ((b[0] * 256 + b[1]) * 256 + b[2]) * 256 + b[3]
         cond = cond | ip.between(lo_n, hi_n)
-    return F.coalesce(cond, F.lit(False)) | (addr.contains(":") & ipv6_blocked(addr, allow_loopback))
+    return F.coalesce(cond, F.lit(False))
+
+
+def with_address_blocked(df: DataFrame, addr: str, out: str = "blocked", allow_loopback: bool = False) -> DataFrame:
+    """Blocked state of an address column (IPv4 deny ranges or the IPv6
+    rules); the IPv4 value is materialised once, then range-tested."""
+    df = df.withColumn("_ip", ipv4_to_long(F.col(addr)))
+    a = F.col(addr)
+    return df.withColumn(
+        out, ip_in_blocked_ranges(F.col("_ip"), allow_loopback) | (a.contains(":") & ipv6_blocked(a, allow_loopback))
+    ).drop("_ip")
 
 
 def resolved_gate(urls: DataFrame, resolved: DataFrame, url: str = "url", allow_loopback: bool = False) -> DataFrame:
@@ -236,7 +244,7 @@ def resolved_gate(urls: DataFrame, resolved: DataFrame, url: str = "url", allow_
     aggregation) before it meets the URLs, so a host with millions of
     addresses costs one row in the join."""
     per_host = (
-        resolved.select(F.lower("host").alias("host"), address_blocked(F.col("address"), allow_loopback).alias("b"))
+        with_address_blocked(resolved.select(F.lower("host").alias("host"), "address"), "address", "b", allow_loopback)
         .groupBy("host")
         .agg(F.count(F.lit(1)).alias("n_addresses"), F.max(F.col("b").cast("int")).alias("any_blocked"))
     )

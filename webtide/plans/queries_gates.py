@@ -160,15 +160,16 @@ def q_header_response_clean(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-RESOURCE_SUFFIX = (
+def resource_suffix():
+    return (
     F.when(F.col("pos") % 7 == 0, F.lit(".png")).when(F.col("pos") % 7 == 1, F.lit(".MP4"))
     .when(F.col("pos") % 7 == 2, F.lit(".woff2?v=1")).when(F.col("pos") % 7 == 3, F.lit(".css"))
     .when(F.col("pos") % 7 == 4, F.lit(".webm")).otherwise(F.lit(""))
-)
+    )
 
 
 def q_heavy_resources(spark: SparkSession, sf: str) -> DataFrame:
-    links = page_links(pages_table(spark, sf)).withColumn("href", F.concat("href", RESOURCE_SUFFIX))
+    links = page_links(pages_table(spark, sf)).withColumn("href", F.concat("href", resource_suffix()))
     return G.heavy_resources(links).select("page_id", "pos", "href", "resource_class")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["pages"]
+GROUPS = ["pages", "gates", "outcomes"]
 
 
 def all_queries() -> dict:

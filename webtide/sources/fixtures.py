@@ -126,9 +126,9 @@ select event_id, ts,
        when 'click' then '/fetch' when 'error' then '/file?x=1&y=2' else '/health' end as url,
   case event_type when 'error' then (case event_id%3 when 0 then 502 when 1 then 404 else 500 end)
        when 'signup' then 400 else 200 end as status,
-  case when event_id%5=0 then 'Bearer t' || cast(event_id as string) end as authorization,
-  case when event_id%3=0 then 'k' || cast(user_id as string) end as x_api_key,
-  'agent/' || cast(event_id%4 as string) as user_agent
+  case when event_id%5=0 then 'Bearer t' || cast(event_id as string) end as auth_header,
+  case when event_id%3=0 then 'k' || cast(user_id as string) end as api_key_header,
+  'agent/' || cast(event_id%4 as string) as ua_header
 from {events}
 """
 
