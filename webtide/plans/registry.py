@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ["pages", "gates", "outcomes"]
+GROUPS = ["pages", "gates", "outcomes", "streaming"]
 
 
 def all_queries() -> dict:
