@@ -306,3 +306,12 @@ def test_custom_extractor(spark):
                                   "page_id bigint, url string, html string")
     r = extract(pages, StdlibExtractor()).collect()[0]
     assert (r["title"], r["lang"], r["text_words"]) == ("T & U", "de", 3)
+
+
+def test_unicode_blanks(spark):
+    from webtide.functions.text import trim_ws
+
+    vals = ["  a　b ﻿", "﻿", "x  y\n", "", None, "​z"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = [(r[0], r[1]) for r in df.select(trim_ws("v"), word_count("v")).collect()]
+    assert got == [("a　b", 2), ("", 0), ("x  y", 2), ("", 0), (None, 0), ("​z", 1)]

@@ -14,7 +14,7 @@ from .patterns import (
     STRIP_BOILERPLATE_RE,
     meta_patterns,
 )
-from .text import clean_text, trim_ws, word_count
+from .text import clean_text, decode_entities, strip_tags, trim_ws, word_count
 
 
 def _c(x) -> Column:
@@ -62,9 +62,11 @@ def block_array(cleaned_body) -> Column:
         blocks,
         lambda b: F.struct(
             b.alias("html"),
-            word_count(clean_text(b)).cast("int").alias("nw"),
+            # word_count splits on blank runs itself, so the visible text
+            # needs no collapsing before it is counted
+            word_count(decode_entities(strip_tags(b))).cast("int").alias("nw"),
             word_count(
-                clean_text(F.array_join(F.regexp_extract_all(b, F.lit(ANCHOR_TEXT_RE), 1), " "))
+                decode_entities(strip_tags(F.array_join(F.regexp_extract_all(b, F.lit(ANCHOR_TEXT_RE), 1), " ")))
             ).cast("int").alias("lw"),
         ),
     )

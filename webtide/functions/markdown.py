@@ -15,7 +15,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import ENTITIES, WS_EDGES
+from .patterns import ENTITIES
+from .text import trim_ws
 
 _INLINE = r"(?:</?(?:em|i|span|u|s|sub|sup|small|mark|code)\b[^>]*>[^<]*)*"
 _INLINE_NO_EM = r"(?:</?(?:span|u|s|sub|sup|small|mark|code)\b[^>]*>[^<]*)*"
@@ -93,4 +94,4 @@ def to_markdown(html, extra_rules: list[tuple[str, str]] | None = None) -> Colum
     for ent, ch in ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
     c = _fold(c, [COLLAPSE_RULE])
-    return F.regexp_replace(c, WS_EDGES, "")
+    return trim_ws(c)

@@ -12,6 +12,11 @@ WS_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
 WS = WS_CLASS + "+"
+# the same set as characters (for char-set trim / translate, no regex)
+WS_CODEPOINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680] + list(range(0x2000, 0x200B)) + [
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
+]
+WS_CHARS = "".join(chr(c) for c in WS_CODEPOINTS)
 WS_EDGES = "^" + WS + "|" + WS + "$"
 # ASCII blanks used inside tag patterns
 SP = r"[ \t\n\r\f]"

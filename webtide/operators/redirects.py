@@ -1,9 +1,10 @@
 """Redirect resolution over an edge table.
 
-Each round joins only the still-moving rows with the edge table (one equi
-join on the current URL), so the work is bounded by the live frontier and
-by ``max_redirects + 1`` rounds — cycles end at the bound. Every URL on the
-chain is re-gated (scheme, IPv4/IPv6 literal) before its edge is followed.
+The gate (scheme, IPv4 / IPv6 literal) and the relative-location resolution
+depend only on the URLs, so both are computed once per edge and once per
+start URL in narrow passes. Each round is then a plain equi-join of the
+live frontier with the prepared edges — the frontier shrinks every round,
+and cycles end at the ``max_redirects + 1`` bound.
 """
 
 from __future__ import annotations
@@ -31,36 +32,46 @@ def with_hop_gate(df: DataFrame, url: str, out: str = "_gate") -> DataFrame:
     ).drop("_host", "_blk")
 
 
+def prepare_edges(edges: DataFrame, src: str = "src_url", location: str = "location") -> DataFrame:
+    """(from, next URL, gate of next URL): one narrow pass over the edges."""
+    e = edges.select(F.col(src).alias("_from"), resolve_url(F.col(src), F.col(location)).alias("_next"))
+    return with_hop_gate(e, "_next", "_next_gate")
+
+
 def resolve_redirects(starts: DataFrame, edges: DataFrame, max_redirects: int = DEFAULTS.max_redirects,
                       key: str = "page_id", url: str = "url", src: str = "src_url", location: str = "location",
-                      checkpoint_every: int = 1) -> DataFrame:
+                      checkpoint_every: int = 0) -> DataFrame:
     """(key, final_url, hops, error_message): follow ``location`` edges
     (relative locations resolve against the current URL) until a URL has no
     edge. A redirect seen after ``max_redirects`` hops fails with 'Too many
-    redirects'; a gated URL fails with the gate message."""
-    e = edges.select(F.col(src).alias("_from"), F.col(location).alias("_loc"))
-    cur = starts.select(F.col(key), F.col(url).alias("_cur"), F.lit(0).alias("hops"))
-    # each round's frontier is checkpointed (shared checkpoint folder): the
-    # plan stays one round deep, and a lost executor recomputes one round
+    redirects'; a gated URL fails with the gate message.
+
+    ``checkpoint_every=k`` writes the frontier to the shared checkpoint
+    folder every k rounds (long chains on a large cluster: bounded lineage
+    and recovery from lost executors)."""
+    # Both prepared inputs are written once to the shared checkpoint folder:
+    # the rounds then filter and join plain columns (Spark would otherwise
+    # push each round's filters through the gate projections and copy the
+    # gate expression into every round).
+    e = cut_lineage(prepare_edges(edges, src, location))
+    cur = cut_lineage(
+        with_hop_gate(starts.select(F.col(key), F.col(url).alias("_cur")), "_cur").withColumn("hops", F.lit(0))
+    )
     done: list[DataFrame] = []
     for i in range(max_redirects + 1):
-        g = with_hop_gate(cur, "_cur")
-        if checkpoint_every and i % checkpoint_every == 0:
-            # materialise the gated frontier: the plan stays one round deep and
-            # the filters below read a plain column instead of having the gate
-            # expression pushed (and copied) into them
-            g = cut_lineage(g)
-        j = g.join(e, g["_cur"] == e["_from"], "left")
-        finished = j.where(F.col("_gate").isNotNull() | F.col("_loc").isNull() | (F.col("hops") >= max_redirects))
+        if checkpoint_every and i > 0 and i % checkpoint_every == 0:
+            cur = cut_lineage(cur)
+        j = cur.join(e, cur["_cur"] == e["_from"], "left")
+        finished = j.where(F.col("_gate").isNotNull() | F.col("_from").isNull() | (F.col("hops") >= max_redirects))
         done.append(
             finished.select(
                 key,
-                F.when(F.col("_gate").isNull() & F.col("_loc").isNull(), F.col("_cur")).alias("final_url"),
+                F.when(F.col("_gate").isNull() & F.col("_from").isNull(), F.col("_cur")).alias("final_url"),
                 F.col("hops").cast("int").alias("hops"),
-                F.coalesce(F.col("_gate"), F.when(F.col("_loc").isNotNull(), F.lit(TOO_MANY))).alias("error_message"),
+                F.coalesce(F.col("_gate"), F.when(F.col("_from").isNotNull(), F.lit(TOO_MANY))).alias("error_message"),
             )
         )
-        cur = j.where(F.col("_gate").isNull() & F.col("_loc").isNotNull() & (F.col("hops") < max_redirects)).select(
-            key, resolve_url(F.col("_cur"), F.col("_loc")).alias("_cur"), (F.col("hops") + 1).alias("hops")
+        cur = j.where(F.col("_gate").isNull() & F.col("_from").isNotNull() & (F.col("hops") < max_redirects)).select(
+            key, F.col("_next").alias("_cur"), F.col("_next_gate").alias("_gate"), (F.col("hops") + 1).alias("hops")
         )
     return reduce(DataFrame.unionByName, done)
