@@ -315,3 +315,17 @@ def test_unicode_blanks(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     got = [(r[0], r[1]) for r in df.select(trim_ws("v"), word_count("v")).collect()]
     assert got == [("a　b", 2), ("", 0), ("x  y", 2), ("", 0), (None, 0), ("​z", 1)]
+
+
+def test_balanced_row_number(spark):
+    from pyspark.sql import Window
+
+    from webtide.plans.sequence import row_number_by_key
+
+    # one hot key with most of the rows, plus small keys
+    df = spark.range(0, 5000).selectExpr(
+        "case when id % 10 < 7 then 0 else id % 13 end as k", "cast(id * 7919 % 5003 as bigint) as t", "id")
+    got = row_number_by_key(df, "k", ["t", "id"], "rn", balanced=True)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")))
+    assert got.count() == 5000
+    assert got.select("id", "rn").subtract(ref.select("id", "rn")).count() == 0

@@ -38,15 +38,16 @@ def build_articles(
         extra_markdown_rules=extra_markdown_rules,
     )
     if requests is None:
-        req = ext.select(
+        # one default request per page: no join at all
+        df = ext.select(
             F.col("page_id").alias("req_id"),
-            "url",
+            "*",
             F.lit(cfg.default_page_mode).alias("mode"),
             F.lit(False).alias("raw_body"),
         )
     else:
         req = page_request_defaults(requests, cfg).select("req_id", "url", "mode", "raw_body")
-    df = join_maybe_broadcast(req, ext, on="url", how="left")
+        df = join_maybe_broadcast(req, ext, on="url", how="left")
     df = df.withColumn(
         "body", select_body(F.col("raw_body"), F.col("content_html"), F.col("markdown"))
     )
