@@ -329,3 +329,15 @@ def test_balanced_row_number(spark):
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")))
     assert got.count() == 5000
     assert got.select("id", "rn").subtract(ref.select("id", "rn")).count() == 0
+
+
+def test_read_requests(spark, tmp_path):
+    from webtide.sources.readers import read_requests
+
+    p = str(tmp_path / "req.json")
+    with open(p, "w") as f:
+        f.write('{"req_id": 1, "url": "https://a.b/", "mode": "", "task_timeout_secs": 0, "block_list": " x.com, ,y.com"}\n')
+        f.write('{"req_id": 2, "url": "https://a.b/", "mode": "playwright", "raw_body": true}\n')
+    r = {x["req_id"]: x for x in read_requests(spark, p, "page", fmt="json").collect()}
+    assert (r[1]["mode"], r[1]["task_timeout_secs"], r[1]["raw_body"], r[1]["block_list"]) == ("extractor", 60, False, ["x.com", "y.com"])
+    assert (r[2]["mode"], r[2]["raw_body"]) == ("playwright", True)

@@ -58,9 +58,15 @@ def in_flight(spans: DataFrame, start: str = "start_us", end: str = "end_us", bu
     bucket first (partial aggregation), then a running sum over the bucket
     rows only; clamped so the count never goes below 0."""
     us = bucket_seconds * 1_000_000
-    ev = spans.select(F.floor(F.col(start) / us).alias("bucket"), F.lit(1).alias("d")).unionByName(
-        spans.select(F.floor(F.col(end) / us).alias("bucket"), F.lit(-1).alias("d"))
-    )
+    # both events of a span from one pass over the spans
+    ev = spans.select(
+        F.explode(
+            F.array(
+                F.struct(F.floor(F.col(start) / us).alias("bucket"), F.lit(1).alias("d")),
+                F.struct(F.floor(F.col(end) / us).alias("bucket"), F.lit(-1).alias("d")),
+            )
+        ).alias("e")
+    ).select("e.bucket", "e.d")
     per = ev.groupBy("bucket").agg(F.sum("d").cast("bigint").alias("delta"))
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = per.withColumn("_s", F.sum("delta").over(w)).withColumn("_m", F.min("_s").over(w))

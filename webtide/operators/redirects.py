@@ -40,15 +40,16 @@ def prepare_edges(edges: DataFrame, src: str = "src_url", location: str = "locat
 
 def resolve_redirects(starts: DataFrame, edges: DataFrame, max_redirects: int = DEFAULTS.max_redirects,
                       key: str = "page_id", url: str = "url", src: str = "src_url", location: str = "location",
-                      checkpoint_every: int = 0) -> DataFrame:
+                      checkpoint_every: int = 1) -> DataFrame:
     """(key, final_url, hops, error_message): follow ``location`` edges
     (relative locations resolve against the current URL) until a URL has no
     edge. A redirect seen after ``max_redirects`` hops fails with 'Too many
     redirects'; a gated URL fails with the gate message.
 
-    ``checkpoint_every=k`` writes the frontier to the shared checkpoint
-    folder every k rounds (long chains on a large cluster: bounded lineage
-    and recovery from lost executors)."""
+    ``checkpoint_every=k`` writes the round's frontier to the shared
+    checkpoint folder every k rounds (default every round: each round is
+    one join over live rows, lineage stays bounded, a lost executor costs
+    one round)."""
     # Both prepared inputs are written once to the shared checkpoint folder:
     # the rounds then filter and join plain columns (Spark would otherwise
     # push each round's filters through the gate projections and copy the
@@ -59,9 +60,12 @@ def resolve_redirects(starts: DataFrame, edges: DataFrame, max_redirects: int =
     )
     done: list[DataFrame] = []
     for i in range(max_redirects + 1):
-        if checkpoint_every and i > 0 and i % checkpoint_every == 0:
-            cur = cut_lineage(cur)
         j = cur.join(e, cur["_cur"] == e["_from"], "left")
+        if checkpoint_every and (i + 1) % checkpoint_every == 0:
+            # the round's rows (live frontier only) are written once; the
+            # finished rows and the next frontier both read them, so no
+            # round is ever recomputed and the plan stays one round deep
+            j = cut_lineage(j)
         finished = j.where(F.col("_gate").isNotNull() | F.col("_from").isNull() | (F.col("hops") >= max_redirects))
         done.append(
             finished.select(
@@ -74,4 +78,6 @@ def resolve_redirects(starts: DataFrame, edges: DataFrame, max_redirects: int =
         cur = j.where(F.col("_gate").isNull() & F.col("_from").isNotNull() & (F.col("hops") < max_redirects)).select(
             key, F.col("_next").alias("_cur"), F.col("_next_gate").alias("_gate"), (F.col("hops") + 1).alias("hops")
         )
+        if checkpoint_every and (i + 1) % checkpoint_every == 0 and cur.isEmpty():
+            break  # no chain is still moving (the round's rows are already materialised)
     return reduce(DataFrame.unionByName, done)

@@ -91,3 +91,22 @@ def scan_objects_within_cap(spark: SparkSession, glob: str, service_cap: int = D
     return spark.read.format("binaryFile").load(glob).where(F.col("length") <= cap).select(
         "path", "length", "content"
     )
+
+
+REQUEST_SCHEMAS = {
+    "page": "req_id bigint, url string, mode string, task_timeout_secs int, raw_body boolean, block_list string",
+    "fetch": "req_id bigint, url string, engine string, timeout_secs int, locale string, timezone_id string, debug boolean",
+    "file": "req_id bigint, url string, mode string, timeout_secs int, max_bytes bigint, headers map<string,string>",
+}
+
+
+def read_requests(spark: SparkSession, path: str, kind: str = "page", cfg: Limits = DEFAULTS,
+                  fmt: str = "parquet") -> DataFrame:
+    """A2: request table of one kind with a declared schema (no inference)
+    and the service defaults filled in."""
+    df = spark.read.schema(REQUEST_SCHEMAS[kind]).format(fmt).load(path)
+    if kind == "page":
+        return page_request_defaults(df, cfg)
+    if kind == "fetch":
+        return fetch_request_defaults(df, cfg)
+    return file_request_defaults(df, cfg)
