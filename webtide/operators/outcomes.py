@@ -235,8 +235,13 @@ def classify_attempts(log: DataFrame, cfg: Limits = DEFAULTS) -> DataFrame:
 # --- D8–D11 windows over attempts ---------------------------------------------------------------
 
 
-def attempt_window(req: str = "req_id", order=("ts", "event_id")) -> Window:
-    return Window.partitionBy(req).orderBy(*order)
+def _keys(req) -> list[str]:
+    return [req] if isinstance(req, str) else list(req)
+
+
+def attempt_window(req="req_id", order=("ts", "event_id")) -> Window:
+    """``req`` is a column name or a list of names (a composite key)."""
+    return Window.partitionBy(*_keys(req)).orderBy(*order)
 
 
 def number_attempts(log: DataFrame, req: str = "req_id", order=("ts", "event_id")) -> DataFrame:
@@ -273,14 +278,14 @@ def deadline_budget(log: DataFrame, timeout_secs: Column | int = DEFAULTS.fetch_
 
 
 def attempt_chain(log: DataFrame, cfg: Limits = DEFAULTS, jitter: bool = True,
-                  timeout_secs: Column | int = DEFAULTS.fetch_timeout_secs) -> DataFrame:
+                  timeout_secs: Column | int = DEFAULTS.fetch_timeout_secs, req="req_id") -> DataFrame:
     """D8 → classify → D9 → D7 → D11 over one shared window spec, then a
     deadline hit turns the attempt into a 'Timeout' error."""
-    df = number_attempts(log)
+    df = number_attempts(log, req)
     df = classify_attempts(df, cfg)
-    df = running_block_flag(df)
-    df = wait_profile(df, cfg, jitter)
-    df = deadline_budget(df, timeout_secs)
+    df = running_block_flag(df, req=req)
+    df = wait_profile(df, cfg, jitter, req=_keys(req)[0])
+    df = deadline_budget(df, timeout_secs, req=req)
     hit = F.col("deadline_hit")
     fe = fetch_error_code(F.lit("Timeout"), F.lit(None).cast("int"))
     # the attempt never starts: no status, no duration, no anti-bot signal
@@ -298,23 +303,24 @@ def attempt_chain(log: DataFrame, cfg: Limits = DEFAULTS, jitter: bool = True,
 
 
 def final_outcome(log: DataFrame, cfg: Limits = DEFAULTS, jitter: bool = True,
-                  timeout_secs: Column | int = DEFAULTS.fetch_timeout_secs) -> DataFrame:
+                  timeout_secs: Column | int = DEFAULTS.fetch_timeout_secs, req="req_id") -> DataFrame:
     """One row per request: attempts up to the first terminal one (success,
     non-retryable error, deadline, or attempt = max) are kept; reports
     attempts, sticky anti-bot flag, last status, outcome and error fields,
     total wait and duration."""
     max_a = max(1, cfg.max_attempts)
-    df = attempt_chain(log, cfg, jitter, timeout_secs)
+    df = attempt_chain(log, cfg, jitter, timeout_secs, req)
     terminal = (
         F.col("error_message").isNull() | ~F.col("retry") | (F.col("attempt_no") >= max_a)
     ).cast("int")
-    w = attempt_window().rowsBetween(Window.unboundedPreceding, -1)
+    w = attempt_window(req).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_prior", F.coalesce(F.sum(terminal).over(w), F.lit(0))).where(F.col("_prior") == 0)
     last = F.struct(
         F.col("attempt_no"), F.col("deadline_hit"), F.col("status"), F.col("error_message"), F.col("error_code"),
         F.col("error_http"), F.col("error_retryable"), F.col("err_status"), F.col("engine"),
     )
-    g = df.groupBy("req_id").agg(
+    keys = _keys(req)
+    g = df.groupBy(*keys).agg(
         F.max_by(last, F.col("attempt_no")).alias("l"),
         F.max(F.col("antibot").cast("int")).alias("_ab"),
         F.sum("dur_ms").alias("duration_ms"),
@@ -322,8 +328,8 @@ def final_outcome(log: DataFrame, cfg: Limits = DEFAULTS, jitter: bool = True,
         F.max_by(F.coalesce("wait_ms", F.lit(0.0)), F.col("attempt_no")).alias("_wait_last"),
     )
     return g.select(
-        "req_id",
-        F.col("l.engine").alias("engine"),
+        *keys,
+        *([] if "engine" in keys else [F.col("l.engine").alias("engine")]),
         (F.col("l.attempt_no") - F.col("l.deadline_hit").cast("int")).cast("int").alias("attempts"),
         (F.col("_ab") == 1).alias("was_antibot"),
         F.when(F.col("l.error_message").isNull(), F.when(F.col("l.status") != 0, F.col("l.status")))

@@ -30,6 +30,9 @@ def q_stream_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    from ..session import utc
+
+    utc(spark)
     d = J.run_dir(spark, "outcomes")
     ev = (spark.readStream.schema(J.EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
           .option("maxFilesPerTrigger", 1).parquet(sf))

@@ -28,6 +28,14 @@ def local_session(cores: int | str = "*", app: str = "webtide") -> SparkSession:
     return spark
 
 
+def utc(spark: SparkSession) -> None:
+    """Event times in this engine are UTC wall times (HTTP dates are GMT,
+    log timestamps are stored without zone); pin the session zone so the
+    NTZ → TIMESTAMP casts and epoch arithmetic mean the same everywhere."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared ``spark.checkpoint.dir``; only when it is unset
     (local tests) a fresh scratch folder is used."""

@@ -244,6 +244,9 @@ class Fixtures:
     """Spark DataFrames of the derived views for one data directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        from ..session import utc
+
+        utc(spark)
         self.spark = spark
         self.sf_dir = sf_dir
 
