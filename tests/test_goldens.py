@@ -341,3 +341,13 @@ def test_read_requests(spark, tmp_path):
     r = {x["req_id"]: x for x in read_requests(spark, p, "page", fmt="json").collect()}
     assert (r[1]["mode"], r[1]["task_timeout_secs"], r[1]["raw_body"], r[1]["block_list"]) == ("extractor", 60, False, ["x.com", "y.com"])
     assert (r[2]["mode"], r[2]["raw_body"]) == ("playwright", True)
+
+
+def test_continue_on_fail_stop_raises(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, None), (2, "boom")], "item_index int, error_message string")
+    out = O.continue_on_fail(df, "continue").collect()
+    assert [r["json"] for r in out] == ['{}', '{"error":"boom"}']
+    with pytest.raises(Exception):
+        O.continue_on_fail(df, "stop").collect()

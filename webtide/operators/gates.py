@@ -173,17 +173,24 @@ def blocked_ranges(spark: SparkSession, ranges=None) -> DataFrame:
 
 
 def ipv4_block(df: DataFrame, host: str = "host", allow_loopback: bool = False, ranges: DataFrame | None = None) -> DataFrame:
-    """Adds ``ip`` (BIGINT) and ``ipv4_blocked``: the host is an IPv4
-    literal inside a deny range. Broadcast range join against the small
-    deny table (non-overlapping ranges, so no row is duplicated)."""
+    """Adds ``ip`` (BIGINT), ``ipv4_blocked`` (under ``allow_loopback``)
+    and ``ipv4_blocked_strict`` / ``ipv4_blocked_loopback_ok`` (both
+    settings from the same join): the host is an IPv4 literal inside a deny
+    range. Broadcast range join against the small deny table; ranges do not
+    overlap, so no row is duplicated."""
     spark = df.sparkSession
     rng = ranges if ranges is not None else blocked_ranges(spark)
-    if allow_loopback:
-        rng = rng.where(~F.col("loopback"))
-    rng = rng.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    rng = rng.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("loopback").alias("_lb"))
     withip = df.withColumn("ip", ipv4_to_long(strip_brackets(F.col(host))))
     joined = withip.join(F.broadcast(rng), (F.col("ip") >= F.col("_lo")) & (F.col("ip") <= F.col("_hi")), "left")
-    return joined.withColumn("ipv4_blocked", F.col("_lo").isNotNull()).drop("_lo", "_hi")
+    strict = F.col("_lo").isNotNull()
+    loose = strict & ~F.col("_lb")
+    return (
+        joined.withColumn("ipv4_blocked_strict", strict)
+        .withColumn("ipv4_blocked_loopback_ok", loose)
+        .withColumn("ipv4_blocked", loose if allow_loopback else strict)
+        .drop("_lo", "_hi", "_lb")
+    )
 
 
 def ipv6_blocked(host: Column, allow_loopback: bool = False) -> Column:
@@ -201,7 +208,7 @@ def url_gate(df: DataFrame, url: str = "url", allow_loopback: bool = False) -> D
     """B7 → B8 → B9 on literal hosts: adds host and ``gate_message``."""
     parts = url_parts(F.col(url))
     out = df.withColumn("host", parts["host"])
-    out = ipv4_block(out, "host", allow_loopback)
+    out = ipv4_block(out, "host", allow_loopback).drop("ipv4_blocked_strict", "ipv4_blocked_loopback_ok")
     out = out.withColumn(
         "gate_message",
         F.coalesce(

@@ -395,9 +395,10 @@ def continue_on_fail(df: DataFrame, on_error: str = "continue", error: str = "er
     first failed row (raise_error inside the task)."""
     failed = F.col(error).isNotNull()
     if on_error == "stop":
-        return df.withColumn(
-            "_chk", F.when(failed, F.raise_error(F.concat(F.lit("item failed: "), F.col(error))))
-        ).drop("_chk")
+        # a predicate is evaluated for every row (a dropped column would be
+        # pruned away), so the first failed row fails the task and the job
+        check = F.when(failed, F.raise_error(F.concat(F.lit("item failed: "), F.col(error)))).otherwise(F.lit(True))
+        return df.where(check)
     return df.withColumn(
         "json",
         F.when(failed, F.to_json(F.struct(F.col(error).alias("error")))).otherwise(
