@@ -351,3 +351,34 @@ def test_continue_on_fail_stop_raises(spark):
     assert [r["json"] for r in out] == ['{}', '{"error":"boom"}']
     with pytest.raises(Exception):
         O.continue_on_fail(df, "stop").collect()
+
+
+def test_tracker_large_list_paths(spark):
+    from conftest import SF_SMALL
+    from webtide.plans.queries_gates import tracker_inputs
+
+    links, bl = tracker_inputs(spark, SF_SMALL)
+    small = {tuple(r) for r in G.tracker_antijoin(links, bl).select("page_id", "pos").collect()}
+    big_key = {tuple(r) for r in G.tracker_antijoin(links, bl, max_rows=0, key=["page_id", "pos"]).select("page_id", "pos").collect()}
+    big_id = {tuple(r) for r in G.tracker_antijoin(links, bl, max_rows=0).select("page_id", "pos").collect()}
+    assert small and small == big_key == big_id
+
+
+def test_parsed_date(spark):
+    html = '<html><head><meta property="article:published_time" content="2025-11-17T00:31:57+0300"></head><body><article><p>x</p></article></body></html>'
+    pages = spark.createDataFrame([(1, "https://ex.com/p", html)], "page_id bigint, url string, html string")
+    r = build_articles(pages, parse_dates=True).collect()[0]
+    assert r["date"] == "2025-11-17T00:31:57+0300"
+    assert r["date_ts"] == dt.datetime(2025, 11, 16, 21, 31, 57)
+
+
+def test_redirect_resolved_gate(spark):
+    starts = spark.createDataFrame([(1, "http://a.example/x"), (2, "http://c.example/x")], "page_id bigint, url string")
+    edges = spark.createDataFrame([("http://a.example/x", "http://b.example/y"), ("http://c.example/x", "/z")],
+                                  "src_url string, location string")
+    resolved = spark.createDataFrame([("a.example", "93.184.216.34"), ("b.example", "10.1.2.3"), ("c.example", "93.184.216.35")],
+                                     "host string, address string")
+    got = {r["page_id"]: (r["final_url"], r["hops"], r["error_message"])
+           for r in resolve_redirects(starts, edges, resolved=resolved).collect()}
+    assert got[1] == (None, 1, "SSRF blocked")
+    assert got[2] == ("http://c.example/z", 1, None)

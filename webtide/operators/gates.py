@@ -441,12 +441,15 @@ def heavy_resources(links: DataFrame, url: str = "href") -> DataFrame:
 
 
 def tracker_antijoin(links: DataFrame, blocklist: DataFrame, host: str = "host",
-                     domain: str = "domain", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                     domain: str = "domain", max_rows: int = BROADCAST_MAX_ROWS,
+                     key: list[str] | None = None) -> DataFrame:
     """Drop rows whose host or any parent domain is in ``blocklist``.
 
     Small list (bounded count): one broadcast hash anti-join per suffix
     depth, all narrow — the links never shuffle. Large list: explode the
-    suffixes, semi-join, and anti-join on a row key (shuffles)."""
+    suffixes, semi-join, and anti-join on the row key ``key`` (shuffles);
+    without a key the rows get an id on a checkpointed copy, so both uses
+    of the id see the same rows."""
     bl = blocklist.select(F.lower(F.col(domain)).alias("_d")).distinct()
     h = F.lower(F.col(host))
     if has_at_most(bl, max_rows):
@@ -459,7 +462,12 @@ def tracker_antijoin(links: DataFrame, blocklist: DataFrame, host: str = "host",
                 b, F.col("_k") == F.col("_d"), "left_anti"
             )
         return out.drop("_sfx", "_k")
-    keyed = links.withColumn("_row", F.monotonically_increasing_id())
+    if key:
+        hits = links.select(*key, F.explode(host_suffixes(h)).alias("_d")).join(bl, "_d", "left_semi").select(*key)
+        return links.join(hits.distinct(), key, "left_anti")
+    from ..session import cut_lineage
+
+    keyed = cut_lineage(links.withColumn("_row", F.monotonically_increasing_id()))
     hits = keyed.select("_row", F.explode(host_suffixes(h)).alias("_d")).join(bl, "_d", "left_semi").select("_row")
     return keyed.join(hits, "_row", "left_anti").drop("_row")
 

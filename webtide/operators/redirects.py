@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions.urls import resolve_url, strip_brackets, url_parts
 from ..session import cut_lineage
-from .gates import scheme_gate_message, with_address_blocked
+from .gates import resolved_gate, scheme_gate_message, with_address_blocked
 
 TOO_MANY = "Too many redirects"
 
@@ -32,19 +32,31 @@ def with_hop_gate(df: DataFrame, url: str, out: str = "_gate") -> DataFrame:
     ).drop("_host", "_blk")
 
 
-def prepare_edges(edges: DataFrame, src: str = "src_url", location: str = "location") -> DataFrame:
-    """(from, next URL, gate of next URL): one narrow pass over the edges."""
+def with_full_gate(df: DataFrame, url: str, out: str, resolved: DataFrame | None) -> DataFrame:
+    """Literal-host gates (B7–B9), then — when a (host, address) table is
+    given — the resolved-address gate (B10) for hostnames."""
+    g = with_hop_gate(df, url, out)
+    if resolved is None:
+        return g
+    r = resolved_gate(g, resolved, url=url).drop("n_addresses", "host")
+    return r.withColumn(out, F.coalesce(F.col(out), F.col("resolve_message"))).drop("resolve_message")
+
+
+def prepare_edges(edges: DataFrame, src: str = "src_url", location: str = "location",
+                  resolved: DataFrame | None = None) -> DataFrame:
+    """(from, next URL, gate of next URL): one pass over the edges."""
     e = edges.select(F.col(src).alias("_from"), resolve_url(F.col(src), F.col(location)).alias("_next"))
-    return with_hop_gate(e, "_next", "_next_gate")
+    return with_full_gate(e, "_next", "_next_gate", resolved)
 
 
 def resolve_redirects(starts: DataFrame, edges: DataFrame, max_redirects: int = DEFAULTS.max_redirects,
                       key: str = "page_id", url: str = "url", src: str = "src_url", location: str = "location",
-                      checkpoint_every: int = 1) -> DataFrame:
+                      checkpoint_every: int = 1, resolved: DataFrame | None = None) -> DataFrame:
     """(key, final_url, hops, error_message): follow ``location`` edges
     (relative locations resolve against the current URL) until a URL has no
     edge. A redirect seen after ``max_redirects`` hops fails with 'Too many
-    redirects'; a gated URL fails with the gate message.
+    redirects'; a gated URL fails with the gate message. With ``resolved``
+    (host, address) every hop also passes the resolved-address gate.
 
     ``checkpoint_every=k`` writes the round's frontier to the shared
     checkpoint folder every k rounds (default every round: each round is
@@ -54,9 +66,10 @@ def resolve_redirects(starts: DataFrame, edges: DataFrame, max_redirects: int =
     # the rounds then filter and join plain columns (Spark would otherwise
     # push each round's filters through the gate projections and copy the
     # gate expression into every round).
-    e = cut_lineage(prepare_edges(edges, src, location))
+    e = cut_lineage(prepare_edges(edges, src, location, resolved))
     cur = cut_lineage(
-        with_hop_gate(starts.select(F.col(key), F.col(url).alias("_cur")), "_cur").withColumn("hops", F.lit(0))
+        with_full_gate(starts.select(F.col(key), F.col(url).alias("_cur")), "_cur", "_gate", resolved)
+        .withColumn("hops", F.lit(0))
     )
     done: list[DataFrame] = []
     for i in range(max_redirects + 1):

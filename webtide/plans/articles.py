@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Limits
-from ..operators.extraction import extract_pages, extraction_policy, reading_figures, select_body
+from ..operators.extraction import extract_pages, extraction_policy, parsed_date_col, reading_figures, select_body
 from ..operators.outcomes import page_error_code
 from ..operators.gates import scheme_gate_message
 from ..sources.readers import page_request_defaults
@@ -27,10 +27,12 @@ def build_articles(
     prefer_article: bool = True,
     gate_urls: bool = True,
     extra_markdown_rules=None,
+    parse_dates: bool = False,
 ) -> DataFrame:
     """Flat article rows (the nested response of one page request, one row
     per request). Without ``requests`` every page is requested once in the
-    default mode."""
+    default mode. ``parse_dates`` adds ``date_ts`` beside the opaque date
+    string."""
     ext = extract_pages(
         pages.select("page_id", "url", "html"),
         prefer_article=prefer_article,
@@ -62,6 +64,7 @@ def build_articles(
     )
     failed = F.col("error_message").isNotNull()
     fields = ["title", "description", "date", "author", "image", "favicon", "type", "source", "lang"]
+    extra = [F.when(~failed, parsed_date_col(F.col("date"))).alias("date_ts")] if parse_dates else []
     return df.select(
         "req_id",
         "page_id",
@@ -76,6 +79,7 @@ def build_articles(
         F.when(~failed, F.col("n_links")).alias("n_links"),
         F.col("error_code").cast("int").alias("error_code"),
         "error_message",
+        *extra,
     )
 
 
