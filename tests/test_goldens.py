@@ -382,3 +382,40 @@ def test_redirect_resolved_gate(spark):
            for r in resolve_redirects(starts, edges, resolved=resolved).collect()}
     assert got[1] == (None, 1, "SSRF blocked")
     assert got[2] == ("http://c.example/z", 1, None)
+
+
+def test_size_cap_pushdown(spark, tmp_path):
+    p = str(tmp_path / "pages")
+    spark.createDataFrame([(1, "a" * 10), (2, "b" * 5000)], "page_id bigint, html string") \
+        .withColumn("n_bytes", F.octet_length("html").cast("bigint")).write.parquet(p)
+    df = G.within_size_cap(spark.read.parquet(p), "n_bytes", 4096)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "LessThanOrEqual(n_bytes,4096)" in plan
+    assert [r["page_id"] for r in df.collect()] == [1]
+    g = G.size_gate(spark.read.parquet(p), 4096, stored_length="n_bytes")
+    assert {r["page_id"]: r["size_message"] for r in g.collect()} == {1: None, 2: "Response too large"}
+
+
+def test_stream_outcomes_drops_late_rows(spark, tmp_path):
+    """Rows behind the watermark (max event time − delay) are dropped."""
+    from webtide.streaming.jobs import stream_outcomes
+
+    src = str(tmp_path / "src")
+    base = dt.datetime(2024, 1, 1, 0, 0, 0)
+    cols = "req_id bigint, event_id bigint, ts timestamp, engine string, status int, err_msg string, content_type string, retry_after string, dur_ms bigint"
+
+    def batch(rows, name):
+        spark.createDataFrame(rows, cols).write.mode("append").parquet(src + "/" + name)
+
+    batch([(1, 1, base, "http", 200, None, None, None, 10), (2, 2, base + dt.timedelta(hours=5), "http", 200, None, None, None, 10)], "b1")
+    schema = spark.read.parquet(src + "/b1").schema
+    batch([(3, 3, base + dt.timedelta(minutes=30), "http", 200, None, None, None, 10)], "b2")  # late after b1
+    batch([(4, 4, base + dt.timedelta(hours=9), "http", 200, None, None, None, 10)], "b3")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    q = stream_outcomes(s, window="1 hour", delay="2 hours").writeStream.format("parquet") \
+        .option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = {(r["window_start"], r["attempts"]) for r in spark.read.parquet(out).collect()}
+    assert (base, 1) in rows  # the 00:00 window holds only the on-time row
+    assert (base, 2) not in rows

@@ -1,0 +1,10 @@
+"""webtide — web-page corpora and fetch logs as Spark DataFrame operators.
+
+Subpackages: ``functions`` (column functions), ``sources`` (readers, sinks,
+derived fixture views), ``operators`` (gates, extraction, outcomes,
+redirects, logs, chunks, extension hook), ``plans`` (composed jobs and the
+query registry), ``streaming`` (Structured Streaming jobs), ``oracle``
+(DuckDB twins of the SQL-expressible queries).
+"""
+
+__version__ = "0.1.0"

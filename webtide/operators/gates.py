@@ -299,19 +299,30 @@ def declared_length(v: Column) -> Column:
     return F.when(t.rlike(NUMERIC_RE), t.cast("double")).when(t == "", F.lit(0.0))
 
 
-def size_message(declared: Column, body: Column, max_bytes: int | Column) -> Column:
+def size_message(declared: Column, body: Column, max_bytes: int | Column, body_bytes: Column | None = None) -> Column:
     """Declared length over the cap rejects; else the UTF-8 byte length of
-    the body over the cap rejects. Strictly greater: equal passes."""
+    the body over the cap rejects. Strictly greater: equal passes. A stored
+    byte length (``body_bytes``) replaces ``octet_length`` when given."""
     cap = max_bytes if isinstance(max_bytes, Column) else F.lit(int(max_bytes))
-    return F.when(
-        (declared_length(declared) > cap) | (F.octet_length(body) > cap), F.lit("Response too large")
-    )
+    n = body_bytes if body_bytes is not None else F.octet_length(body)
+    return F.when((declared_length(declared) > cap) | (n > cap), F.lit("Response too large"))
 
 
 def size_gate(df: DataFrame, max_bytes: int = DEFAULTS.max_response_bytes,
-              declared: str = "declared_length", body: str = "html") -> DataFrame:
+              declared: str = "declared_length", body: str = "html", stored_length: str | None = None) -> DataFrame:
+    """Adds ``size_message``. With ``stored_length`` (a column holding the
+    body's byte length, e.g. written next to the html) the test reads that
+    column, so a later ``size_message IS NULL`` filter on a stored length
+    can be pushed into the Parquet scan."""
     d = F.col(declared) if declared in df.columns else F.lit(None).cast("string")
-    return df.withColumn("size_message", size_message(d, F.col(body), max_bytes))
+    n = F.col(stored_length) if stored_length else None
+    return df.withColumn("size_message", size_message(d, F.col(body), max_bytes, n))
+
+
+def within_size_cap(df: DataFrame, stored_length: str, max_bytes: int = DEFAULTS.max_response_bytes) -> DataFrame:
+    """Rows whose stored byte length fits the cap, as a plain comparison the
+    Parquet reader evaluates against row-group statistics."""
+    return df.where(F.col(stored_length) <= F.lit(int(max_bytes)))
 
 
 def status_class(status: Column, location: Column) -> Column:
