@@ -419,3 +419,19 @@ def test_stream_outcomes_drops_late_rows(spark, tmp_path):
     rows = {(r["window_start"], r["attempts"]) for r in spark.read.parquet(out).collect()}
     assert (base, 1) in rows  # the 00:00 window holds only the on-time row
     assert (base, 2) not in rows
+
+
+def test_merge_fallback_one_pass_equals_join(spark):
+    from conftest import SF_SMALL
+    from webtide.sources.fixtures import Fixtures
+
+    log = Fixtures(spark, SF_SMALL).fetch_log()
+    both = O.final_outcome(log, DEFAULTS, jitter=False, req=["req_id", "engine"])
+    one = O.merge_fallback_by_engine(both)
+    http = O.final_outcome(log.where("engine = 'http'"), DEFAULTS, jitter=False)
+    rend = O.final_outcome(log.where("engine = 'playwright'"), DEFAULTS, jitter=False)
+    two = O.merge_fallback(http, rend)
+    cols = ["req_id", "mode_used", "outcome", "status_code", "error_code", "attempts"]
+    a = {tuple(r) for r in one.select(*cols).collect()}
+    b = {tuple(r) for r in two.select(*cols).collect()}
+    assert a and a == b

@@ -364,6 +364,26 @@ def merge_fallback(http: DataFrame, rendered: DataFrame, key: str = "req_id") ->
     )
 
 
+def merge_fallback_by_engine(both: DataFrame, key: str = "req_id", engine: str = "engine",
+                             http_engine: str = "http", rendered_engine: str = "playwright") -> DataFrame:
+    """``merge_fallback`` for results keyed by (request, engine) in one
+    table: each request's two rows are paired by one groupBy on the request
+    (one row per engine, so ``first(..., ignorenulls)`` is exact) instead of
+    a self-join, and the attempt chain behind ``both`` runs once."""
+    cols = [c for c in both.columns if c not in (key, engine)]
+    row = F.struct(*[F.col(c) for c in cols])
+    g = both.groupBy(key).agg(
+        F.first(F.when(F.col(engine) == http_engine, row), ignorenulls=True).alias("_h"),
+        F.first(F.when(F.col(engine) == rendered_engine, row), ignorenulls=True).alias("_r"),
+    ).where(F.col("_h").isNotNull())
+    use_r = F.col("_h.status_code").isin(403, 429) & F.col("_r.outcome").isNotNull()
+    return g.select(
+        key,
+        *[F.when(use_r, F.col(f"_r.{c}")).otherwise(F.col(f"_h.{c}")).alias(c) for c in cols],
+        F.when(use_r, F.lit(rendered_engine)).otherwise(F.lit(http_engine)).alias("mode_used"),
+    )
+
+
 def outcome_envelope(df: DataFrame, debug: Column | bool = False) -> DataFrame:
     """Success vs error payload, flattened: attempts at least 1 on errors;
     the stack is shown only with debug (we expose whether it would be)."""

@@ -129,9 +129,7 @@ def q_final_outcome(spark: SparkSession, sf: str) -> DataFrame:
 def q_merge_fallback(spark: SparkSession, sf: str) -> DataFrame:
     # one attempt chain keyed by (request, engine) gives both results
     both = O.final_outcome(_log(spark, sf), DEFAULTS, jitter=False, req=["req_id", "engine"])
-    http = both.where(F.col("engine") == "http")
-    rendered = both.where(F.col("engine") == "playwright")
-    m = O.merge_fallback(http, rendered)
+    m = O.merge_fallback_by_engine(both)
     return m.select("req_id", "mode_used", "outcome", "status_code", "error_code", "attempts")
 
 
