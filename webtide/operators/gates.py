@@ -466,7 +466,11 @@ def tracker_antijoin(links: DataFrame, blocklist: DataFrame, host: str = "host",
     if has_at_most(bl, max_rows):
         depth = links.select(F.max(F.size(F.split(h, r"\.")))).first()[0] or 0
         out = links.withColumn("_sfx", F.when(h.isNotNull(), host_suffixes(h)))
-        b = F.broadcast(bl)
+        # the (small, bounded) list is stored once; every depth's broadcast
+        # reads it instead of recomputing the distinct over its source
+        from ..session import cut_lineage
+
+        b = F.broadcast(cut_lineage(bl))
         for k in range(1, depth + 1):
             # k-th suffix from the right: the last k labels
             out = out.withColumn("_k", F.get(F.col("_sfx"), F.size("_sfx") - k)).join(

@@ -23,6 +23,7 @@ from ..config import DEFAULTS, Limits
 from ..operators import gates as G
 from ..operators.extraction import extract_pages, reading_figures
 from ..operators.outcomes import classify_attempts
+from ..plans.joins import BROADCAST_MAX_ROWS, has_at_most
 from ..session import shared_path
 from ..sources.readers import PAGE_SCHEMA
 
@@ -278,7 +279,13 @@ def stream_quarantine(requests: DataFrame, good_path: str, bad_path: str, ckpt:
 def stream_blocklist(links: DataFrame, blocklist: DataFrame, host: str = "host", domain: str = "domain") -> DataFrame:
     """E5: tracker anti-join of a link stream against a static list
     (broadcast, each suffix depth probed as an equi-join)."""
-    bl = F.broadcast(blocklist.select(F.lower(F.col(domain)).alias("_d")).distinct())
+    from ..session import cut_lineage
+
+    # the static list is deduplicated and stored once, not per micro-batch
+    # and depth; it is broadcast only when its row count is bounded
+    bl = cut_lineage(blocklist.select(F.lower(F.col(domain)).alias("_d")).distinct())
+    if has_at_most(bl, BROADCAST_MAX_ROWS):
+        bl = F.broadcast(bl)
     h = F.lower(F.col(host))
     labels = F.split(h, r"\.")
     out = links
