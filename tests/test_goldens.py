@@ -440,3 +440,19 @@ def test_merge_fallback_one_pass_equals_join(spark):
     a = {tuple(r) for r in one.select(*cols).collect()}
     b = {tuple(r) for r in two.select(*cols).collect()}
     assert a and a == b
+
+
+def test_nested_articles_and_quarantine_outputs(spark):
+    from webtide.plans.articles import nest_articles
+
+    pages = spark.createDataFrame([(1, "https://ex.com/p", '<html lang="en"><body><article><p>One two three</p></article></body></html>')],
+                                  "page_id bigint, url string, html string")
+    r = nest_articles(build_articles(pages)).collect()[0]
+    assert r["meta"]["lang"] == "en" and r["meta"]["read_time_min"] == 1 and r["meta"]["raw_body"] is False
+    assert r["error"] is None and r["body"] == "One two three"
+    reqs = spark.createDataFrame([(1, "https://a.b/", "extractor", 5), (2, None, "bogus", 0)],
+                                 "req_id int, url string, mode string, task_timeout_secs int")
+    valid, invalid = G.quarantine(G.validate_page_requests(reqs))
+    assert [x["req_id"] for x in valid.collect()] == [1]
+    bad = invalid.collect()[0]
+    assert (bad["req_id"], bad["error_code"], bad["error_message"], len(bad["details"])) == (2, 400, "Validation failed", 3)
