@@ -3,7 +3,6 @@ checkpoint folder for cutting lineage."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,21 +36,24 @@ def utc(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) a fresh scratch folder is used."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The cluster's shared ``spark.checkpoint.dir``. Where it is unset, a
+    local session (tests) gets a fresh scratch folder; on a cluster that is
+    an error, because executors do not share a machine-local folder."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="webtide-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder (for written tables and
     streaming checkpoints)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
