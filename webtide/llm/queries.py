@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from .bpe import BytePairs
 from .common import table
+from .embedding_dedup import near_vectors
 from .exact_dedup import exact_duplicates
 from .html_extract import extract_main_text
+from .line_dedup import drop_repeated_lines
 from .sharding import shard_rows
+from .simhash import near_duplicates
 
 #: Shards of ``op2``.
 SHARDS = 24
@@ -45,9 +48,55 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+with recursive u as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true)
+    and list_contains(list_transform(embedding, lambda x: x <> 0), true)
+),
+links as (select a.vec_id as a, b.vec_id as b from u a, u b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select v.vec_id, count(distinct l.b) as n_links, least(v.vec_id, coalesce(min(r.b), v.vec_id)) as component_id,
+  v.vec_id = least(v.vec_id, coalesce(min(r.b), v.vec_id)) as kept
+from embeddings v left join links l on l.a = v.vec_id left join reach r on r.a = v.vec_id
+group by v.vec_id
+"""
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3).select("doc_id", "fingerprint", "component_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+with docs as (select doc_id, row_number() over () as r, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+lines as (select r, unnest(lines) as line, generate_subscripts(lines, 1) as pos from docs),
+keys as (
+  select r, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lines
+),
+frequent as (select key from keys where length(key) >= 1 group by key having count(distinct r) >= 10),
+kept as (
+  select r, count(*) filter (where key in (select key from frequent)) as n_dropped,
+    coalesce(string_agg(line, chr(10) order by pos) filter (where key not in (select key from frequent)), '') as text
+  from keys group by r
+)
+select doc_id, len(lines)::bigint as n_lines, n_dropped, sha256(text) as kept_sha256 from docs join kept using (r)
+"""
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_jump_sharding, op3_byte_bpe, op9_html_extraction)}
-SQL = {"op1_exact_dedup": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_jump_sharding, op3_byte_bpe, op4_collision_counting, op5_simhash, op8_line_dedup, op9_html_extraction)}
+SQL = {"op1_exact_dedup": OP1_SQL, "op4_collision_counting": OP4_SQL, "op8_line_dedup": OP8_SQL}
