@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -63,19 +63,18 @@ def keep_rows(df: DataFrame, kept: DataFrame) -> DataFrame:
     return numbered.join(kept.select(F.col("row").alias(name)), name, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def numbered_within(rows: DataFrame, key: str, out: str) -> DataFrame:
-    """Adds ``out``: 0, 1, 2, ... within ``key``, in the order of ``row``.
+def numbered_within(rows: DataFrame, key: str, out: str, order: tuple[str, ...] = ("row",)) -> DataFrame:
+    """Adds ``out``: 0, 1, 2, ... within ``key``, in the order of ``order``
+    (``row`` first).
 
     ``rows`` is stored. A key may hold any share of all rows: rows are
     counted within (key, partition), and only those counts (one for each
     key and partition) are summed up over a whole key.
     """
-    from pyspark.sql import Window
-
     local = rows.withColumn("_part", part())
     counts = local.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(key, "_part").orderBy("row")
+    within = Window.partitionBy(key, "_part").orderBy(*order)
     ranked = local.withColumn("_rank", F.row_number().over(within))
     return ranked.join(offsets, [key, "_part"]).withColumn(out, F.col("_before") + F.col("_rank") - 1).drop("_part", "_before", "_rank")

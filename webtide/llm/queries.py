@@ -15,6 +15,7 @@ from .embedding_dedup import near_vectors
 from .exact_dedup import exact_duplicates
 from .html_extract import extract_main_text
 from .line_dedup import drop_repeated_lines
+from .packing import pack
 from .sharding import shard_rows
 from .simhash import near_duplicates
 
@@ -71,6 +72,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -98,5 +106,5 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_jump_sharding, op3_byte_bpe, op4_collision_counting, op5_simhash, op8_line_dedup, op9_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_jump_sharding, op3_byte_bpe, op4_collision_counting, op5_simhash, op7_least_squares_packing, op8_line_dedup, op9_html_extraction)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op4_collision_counting": OP4_SQL, "op8_line_dedup": OP8_SQL}
