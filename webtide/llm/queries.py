@@ -14,10 +14,12 @@ from .common import table
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_duplicates
 from .html_extract import extract_main_text
+from .langid import identify_languages
 from .line_dedup import drop_repeated_lines
 from .packing import pack
 from .sharding import shard_rows
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 
 #: Shards of ``op2``.
 SHARDS = 24
@@ -72,6 +74,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -106,5 +112,23 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_jump_sharding, op3_byte_bpe, op4_collision_counting, op5_simhash, op7_least_squares_packing, op8_line_dedup, op9_html_extraction)}
+def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_jump_sharding,
+        op3_byte_bpe,
+        op4_collision_counting,
+        op5_simhash,
+        op6_nearest_centroid,
+        op7_least_squares_packing,
+        op8_line_dedup,
+        op9_html_extraction,
+        op10_toxic_segments,
+    )
+}
 SQL = {"op1_exact_dedup": OP1_SQL, "op4_collision_counting": OP4_SQL, "op8_line_dedup": OP8_SQL}
