@@ -163,7 +163,7 @@ class Plan:
                 self._place([(int(c), int(m), 0) for c, m in zip(used[::-1], each[::-1])], times)
 
     def _greedy(self) -> None:
-        cuts = 16 * self.classes  # then gaps stay, so that the loop ends
+        cuts = 64 * self.classes  # then gaps stay, so that the loop ends
         while (self.left[1:] > 0).any():
             room, uses, used = self.classes, [], {}
             for c in range(self.classes, 0, -1):
@@ -173,13 +173,13 @@ class Plan:
                     used[c] = n
                     room -= n * c
             if room and cuts:
-                # every class that fits is used up: the smallest larger one is cut
-                for c in range(room + 1, self.classes + 1):
-                    if self.left[c] > used.get(c, 0):
-                        uses.append((c, 1, room))
-                        used[c] = used.get(c, 0) + 1
-                        cuts -= 1
-                        break
+                # every class that fits is used up: the most frequent larger one is cut
+                spare = {c: int(self.left[c]) - used.get(c, 0) for c in range(room + 1, self.classes + 1)}
+                c = max(spare, key=lambda c: (spare[c], c))
+                if spare[c] > 0:
+                    uses.append((c, 1, room))
+                    used[c] = used.get(c, 0) + 1
+                    cuts -= 1
             self._place(uses, int(min(self.left[c] // n for c, n in used.items())))
 
 
