@@ -109,14 +109,3 @@ def resolve_url(base, ref) -> Column:
         .when(r == "", no_frag)
         .otherwise(with_clean_path(origin, F.concat(base_dir, r)))
     )
-
-
-def host_suffixes(host) -> Column:
-    """``a.b.example.com`` → [a.b.example.com, b.example.com, example.com, com]."""
-    h = _c(host)
-    labels = F.split(h, r"\.")
-    n = F.size(labels)
-    return F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.array_join(F.slice(labels, i, n), "."),
-    )

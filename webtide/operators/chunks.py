@@ -27,12 +27,11 @@ def chunk_limit(chunks: DataFrame, cap: int = DEFAULTS.max_response_bytes, obj:
     ).withColumn("emitted", F.col("running_bytes") <= F.lit(int(cap)))
 
 
-def object_status(limited: DataFrame, obj: str = "object_id") -> DataFrame:
-    """Per object: 'Response too large' when any chunk overflowed."""
-    return limited.groupBy(obj).agg(
-        F.max(F.col("running_bytes")).alias("total_bytes"),
-        F.min(F.col("emitted").cast("int")).alias("_ok"),
-    ).select(obj, "total_bytes", F.when(F.col("_ok") == 0, F.lit(TOO_LARGE)).alias("error_message"))
+def object_status(chunks: DataFrame, cap: int = DEFAULTS.max_response_bytes, obj: str = "object_id", data: str = "data") -> DataFrame:
+    """Per object: its bytes, and 'Response too large' when they exceed the
+    cap. A sum with map-side combine; the order of chunks does not matter."""
+    total = chunks.groupBy(obj).agg(F.sum(F.octet_length(F.col(data))).cast("bigint").alias("total_bytes"))
+    return total.withColumn("error_message", F.when(F.col("total_bytes") > F.lit(int(cap)), F.lit(TOO_LARGE)))
 
 
 def assemble_chunks(chunks: DataFrame, obj: str = "object_id", seq: str = "seq", data: str = "data") -> DataFrame:

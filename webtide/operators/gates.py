@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import patterns as P
 from ..functions.text import trim_ws
-from ..functions.urls import host_suffixes, ipv4_to_long, strip_brackets, url_parts
+from ..functions.urls import ipv4_to_long, strip_brackets, url_parts
 from ..plans.joins import BROADCAST_MAX_ROWS, has_at_most
 
 
@@ -451,40 +451,33 @@ def heavy_resources(links: DataFrame, url: str = "href") -> DataFrame:
     return links.withColumn("resource_class", heavy_resource_class(F.col(url)))
 
 
+def domain_depths(blocklist: DataFrame, domain: str) -> list[int]:
+    """The numbers of labels that listed domains have (at most 127 rows)."""
+    depth = F.size(F.split(F.col(domain), r"\."))
+    return sorted(r[0] for r in blocklist.select(depth).distinct().collect())
+
+
 def tracker_antijoin(links: DataFrame, blocklist: DataFrame, host: str = "host",
-                     domain: str = "domain", max_rows: int = BROADCAST_MAX_ROWS,
-                     key: list[str] | None = None) -> DataFrame:
-    """Drop rows whose host or any parent domain is in ``blocklist``.
-
-    Small list (bounded count): one broadcast hash anti-join per suffix
-    depth, all narrow — the links never shuffle. Large list: explode the
-    suffixes, semi-join, and anti-join on the row key ``key`` (shuffles);
-    without a key the rows get an id on a checkpointed copy, so both uses
-    of the id see the same rows."""
-    bl = blocklist.select(F.lower(F.col(domain)).alias("_d")).distinct()
-    h = F.lower(F.col(host))
-    if has_at_most(bl, max_rows):
-        depth = links.select(F.max(F.size(F.split(h, r"\.")))).first()[0] or 0
-        out = links.withColumn("_sfx", F.when(h.isNotNull(), host_suffixes(h)))
-        # the (small, bounded) list is stored once; every depth's broadcast
-        # reads it instead of recomputing the distinct over its source
-        from ..session import cut_lineage
-
-        b = F.broadcast(cut_lineage(bl))
-        for k in range(1, depth + 1):
-            # k-th suffix from the right: the last k labels
-            out = out.withColumn("_k", F.get(F.col("_sfx"), F.size("_sfx") - k)).join(
-                b, F.col("_k") == F.col("_d"), "left_anti"
-            )
-        return out.drop("_sfx", "_k")
-    if key:
-        hits = links.select(*key, F.explode(host_suffixes(h)).alias("_d")).join(bl, "_d", "left_semi").select(*key)
-        return links.join(hits.distinct(), key, "left_anti")
+                     domain: str = "domain", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Drop rows whose host or any parent domain is in ``blocklist``; a null
+    host is never dropped. ``links`` may be a stream.
+
+    One anti-join for each depth that listed domains have: the host's last
+    k labels against the domains of k labels. The depths come from the list,
+    so the links are read once. The list is stored once; when a bounded
+    count shows it to be small it is broadcast and links never shuffle, else
+    Spark picks the join. Either way the same rows stay."""
     from ..session import cut_lineage
 
-    keyed = cut_lineage(links.withColumn("_row", F.monotonically_increasing_id()))
-    hits = keyed.select("_row", F.explode(host_suffixes(h)).alias("_d")).join(bl, "_d", "left_semi").select("_row")
-    return keyed.join(hits, "_row", "left_anti").drop("_row")
+    listed = cut_lineage(blocklist.select(F.lower(F.col(domain)).alias("_d")).where("_d is not null").distinct())
+    small = has_at_most(listed, max_rows)
+    labels = F.split(F.lower(F.col(host)), r"\.")
+    out = links
+    for k in domain_depths(listed, "_d"):
+        of_k = listed.where(F.size(F.split("_d", r"\.")) == k)
+        suffix = F.when(F.size(labels) >= k, F.array_join(F.slice(labels, -k, k), "."))
+        out = out.withColumn("_k", suffix).join(F.broadcast(of_k) if small else of_k, F.col("_k") == F.col("_d"), "left_anti").drop("_k")
+    return out
 
 
 def route_engine(df: DataFrame, kind: str) -> DataFrame:

@@ -15,7 +15,7 @@ DEFAULT_HEADER_COLS = {"auth_header": "authorization", "api_key_header": "x-api-
 def shape_access_log(log: DataFrame, production: bool = True, header_cols: dict | None = None,
                      error: str | None = None) -> DataFrame:
     """level by status (≥500 or an error → error, ≥400 → warn, else info);
-    ``/health`` dropped in production; path = url before '?'; the
+    any URL with ``/health`` in it dropped in production; path = url before '?'; the
     authorization and x-api-key headers redacted."""
     st = F.col("status")
     err = F.col(error).isNotNull() if error else F.lit(False)
@@ -30,33 +30,45 @@ def shape_access_log(log: DataFrame, production: bool = True, header_cols: dict
     )
     out = log.withColumn("level", level).withColumn("path", path).withColumn("headers", headers)
     if production:
-        out = out.where(F.col("path") != "/health")
+        out = out.where(~F.coalesce(F.col("url").contains("/health"), F.lit(False)))
     return out
 
 
 def outcome_rollup(outcomes: DataFrame) -> DataFrame:
     """Requests, success / anti-bot rates, mean attempts and exact duration
-    percentiles by (engine, error code) with subtotals. Exact percentiles
-    keep a count per distinct duration; durations are bounded by the
-    request deadline, so the per-group state is bounded by the domain, not
-    by the row count."""
-    ok = (F.col("outcome") == "success").cast("int")
-    return outcomes.rollup("engine", "error_code").agg(
+    percentiles by (engine, error code) with subtotals.
+
+    Outcomes are first counted by engine, code and whole millisecond, with
+    map-side combine; durations end with the deadline and the waits, so
+    that histogram, which the subtotals are made from, stays small whatever
+    the number of requests."""
+    ok = (F.col("outcome") == "success").cast("long")
+    counted = outcomes.groupBy("engine", "error_code", "duration_ms").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(ok).alias("ok"),
+        F.sum(F.col("was_antibot").cast("long")).alias("blocked"),
+        F.sum(F.col("attempts").cast("long")).alias("attempts"),
+    )
+    share = lambda c: F.round(F.sum(c).cast("double") / F.sum("n"), 6)
+    ms = F.col("duration_ms").cast("double")
+    return counted.rollup("engine", "error_code").agg(
         F.grouping_id().cast("int").alias("gid"),
-        F.count(F.lit(1)).alias("requests"),
-        F.sum(ok).cast("bigint").alias("successes"),
-        F.round(F.avg(ok.cast("double")), 6).alias("success_rate"),
-        F.round(F.avg(F.col("was_antibot").cast("int").cast("double")), 6).alias("block_rate"),
-        F.round(F.avg(F.col("attempts").cast("double")), 6).alias("mean_attempts"),
-        F.round(F.percentile(F.col("duration_ms").cast("double"), F.lit(0.5)), 3).alias("p50_ms"),
-        F.round(F.percentile(F.col("duration_ms").cast("double"), F.lit(0.95)), 3).alias("p95_ms"),
+        F.sum("n").alias("requests"),
+        F.sum("ok").cast("bigint").alias("successes"),
+        share("ok").alias("success_rate"),
+        share("blocked").alias("block_rate"),
+        share("attempts").alias("mean_attempts"),
+        F.round(F.percentile(ms, F.lit(0.5), F.col("n")), 3).alias("p50_ms"),
+        F.round(F.percentile(ms, F.lit(0.95), F.col("n")), 3).alias("p95_ms"),
     )
 
 
 def in_flight(spans: DataFrame, start: str = "start_us", end: str = "end_us", bucket_seconds: int = 60) -> DataFrame:
     """Active requests per time bucket: +1 at start, −1 at end, summed per
-    bucket first (partial aggregation), then a running sum over the bucket
-    rows only; clamped so the count never goes below 0."""
+    bucket first (partial aggregation), then a running sum, clamped so the
+    count never goes below 0. The running sum and its minimum are taken
+    within each day; a second window over one row per day carries them on,
+    so no task sees all buckets."""
     us = bucket_seconds * 1_000_000
     # both events of a span from one pass over the spans
     ev = spans.select(
@@ -68,9 +80,13 @@ def in_flight(spans: DataFrame, start: str = "start_us", end: str = "end_us", bu
         ).alias("e")
     ).select("e.bucket", "e.d")
     per = ev.groupBy("bucket").agg(F.sum("d").cast("bigint").alias("delta"))
-    w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = per.withColumn("_day", F.floor(F.col("bucket") * bucket_seconds / 86_400))
+    w = Window.partitionBy("_day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = per.withColumn("_s", F.sum("delta").over(w)).withColumn("_m", F.min("_s").over(w))
-    return s.select(
-        F.col("bucket").cast("bigint").alias("bucket"), "delta",
-        (F.col("_s") - F.least(F.lit(0), F.col("_m"))).cast("bigint").alias("active"),
-    )
+    days = s.groupBy("_day").agg(F.sum("delta").alias("_d"), F.min("_s").alias("_low"))
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    days = days.withColumn("_before", F.coalesce(F.sum("_d").over(earlier), F.lit(0)))
+    days = days.withColumn("_floor", F.min(F.col("_before") + F.col("_low")).over(earlier)).select("_day", "_before", "_floor")
+    j = s.join(days, "_day")
+    total, low = F.col("_s") + F.col("_before"), F.least(F.lit(0), F.col("_m") + F.col("_before"), F.col("_floor"))
+    return j.select(F.col("bucket").cast("bigint").alias("bucket"), "delta", (total - low).cast("bigint").alias("active"))

@@ -91,9 +91,10 @@ def page_error_code(message: Column) -> dict[str, Column]:
 def file_error_code(message: Column, existing_code: Column | None = None, aborted_by: Column | None = None,
                     with_header_checks: bool = True) -> dict[str, Column]:
     """File-proxy error map: caller abort → FILE_ABORTED 400, timer abort →
-    FILE_TIMEOUT 504, an existing code passes through, header problems →
-    FILE_INVALID_HEADERS 400, SSRF → 400, too large → 413, redirects → 508,
-    empty → 502, else FILE_ERROR 502."""
+    FILE_TIMEOUT 504, a code raised as such passes through (redirect limit
+    508 and empty body 502 are only ever raised), header problems →
+    FILE_INVALID_HEADERS 400, SSRF → 400, too large → 413, else FILE_ERROR
+    502 with the message as it is."""
     m = F.coalesce(message, F.lit(""))
     lo = F.lower(m)
     ab = aborted_by if aborted_by is not None else F.lit(None).cast("string")
@@ -108,8 +109,6 @@ def file_error_code(message: Column, existing_code: Column | None = None, aborte
         .when(hdr, F.lit("FILE_INVALID_HEADERS"))
         .when(lo.contains("ssrf blocked"), F.lit("FILE_SSRF_BLOCKED"))
         .when(lo.contains("response too large"), F.lit("FILE_RESPONSE_TOO_LARGE"))
-        .when(lo.contains("too many redirects"), F.lit("FILE_TOO_MANY_REDIRECTS"))
-        .when(lo.contains("empty"), F.lit("FILE_EMPTY_RESPONSE"))
         .otherwise(F.lit("FILE_ERROR"))
     )
     http = (
@@ -122,6 +121,8 @@ def file_error_code(message: Column, existing_code: Column | None = None, aborte
     msg = (
         F.when(code == "FILE_ABORTED", F.lit("Request aborted"))
         .when(code == "FILE_TIMEOUT", F.lit("Request timeout"))
+        .when(ex.isNull() & (code == "FILE_SSRF_BLOCKED"), F.lit("SSRF blocked"))
+        .when(ex.isNull() & (code == "FILE_RESPONSE_TOO_LARGE"), F.lit("Response too large"))
         .otherwise(m)
     )
     return {"code": code, "message": msg, "http_status": http}
@@ -200,14 +201,18 @@ def classify_attempts(log: DataFrame, cfg: Limits = DEFAULTS) -> DataFrame:
     http_status_err = F.when(
         status.isNotNull() & ~status.between(200, 299), F.concat(F.lit("HTTP status "), status.cast("string"))
     )
+    # neither a status nor a message: no response was recorded
+    lost = F.when(status.isNull(), F.lit("Fetch failed"))
     http_msg = F.coalesce(
         F.col("err_msg"),
+        lost,
         content_type_message(ct),
         size_message(declared, body, cfg.max_response_bytes),
         http_status_err,
     )
     rendered_msg = F.coalesce(
         F.col("err_msg"),
+        lost,
         size_message(F.lit(None).cast("string"), body, cfg.max_response_bytes),
         F.when(status.isin(403, 429), F.concat(F.lit("HTTP status "), status.cast("string"))),
     )
@@ -268,37 +273,53 @@ def deadline_budget(log: DataFrame, timeout_secs: Column | int = DEFAULTS.fetch_
                     req: str = "req_id", order=("ts", "event_id")) -> DataFrame:
     """``elapsed_before_ms``: duration and waits of the earlier attempts;
     ``deadline_hit``: nothing of the budget is left when the attempt would
-    start (the attempt then reports 'Timeout'). Sleeps are not clipped."""
+    start (it never runs and reports 'Timeout'); ``cut_in_flight``: the
+    budget ends while the attempt runs (it is aborted and reports
+    'Timeout'). Sleeps are not clipped. An attempt that is cut has spent the
+    rest of the budget, so whatever comes after it starts too late."""
     t = timeout_secs if isinstance(timeout_secs, Column) else F.lit(int(timeout_secs))
     w = attempt_window(req, order).rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum(F.col("dur_ms") + F.coalesce(F.col("wait_ms"), F.lit(0.0))).over(w), F.lit(0.0))
-    return log.withColumn("elapsed_before_ms", spent).withColumn(
-        "deadline_hit", F.col("elapsed_before_ms") >= t.cast("double") * 1000.0
+    budget = t.cast("double") * 1000.0
+    hit = F.col("elapsed_before_ms") >= budget
+    return (
+        log.withColumn("elapsed_before_ms", spent)
+        .withColumn("deadline_hit", hit)
+        .withColumn("cut_in_flight", ~hit & (F.col("elapsed_before_ms") + F.coalesce(F.col("dur_ms"), F.lit(0)) > budget))
+        .withColumn("left_ms", F.greatest(budget - F.col("elapsed_before_ms"), F.lit(0.0)))
     )
 
 
 def attempt_chain(log: DataFrame, cfg: Limits = DEFAULTS, jitter: bool = True,
                   timeout_secs: Column | int = DEFAULTS.fetch_timeout_secs, req="req_id") -> DataFrame:
-    """D8 → classify → D9 → D7 → D11 over one shared window spec, then a
-    deadline hit turns the attempt into a 'Timeout' error."""
+    """D8 → classify → D9 → D7 → D11 over one shared window spec, then an
+    attempt past the deadline, or cut by it, becomes a 'Timeout' error. A
+    cut attempt may be retried, after its backoff; the retry then starts
+    past the deadline."""
     df = number_attempts(log, req)
     df = classify_attempts(df, cfg)
     df = running_block_flag(df, req=req)
     df = wait_profile(df, cfg, jitter, req=_keys(req)[0])
     df = deadline_budget(df, timeout_secs, req=req)
-    hit = F.col("deadline_hit")
+    late, cut = F.col("deadline_hit"), F.col("cut_in_flight")
+    hit = late | cut
     fe = fetch_error_code(F.lit("Timeout"), F.lit(None).cast("int"))
-    # the attempt never starts: no status, no duration, no anti-bot signal
+    # no response is seen: no status and no anti-bot signal; an attempt that
+    # never starts takes no time, a cut one what was left
+    more = F.col("attempt_no") < cfg.max_attempts
+    backoff = backoff_ms(F.col("attempt_no") - 1, cfg, F.col(_keys(req)[0]) if jitter else None)
     return (
         df.withColumn("status", F.when(hit, F.lit(None)).otherwise(F.col("status")))
-        .withColumn("dur_ms", F.when(hit, F.lit(0)).otherwise(F.col("dur_ms")))
+        .withColumn("dur_ms", F.when(late, F.lit(0).cast("bigint")).when(cut, F.floor("left_ms").cast("bigint")).otherwise(F.col("dur_ms")))
+        .withColumn("wait_ms", F.when(late, F.lit(None)).when(cut & more, backoff).when(~cut, F.col("wait_ms")))
         .withColumn("antibot", F.when(hit, F.lit(False)).otherwise(F.col("antibot")))
         .withColumn("error_message", F.when(hit, F.lit("Timeout")).otherwise(F.col("error_message")))
         .withColumn("error_code", F.when(hit, fe["code"]).otherwise(F.col("error_code")))
         .withColumn("error_http", F.when(hit, fe["http_status"]).otherwise(F.col("error_http")))
         .withColumn("error_retryable", F.when(hit, F.lit(True)).otherwise(F.col("error_retryable")))
         .withColumn("err_status", F.when(hit, F.lit(None)).otherwise(F.col("err_status")))
-        .withColumn("retry", F.when(hit, F.lit(False)).otherwise(F.col("retry")))
+        .withColumn("retry", F.when(late, F.lit(False)).when(cut, F.lit(True)).otherwise(F.col("retry")))
+        .drop("left_ms")
     )
 
 
@@ -307,7 +328,7 @@ def final_outcome(log: DataFrame, cfg: Limits = DEFAULTS, jitter: bool = True,
     """One row per request: attempts up to the first terminal one (success,
     non-retryable error, deadline, or attempt = max) are kept; reports
     attempts, sticky anti-bot flag, last status, outcome and error fields,
-    total wait and duration."""
+    total wait, and the duration: wall time from the start, waits included."""
     max_a = max(1, cfg.max_attempts)
     df = attempt_chain(log, cfg, jitter, timeout_secs, req)
     terminal = (
@@ -340,7 +361,7 @@ def final_outcome(log: DataFrame, cfg: Limits = DEFAULTS, jitter: bool = True,
         F.col("l.error_http").cast("int").alias("http_status"),
         F.col("l.error_retryable").alias("retryable"),
         (F.col("_wait_all") - F.col("_wait_last")).alias("total_wait_ms"),
-        F.col("duration_ms").cast("bigint").alias("duration_ms"),
+        (F.col("duration_ms") + F.floor(F.col("_wait_all") - F.col("_wait_last"))).cast("bigint").alias("duration_ms"),
     )
 
 
@@ -349,13 +370,14 @@ def final_outcome(log: DataFrame, cfg: Limits = DEFAULTS, jitter: bool = True,
 
 def merge_fallback(http: DataFrame, rendered: DataFrame, key: str = "req_id") -> DataFrame:
     """auto mode: the rendered result replaces the http one when the http
-    status is 403/429 and a rendered result exists; otherwise the http
-    result stays, even a 403. Both inputs are one row per key; after the
+    status is 403/429 and the rendered side came back with a response; when
+    rendering failed without one, or was not tried, the http result stays,
+    even a 403. Both inputs are one row per key; after the
     per-request aggregations they are already hash-partitioned on the key,
     so the join adds no exchange."""
     r = rendered.select([F.col(c).alias("r_" + c) if c != key else F.col(c) for c in rendered.columns])
     j = http.join(r, key, "left")
-    use_r = F.col("status_code").isin(403, 429) & F.col("r_outcome").isNotNull()
+    use_r = F.coalesce(F.col("status_code").isin(403, 429) & F.col("r_status_code").isNotNull(), F.lit(False))
     cols = [c for c in http.columns if c != key]
     return j.select(
         key,
@@ -376,7 +398,7 @@ def merge_fallback_by_engine(both: DataFrame, key: str = "req_id", engine: str =
         F.first(F.when(F.col(engine) == http_engine, row), ignorenulls=True).alias("_h"),
         F.first(F.when(F.col(engine) == rendered_engine, row), ignorenulls=True).alias("_r"),
     ).where(F.col("_h").isNotNull())
-    use_r = F.col("_h.status_code").isin(403, 429) & F.col("_r.outcome").isNotNull()
+    use_r = F.coalesce(F.col("_h.status_code").isin(403, 429) & F.col("_r.status_code").isNotNull(), F.lit(False))
     return g.select(
         key,
         *[F.when(use_r, F.col(f"_r.{c}")).otherwise(F.col(f"_h.{c}")).alias(c) for c in cols],
@@ -385,26 +407,40 @@ def merge_fallback_by_engine(both: DataFrame, key: str = "req_id", engine: str =
 
 
 def outcome_envelope(df: DataFrame, debug: Column | bool = False) -> DataFrame:
-    """Success vs error payload, flattened: attempts at least 1 on errors;
-    the stack is shown only with debug (we expose whether it would be)."""
+    """Adds ``response_status``, ``meta_attempts`` (at least 1 on errors),
+    whether headers or the stack would be shown, and ``payload``: the
+    response body as JSON, {meta} on success and {meta, error} on errors,
+    nulls left out."""
     dbg = debug if isinstance(debug, Column) else F.lit(bool(debug))
     err = F.col("outcome") == "error"
+    attempts = F.when(err, F.greatest(F.col("attempts"), F.lit(1))).otherwise(F.col("attempts"))
+    meta = F.struct(
+        F.col("duration_ms").alias("durationMs"), F.col("engine"), attempts.alias("attempts"), F.col("was_antibot").alias("wasAntibot"),
+        F.col("status_code").alias("statusCode"),
+    )
+    error = F.when(err, F.struct(F.col("error_code").alias("code"), F.col("error_message").alias("message"), F.col("retryable")))
     return df.select(
         "*",
-        F.when(err, F.greatest(F.col("attempts"), F.lit(1))).otherwise(F.col("attempts")).alias("meta_attempts"),
+        attempts.alias("meta_attempts"),
         F.when(err, F.col("http_status")).otherwise(F.lit(200)).alias("response_status"),
         (~err & dbg).alias("shows_headers"),
         (err & dbg).alias("shows_stack"),
+        F.to_json(F.struct(meta.alias("meta"), error.alias("error"))).alias("payload"),
     )
 
 
-def wire_normalize(df: DataFrame, status: str = "response_status", has_message_list: Column | None = None) -> DataFrame:
+def wire_normalize(df: DataFrame, status: str = "response_status", messages: Column | None = None) -> DataFrame:
     """Any 400 leaves the service as {code: 400, 'Validation failed',
-    details}; details are NULL for fetch payloads, so FETCH_* codes at 400
-    are not visible on the wire."""
+    details}, so FETCH_* codes at 400 are not visible on the wire.
+    ``messages`` are the validation messages of the response, an array (one
+    message alone: of one); fetch payloads carry none, and their details are
+    null. Other statuses pass through."""
     is400 = F.col(status) == 400
-    return df.withColumn("wire_code", F.when(is400, F.lit("400")).otherwise(F.col("error_code"))).withColumn(
-        "wire_message", F.when(is400, F.lit("Validation failed")).otherwise(F.col("error_message"))
+    details = messages if messages is not None else F.lit(None).cast("array<string>")
+    return (
+        df.withColumn("wire_code", F.when(is400, F.lit("400")).otherwise(F.col("error_code")))
+        .withColumn("wire_message", F.when(is400, F.lit("Validation failed")).otherwise(F.col("error_message")))
+        .withColumn("wire_details", F.when(is400, details))
     )
 
 

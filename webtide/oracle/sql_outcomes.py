@@ -62,8 +62,8 @@ def classified_cte() -> str:
 c0 as (select *, case when status <> 0 then status end as status_n from fetch_log),
 c1 as (select *,
          case when engine = 'playwright' then
-                coalesce(err_msg, case when status_n in (403, 429) then 'HTTP status ' || cast(status_n as varchar) end)
-              else coalesce(err_msg, {ct_msg('content_type')},
+                coalesce(err_msg, case when status_n is null then 'Fetch failed' end, case when status_n in (403, 429) then 'HTTP status ' || cast(status_n as varchar) end)
+              else coalesce(err_msg, case when status_n is null then 'Fetch failed' end, {ct_msg('content_type')},
                             case when status_n is not null and not (status_n between 200 and 299)
                                  then 'HTTP status ' || cast(status_n as varchar) end) end as error_message
        from c0),
@@ -102,13 +102,11 @@ def file_error_code_sql() -> str:
     hdr = _any(lo, ["too many headers", "forbidden header", "header name too long", "header value too long"])
     code = (f"case when event_id % 13 = 0 then 'FILE_ABORTED' when event_id % 17 = 0 then 'FILE_TIMEOUT' "
             f"when {hdr} then 'FILE_INVALID_HEADERS' when contains({lo}, 'ssrf blocked') then 'FILE_SSRF_BLOCKED' "
-            f"when contains({lo}, 'response too large') then 'FILE_RESPONSE_TOO_LARGE' "
-            f"when contains({lo}, 'too many redirects') then 'FILE_TOO_MANY_REDIRECTS' "
-            f"when contains({lo}, 'empty') then 'FILE_EMPTY_RESPONSE' else 'FILE_ERROR' end")
+            f"when contains({lo}, 'response too large') then 'FILE_RESPONSE_TOO_LARGE' else 'FILE_ERROR' end")
     return _with_c() + f"""
 select event_id, file_code,
-  case when file_code = 'FILE_ABORTED' then 'Request aborted' when file_code = 'FILE_TIMEOUT' then 'Request timeout'
-       else coalesce(error_message, '') end as file_message,
+  case file_code when 'FILE_ABORTED' then 'Request aborted' when 'FILE_TIMEOUT' then 'Request timeout'
+       when 'FILE_SSRF_BLOCKED' then 'SSRF blocked' when 'FILE_RESPONSE_TOO_LARGE' then 'Response too large' else coalesce(error_message, '') end as file_message,
   case when file_code in ('FILE_ABORTED', 'FILE_INVALID_HEADERS', 'FILE_SSRF_BLOCKED') then 400
        when file_code = 'FILE_TIMEOUT' then 504 when file_code = 'FILE_RESPONSE_TOO_LARGE' then 413
        when file_code = 'FILE_TOO_MANY_REDIRECTS' then 508 else 502 end as file_http
@@ -159,17 +157,21 @@ n as (select *, row_number() over (partition by req_id order by ts, event_id) as
 w as (select *, case when retry and attempt_no < {m} then coalesce(retry_after_ms, {bo}) end as wait_ms from n),
 b as (select *, coalesce(sum(dur_ms + coalesce(wait_ms, 0.0)) over (partition by req_id order by ts, event_id
                rows between unbounded preceding and 1 preceding), 0.0) as elapsed_before_ms from w),
-h as (select *, elapsed_before_ms >= {timeout_secs} * 1000.0 as deadline_hit from b),
-ch as (select req_id, event_id, ts, engine, attempt_no, wait_ms, elapsed_before_ms, deadline_hit,
-         case when deadline_hit then null else status end as status,
-         case when deadline_hit then 0 else dur_ms end as dur_ms,
-         case when deadline_hit then false else antibot end as antibot,
-         case when deadline_hit then 'Timeout' else error_message end as error_message,
-         case when deadline_hit then {fe['code']} else error_code end as error_code,
-         case when deadline_hit then {fe['http_status']} else error_http end as error_http,
-         case when deadline_hit then true else error_retryable end as error_retryable,
-         case when deadline_hit then null else err_status end as err_status,
-         case when deadline_hit then false else retry end as retry
+h as (select *, elapsed_before_ms >= {timeout_secs} * 1000.0 as deadline_hit,
+        elapsed_before_ms < {timeout_secs} * 1000.0 and elapsed_before_ms + coalesce(dur_ms, 0) > {timeout_secs} * 1000.0 as cut_in_flight
+      from b),
+ch as (select req_id, event_id, ts, engine, attempt_no, elapsed_before_ms, deadline_hit, cut_in_flight,
+         case when deadline_hit then null when cut_in_flight then (case when attempt_no < {m} then {bo} end) else wait_ms end as wait_ms,
+         case when deadline_hit or cut_in_flight then null else status end as status,
+         case when deadline_hit then 0 when cut_in_flight then cast(floor({timeout_secs} * 1000.0 - elapsed_before_ms) as bigint)
+              else dur_ms end as dur_ms,
+         case when deadline_hit or cut_in_flight then false else antibot end as antibot,
+         case when deadline_hit or cut_in_flight then 'Timeout' else error_message end as error_message,
+         case when deadline_hit or cut_in_flight then {fe['code']} else error_code end as error_code,
+         case when deadline_hit or cut_in_flight then {fe['http_status']} else error_http end as error_http,
+         case when deadline_hit or cut_in_flight then true else error_retryable end as error_retryable,
+         case when deadline_hit or cut_in_flight then null else err_status end as err_status,
+         case when deadline_hit then false when cut_in_flight then true else retry end as retry
        from h)
 """
 
@@ -179,7 +181,7 @@ def wait_profile_sql() -> str:
 
 
 def deadline_budget_sql() -> str:
-    return chain_ctes() + "select req_id, event_id, elapsed_before_ms, deadline_hit, error_message from ch"
+    return chain_ctes() + "select req_id, event_id, elapsed_before_ms, deadline_hit, cut_in_flight, dur_ms, error_message from ch"
 
 
 def final_ctes(where: str = "") -> str:
@@ -205,7 +207,7 @@ fo as (select req_id,
          cast(arg_max_null(error_http, attempt_no) as integer) as http_status,
          arg_max_null(error_retryable, attempt_no) as retryable,
          sum(coalesce(wait_ms, 0.0)) - arg_max_null(coalesce(wait_ms, 0.0), attempt_no) as total_wait_ms,
-         cast(sum(dur_ms) as bigint) as duration_ms
+         cast(sum(dur_ms) + floor(sum(coalesce(wait_ms, 0.0)) - arg_max_null(coalesce(wait_ms, 0.0), attempt_no)) as bigint) as duration_ms
        from k group by req_id)
 """
 
@@ -221,7 +223,7 @@ def merge_fallback_sql() -> str:
 with h as ({http} select * from fo), r as ({rend} select * from fo),
 j as (select h.*, r.outcome as r_outcome, r.status_code as r_status_code, r.error_code as r_error_code,
              r.attempts as r_attempts,
-             h.status_code in (403, 429) and r.outcome is not null as use_r
+             coalesce(h.status_code in (403, 429) and r.status_code is not null, false) as use_r
       from h left join r using (req_id))
 select req_id, case when use_r then 'playwright' else 'http' end as mode_used,
   case when use_r then r_outcome else outcome end as outcome,
@@ -247,7 +249,8 @@ env as (select fo.*, coalesce(fr.debug = true, false) as debug,
 def outcome_envelope_sql() -> str:
     return _envelope_cte() + """
 select req_id, outcome, meta_attempts, response_status,
-  (outcome <> 'error' and debug) as shows_headers, (outcome = 'error' and debug) as shows_stack, error_code
+  (outcome <> 'error' and debug) as shows_headers, (outcome = 'error' and debug) as shows_stack, error_code,
+  meta_attempts as payload_attempts, duration_ms as payload_duration_ms, case when outcome = 'error' then error_code end as payload_code
 from env
 """
 
@@ -256,7 +259,8 @@ def wire_normalize_sql() -> str:
     return _envelope_cte() + """
 select req_id, response_status,
   case when response_status = 400 then '400' else error_code end as wire_code,
-  case when response_status = 400 then 'Validation failed' else error_message end as wire_message
+  case when response_status = 400 then 'Validation failed' else error_message end as wire_message,
+  cast(null as varchar) as wire_details
 from env
 """
 
@@ -312,7 +316,7 @@ select event_id,
   case when api_key_header is not null then '[REDACTED]' end as api_key_header,
   ua_header
 from access_raw
-where split_part(url, '?', 1) <> '/health'
+where url not like '%/health%'
 """
 
 

@@ -1,13 +1,13 @@
 """DuckDB oracle SQL for the streaming / extension queries that SQL can
-express (E1, E2, E4, E5, F2). E3 (stateful, Python state machine) and F1
-(user extractor) get the rows-only check plus pytest comparisons."""
+express (E1–E5, F2). F1 (user extractor) gets the rows-only check plus
+pytest comparisons."""
 
 from __future__ import annotations
 
 from ..plans.queries_streaming import EXTRA_RULES
 from . import duck as d
 from .sql_gates import quarantine_sql, tracker_antijoin_sql
-from .sql_outcomes import _with_c
+from .sql_outcomes import _with_c, final_outcome_sql
 from .sql_pages import _ext_ctes, page_fields_sql
 
 
@@ -38,6 +38,7 @@ def markdown_extra_rules_sql() -> str:
 SQL = {
     "stream_articles": stream_articles_sql,
     "stream_outcomes": stream_outcomes_sql,
+    "stream_request_state": final_outcome_sql,
     "stream_quarantine": quarantine_sql,
     "stream_blocklist": tracker_antijoin_sql,
     "markdown_extra_rules": markdown_extra_rules_sql,

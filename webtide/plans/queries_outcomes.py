@@ -115,7 +115,7 @@ def q_wait_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_deadline_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return _chain(spark, sf).select("req_id", "event_id", "elapsed_before_ms", "deadline_hit", "error_message")
+    return _chain(spark, sf).select("req_id", "event_id", "elapsed_before_ms", "deadline_hit", "cut_in_flight", "dur_ms", "error_message")
 
 
 def _final(spark, sf, log=None) -> DataFrame:
@@ -140,12 +140,16 @@ def _envelope(spark, sf) -> DataFrame:
 
 def q_outcome_envelope(spark: SparkSession, sf: str) -> DataFrame:
     return _envelope(spark, sf).select(
-        "req_id", "outcome", "meta_attempts", "response_status", "shows_headers", "shows_stack", "error_code"
+        "req_id", "outcome", "meta_attempts", "response_status", "shows_headers", "shows_stack", "error_code",
+        F.get_json_object("payload", "$.meta.attempts").cast("int").alias("payload_attempts"),
+        F.get_json_object("payload", "$.meta.durationMs").cast("bigint").alias("payload_duration_ms"),
+        F.get_json_object("payload", "$.error.code").alias("payload_code"),
     )
 
 
 def q_wire_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return O.wire_normalize(_envelope(spark, sf)).select("req_id", "response_status", "wire_code", "wire_message")
+    w = O.wire_normalize(_envelope(spark, sf))
+    return w.select("req_id", "response_status", "wire_code", "wire_message", F.array_join("wire_details", "; ").alias("wire_details"))
 
 
 def q_continue_on_fail(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,7 +204,7 @@ def q_chunk_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_object_status(spark: SparkSession, sf: str) -> DataFrame:
-    return object_status(chunk_limit(_chunks(spark, sf), CHUNK_FIXTURE_CAP))
+    return object_status(_chunks(spark, sf), CHUNK_FIXTURE_CAP)
 
 
 def q_assemble_chunks(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,11 +42,23 @@ def q_stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stream_request_state(spark: SparkSession, sf: str) -> DataFrame:
     d = J.run_dir(spark, "state")
-    Fixtures(spark, sf).fetch_log().write.parquet(os.path.join(d, "log"))
-    schema = spark.read.parquet(os.path.join(d, "log")).schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(os.path.join(d, "log"))
-    J.run_available_now(J.stream_request_state(s), os.path.join(d, "out"), os.path.join(d, "ckpt"))
-    return spark.read.parquet(os.path.join(d, "out"))
+    log = Fixtures(spark, sf).fetch_log()
+    log.write.parquet(os.path.join(d, "log"))
+    stored = spark.read.parquet(os.path.join(d, "log"))
+    # the log's files are in no order of time, and a request's attempts may be
+    # far apart: the session and the delay cover the log. A marker row
+    # far behind the last attempt, in a later file, ends the log.
+    days = stored.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
+    span = f"{days + 1} days"
+    marker = stored.agg(F.max("ts").alias("last")).select(
+        F.lit(-1).cast("long").alias("req_id"),
+        *[(F.col("last") + F.expr(f"interval {3 * days + 4} days") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in stored.schema if f.name != "req_id"],
+    )
+    marker.write.mode("append").parquet(os.path.join(d, "log"))
+    s = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 4).parquet(os.path.join(d, "log"))
+    out = os.path.join(d, "out")
+    J.stream_request_state(s, out, os.path.join(d, "ckpt"), idle=span, delay=span, jitter=False)
+    return spark.read.parquet(out).drop("batch")
 
 
 def q_stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:

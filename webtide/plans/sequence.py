@@ -1,88 +1,34 @@
-"""Row numbers within a key that stay balanced when one key is huge.
+"""Row numbers within a key that may hold any share of all rows.
 
 ``row_number() over (partition by key order by …)`` sends every row of a
-key to one task; if one key holds a third of the table, so does one task.
-Here the rows are range-partitioned on (key, order…) instead, so a hot key
-is cut into several balanced ranges. Each row's number is
-
-    (rows of its key in earlier ranges)  +  (its position in its range)
-
-The first term is a prefix sum over a small table of per-(key, range)
-counts; the second comes from one ordered pass over each sorted range
-(vectorised with numpy inside the task). Range bounds come from a random
-sample, so the range-partitioned rows are checkpointed once (shared
-checkpoint folder) and both terms read the same stored partition ids.
-
-``row_number_by_key`` picks the plain window when no key is hot (one cheap
-count job decides) and the balanced form otherwise.
+key to one task. Here rows are numbered within (key, bucket), where the
+bucket never falls along the order, such as the day of a time stamp. A
+row's number is its number in the bucket plus the rows of its key in
+earlier buckets; those come from the counts, one row for each key and
+bucket. Nothing is sampled or stored, so a rerun gives the same plan and
+the same numbers. Null keys, buckets and order values are values like any
+other (nulls first).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import cut_lineage
-from .joins import BROADCAST_MAX_ROWS, has_at_most
-
-
-def _local_rank_fn(key: str):
-    def fn(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        last_key, last_n = None, 0
-        for b in batches:
-            k = b.column(key).to_numpy(zero_copy_only=False)
-            n = len(k)
-            if n == 0:
-                continue
-            starts = np.ones(n, dtype=bool)
-            starts[1:] = k[1:] != k[:-1]
-            idx = np.arange(n)
-            run_start = np.maximum.accumulate(np.where(starts, idx, 0))
-            rank = idx - run_start + 1
-            # continue the run of the previous batch's last key
-            if last_key is not None and k[0] == last_key:
-                first_run = run_start == 0
-                rank[first_run] += last_n
-            last_key, last_n = k[-1], int(rank[-1])
-            yield b.append_column("_lr", pa.array(rank.astype(np.int64)))
-
-    return fn
-
-
-def row_number_balanced(df: DataFrame, key: str, order: list[str], out: str = "rn",
-                        partitions: int | None = None) -> DataFrame:
-    """Adds ``out`` = row_number() over (partition by key order by order),
-    1-based. ``order`` must make the order total (end with a unique id)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(n, key, *order).withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_lr", T.LongType())])
-    local = ranged.sortWithinPartitions(key, *order).mapInArrow(_local_rank_fn(key), schema)
-    stats = ranged.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).select(key, "_pid", "_off")
-    if has_at_most(offsets, BROADCAST_MAX_ROWS):
-        offsets = F.broadcast(offsets)
-    j = local.join(offsets, [key, "_pid"])
-    return j.withColumn(out, (F.col("_off") + F.col("_lr")).cast("int")).drop("_pid", "_off", "_lr")
-
-
-# a key is hot when it has more rows than this (one task handles ~tens of
-# millions of narrow rows comfortably; beyond that the group is split)
-HOT_KEY_ROWS = 20_000_000
 
 
-def row_number_by_key(df: DataFrame, key: str, order: list[str], out: str = "rn",
-                      hot_rows: int = HOT_KEY_ROWS, balanced: bool | None = None) -> DataFrame:
-    """row_number() within ``key``: the plain window unless some key has
-    more than ``hot_rows`` rows (or ``balanced`` forces the choice)."""
-    if balanced is None:
-        biggest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-        balanced = biggest > hot_rows
-    if balanced:
-        return row_number_balanced(df, key, order, out)
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def row_number_by_key(df: DataFrame, key: str, order: list[str], bucket: Column, out: str = "rn") -> DataFrame:
+    """Adds ``out`` (BIGINT): row_number() within ``key``, 1-based. ``order``
+    must make the order total (end with a unique id), and ``bucket`` must not
+    fall along it."""
+    rows = df.withColumn("_bucket", bucket)
+    counts = rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col(key).alias("_key"), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    within = Window.partitionBy(key, "_bucket").orderBy(*order)
+    numbered = rows.withColumn("_rank", F.row_number().over(within))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_of"))
+    return numbered.join(offsets, same).withColumn(out, F.col("_before") + F.col("_rank")).drop(
+        "_bucket", "_key", "_of", "_before", "_rank"
+    )

@@ -9,12 +9,13 @@ Every view reads whole tables; its size grows with them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 
 # fetch attempt log over `events` (shared text; checked equal in both engines)
 FETCH_LOG = """
-select user_id*10000 + cast(floor(rn/3) as bigint) as req_id,
+select user_id*1000000000 + cast(floor(rn/3) as bigint) as req_id,
        cast(rn%3 as int) as attempt, ts, event_id,
        case when event_id%2=0 then 'http' else 'playwright' end as engine,
        case event_type
@@ -257,15 +258,14 @@ class Fixtures:
         return self.spark.sql(text, **kw)
 
     def fetch_log(self) -> DataFrame:
-        """Same rows as FETCH_LOG; the per-user numbering switches to the
-        balanced row number when one user is hot (split over several
-        tasks instead of one)."""
+        """Same rows as FETCH_LOG; a user's events are numbered day by day, so
+        a hot user is split over several tasks."""
         from ..plans.sequence import row_number_by_key
 
         ev = self.t("events").selectExpr(
             "event_id", "cast(ts as timestamp) as ts", "user_id", "event_type", "value"
         )
-        numbered = row_number_by_key(ev, "user_id", ["ts", "event_id"], out="rn1")
+        numbered = row_number_by_key(ev, "user_id", ["ts", "event_id"], F.to_date("ts"), out="rn1")
         body = FETCH_LOG[: FETCH_LOG.index("from (select e.*")]
         return self._sql(body + " from (select e.*, rn1 - 1 as rn from {events} e) x", events=numbered)
 

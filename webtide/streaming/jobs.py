@@ -2,28 +2,24 @@
 
 The reference handles independent requests as they arrive; here that is a
 stream of page files or attempt rows. Stateless jobs reuse the batch column
-functions unchanged; the per-request state machine (E3) runs in
-``applyInPandasWithState`` with event-time timeouts. Every job writes to a
+functions unchanged; the per-request state (E3) is a session window whose
+closed requests go through the batch operator. Every job writes to a
 sink with a checkpoint under the shared checkpoint folder, so a restarted
 query resumes where it stopped.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULTS, Limits
 from ..operators import gates as G
 from ..operators.extraction import extract_pages, reading_figures
-from ..operators.outcomes import classify_attempts
-from ..plans.joins import BROADCAST_MAX_ROWS, has_at_most
+from ..operators.outcomes import classify_attempts, final_outcome
 from ..session import shared_path
 from ..sources.readers import PAGE_SCHEMA
 
@@ -126,133 +122,40 @@ def stream_outcomes(attempts: DataFrame, window: str = "1 hour", delay: str = "2
 
 # --- E3 -----------------------------------------------------------------------------
 
-STATE_SCHEMA = T.StructType(
-    [
-        T.StructField("n", T.IntegerType()),
-        T.StructField("antibot", T.BooleanType()),
-        T.StructField("elapsed", T.DoubleType()),
-        T.StructField("dur", T.LongType()),
-        T.StructField("wait_total", T.DoubleType()),
-        T.StructField("wait_last", T.DoubleType()),
-        T.StructField("done", T.BooleanType()),
-        T.StructField("engine", T.StringType()),
-        T.StructField("status", T.IntegerType()),
-        T.StructField("err_status", T.IntegerType()),
-        T.StructField("msg", T.StringType()),
-        T.StructField("code", T.StringType()),
-        T.StructField("http", T.IntegerType()),
-        T.StructField("retryable", T.BooleanType()),
-        T.StructField("hit", T.BooleanType()),
-    ]
-)
-OUT_SCHEMA = T.StructType(
-    [
-        T.StructField("req_id", T.LongType()),
-        T.StructField("engine", T.StringType()),
-        T.StructField("attempts", T.IntegerType()),
-        T.StructField("was_antibot", T.BooleanType()),
-        T.StructField("status_code", T.IntegerType()),
-        T.StructField("outcome", T.StringType()),
-        T.StructField("error_code", T.StringType()),
-        T.StructField("error_message", T.StringType()),
-        T.StructField("http_status", T.IntegerType()),
-        T.StructField("total_wait_ms", T.DoubleType()),
-        T.StructField("duration_ms", T.LongType()),
-        T.StructField("emitted_by", T.StringType()),
-    ]
-)
+ATTEMPT_COLUMNS = ["event_id", "ts", "engine", "status", "err_msg", "content_type", "retry_after", "dur_ms"]
 
 
-def _request_state_fn(cfg: Limits, timeout_secs: int, idle_ms: int):
-    deadline = timeout_secs * 1000.0
-    max_a = max(1, cfg.max_attempts)
-
-    def emit(key, s, why):
-        (rid,) = key
-        failed = s["msg"] is not None
-        status = (s["err_status"] if failed else (s["status"] if s["status"] not in (None, 0) else None))
-        return pd.DataFrame([{
-            "req_id": rid, "engine": s["engine"], "attempts": int(s["n"] - (1 if s["hit"] else 0)),
-            "was_antibot": bool(s["antibot"]), "status_code": status,
-            "outcome": "error" if failed else "success", "error_code": s["code"], "error_message": s["msg"],
-            "http_status": s["http"], "total_wait_ms": float(s["wait_total"] - s["wait_last"]),
-            "duration_ms": int(s["dur"]), "emitted_by": why,
-        }])
-
-    def fn(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            s = dict(zip(STATE_SCHEMA.fieldNames(), state.get))
-            state.remove()
-            if not s["done"]:
-                yield emit(key, s, "timeout")
-            return
-        if state.exists:
-            s = dict(zip(STATE_SCHEMA.fieldNames(), state.get))
-        else:
-            s = {"n": 0, "antibot": False, "elapsed": 0.0, "dur": 0, "wait_total": 0.0, "wait_last": 0.0,
-                 "done": False, "engine": None, "status": None, "err_status": None, "msg": None, "code": None,
-                 "http": None, "retryable": None, "hit": False}
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        out = None
-        last_ts = None
-        for r in rows.itertuples(index=False):
-            last_ts = r.ts
-            if s["done"]:
-                continue
-            s["n"] += 1
-            hit = s["elapsed"] >= deadline
-            retry = bool(r.retry) and not hit
-            wait = 0.0
-            if retry and s["n"] < max_a:
-                ra = r.retry_after_ms
-                wait = float(ra) if ra is not None and not pd.isna(ra) else float(
-                    min(cfg.backoff_cap_ms, cfg.backoff_base_ms * 2 ** max(0, s["n"] - 1)))
-            s["hit"] = hit
-            s["engine"] = r.engine
-            s["status"] = None if hit else (None if pd.isna(r.status) else int(r.status))
-            s["err_status"] = None if hit or pd.isna(r.err_status) else int(r.err_status)
-            s["msg"] = "Timeout" if hit else (None if r.error_message is None or pd.isna(r.error_message) else r.error_message)
-            s["code"] = "FETCH_TIMEOUT" if hit else (None if r.error_code is None or pd.isna(r.error_code) else r.error_code)
-            s["http"] = 504 if hit else (None if pd.isna(r.error_http) else int(r.error_http))
-            s["antibot"] = s["antibot"] or (False if hit else bool(r.antibot))
-            s["dur"] += 0 if hit else int(r.dur_ms)
-            s["wait_total"] += wait
-            s["wait_last"] = wait
-            s["elapsed"] += (0 if hit else float(r.dur_ms)) + wait
-            terminal = s["msg"] is None or not retry or s["n"] >= max_a
-            if terminal:
-                s["done"] = True
-                out = emit(key, s, "terminal")
-        state.update(tuple(s[f] for f in STATE_SCHEMA.fieldNames()))
-        if last_ts is not None:
-            state.setTimeoutTimestamp(int(pd.Timestamp(last_ts).timestamp() * 1000) + idle_ms)
-        if out is not None:
-            yield out
-
-    return fn
-
-
-def stream_request_state(attempts: DataFrame, cfg: Limits = DEFAULTS, timeout_secs: int = DEFAULTS.fetch_timeout_secs,
-                         delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
-    """Per-request state machine over an attempt stream (rows carry
-    req_id): attempts counted, anti-bot flag kept, deadline charged; the
-    final outcome is emitted on success / terminal error / max attempts, or
-    when the request has been idle past the event-time timeout. Attempts
-    are classified by the batch expressions before they reach Python."""
-    c = classify_attempts(attempts, cfg).select(
-        "req_id", "event_id", "ts", "engine", "status", "dur_ms", "error_message", "err_status", "error_code",
-        "error_http", "retry", "antibot", "retry_after_ms",
-    )
+def request_sessions(attempts: DataFrame, idle: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """The attempts of each request, gathered until it has been idle for
+    ``idle`` and the watermark (``delay`` behind the newest attempt) has
+    passed that. Spark merges sessions whatever the order in which attempts
+    arrive; a request has a handful of attempts, so a session is small.
+    Attempts later than the watermark are dropped, so ``delay`` must cover
+    the disorder of the source."""
     return (
-        c.withWatermark("ts", delay)
-        .groupBy("req_id")
-        .applyInPandasWithState(
-            _request_state_fn(cfg, timeout_secs, idle_ms), OUT_SCHEMA, STATE_SCHEMA, "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+        attempts.withWatermark("ts", delay)
+        .groupBy(F.session_window("ts", idle).alias("session"), "req_id")
+        .agg(F.collect_list(F.struct(*ATTEMPT_COLUMNS)).alias("attempts"))
     )
 
 
+def stream_request_state(attempts: DataFrame, out: str, ckpt: str, cfg: Limits = DEFAULTS,
+                         timeout_secs: int = DEFAULTS.fetch_timeout_secs, idle: str = "1 hour", delay: str = "1 hour",
+                         jitter: bool = True) -> None:
+    """The final outcome of each request over an attempt stream (rows
+    carry req_id). A closed request's attempts go through the batch operator
+    (D10), so stream and batch cannot differ. Each micro-batch overwrites a
+    folder named by its id, so a replayed batch is idempotent."""
+
+    def per_batch(closed: DataFrame, batch_id: int) -> None:
+        rows = closed.select("req_id", F.explode("attempts").alias("a")).select("req_id", "a.*")
+        final_outcome(rows, cfg, jitter, timeout_secs).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    sessions = request_sessions(attempts, idle, delay)
+    q = sessions.writeStream.foreachBatch(per_batch).outputMode("append").option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 # --- E4 / E5 -------------------------------------------------------------------------
 
 
@@ -266,9 +169,9 @@ def stream_quarantine(requests: DataFrame, good_path: str, bad_path: str, ckpt:
         v = G.quarantine_lanes(G.validate_page_requests(df)).persist()
         try:
             v.where("lane = 'valid'").drop("errors").write.mode("overwrite").parquet(
-                os.path.join(good_path, f"batch={batch_id}"))
+                f"{good_path}/batch={batch_id}")
             v.where("lane = 'invalid'").withColumn("details", F.array_join("errors", "; ")).drop("errors") \
-                .write.mode("overwrite").parquet(os.path.join(bad_path, f"batch={batch_id}"))
+                .write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
         finally:
             v.unpersist()
 
@@ -277,27 +180,5 @@ def stream_quarantine(requests: DataFrame, good_path: str, bad_path: str, ckpt:
 
 
 def stream_blocklist(links: DataFrame, blocklist: DataFrame, host: str = "host", domain: str = "domain") -> DataFrame:
-    """E5: tracker anti-join of a link stream against a static list
-    (broadcast, each suffix depth probed as an equi-join)."""
-    from ..session import cut_lineage
-
-    # the static list is deduplicated and stored once, not per micro-batch
-    # and depth; it is broadcast only when its row count is bounded
-    bl = cut_lineage(blocklist.select(F.lower(F.col(domain)).alias("_d")).distinct())
-    if has_at_most(bl, BROADCAST_MAX_ROWS):
-        bl = F.broadcast(bl)
-    h = F.lower(F.col(host))
-    labels = F.split(h, r"\.")
-    out = links
-    # hostnames have at most 127 labels; probe each depth present
-    for k in range(1, 128):
-        if k > 12:
-            break
-        sfx = F.when(F.size(labels) >= k, F.array_join(F.slice(labels, -k, k), "."))
-        out = out.withColumn("_k", sfx).join(bl, F.col("_k") == F.col("_d"), "left_anti")
-    deep = F.size(labels) > 12
-    # rare deeper hosts: exact check of every remaining suffix
-    rest = out.where(deep).withColumn("_sfx", F.transform(F.sequence(F.lit(13), F.size(labels)),
-                                                          lambda i: F.array_join(F.slice(labels, -i, i), ".")))
-    rest = rest.join(bl, F.array_contains(F.col("_sfx"), F.col("_d")), "left_anti").drop("_sfx")
-    return out.where(~deep | h.isNull()).unionByName(rest).drop("_k")
+    """E5: tracker anti-join of a link stream against a static list."""
+    return G.tracker_antijoin(links, blocklist, host, domain)
