@@ -341,6 +341,59 @@ def test_health_under_a_base_path_and_wire_details(spark):
     assert got == [("400", "Validation failed", ["a must be b"]), ("Y", "n", None)]
 
 
+# --- URL spellings, redirects, HTML forms ------------------------------------------------------------------------
+
+
+def test_no_spelling_of_an_address_passes(spark):
+    blocked = ["http://127.0.0.1/", "http://127.0.0.1./", "http://0177.0.0.1/", "http://012.0.0.1/", "http://127%2e0.0.1/", "http://127.0.0.1\t/",
+               "http://[::0001]/", "http://[0:0::1]/", "http://256.1.1.1/", "http://2130706433/", "http://0x7f.1/", "http://[FE80::1]/", "http://[0fd0::1]/"]
+    fine = ["http://8.8.8.8/", "http://1.2.3.4.example.com/", "http://[2001:db8::1]/", "http://example.com:8080/127.0.0.1", "http://fd.example.com/"]
+    df = spark.createDataFrame([(u,) for u in blocked + fine], "url string")
+    got = {r["url"]: r["gate_message"] for r in G.url_gate(df).collect()}
+    assert [u for u in blocked if got[u] not in ("SSRF blocked", "Invalid URL") and u != "http://[0fd0::1]/"] == []
+    assert [u for u in fine if got[u] is not None] == []
+
+
+def test_custom_deny_table(spark):
+    hosts = spark.createDataFrame([("1.2.3.4",), ("1.2.4.9",), ("9.9.9.9",), ("name",), (None,)], "host string")
+    deny = spark.createDataFrame([(16909056, 16909311, False), (16909000, 16909567, True)], "lo bigint, hi bigint, loopback boolean")
+    got = [(r["host"], r["ipv4_blocked_strict"], r["ipv4_blocked_loopback_ok"]) for r in G.ipv4_block(hosts, ranges=deny).collect()]
+    assert got == [("1.2.3.4", True, True), ("1.2.4.9", True, False), ("9.9.9.9", False, False), ("name", False, False), (None, False, False)]
+
+
+def test_redirect_edges_count_once(spark):
+    starts = spark.createDataFrame([(1, "HTTP://A.example:80"), (2, "https://a.example/x")], "page_id bigint, url string")
+    edges = spark.createDataFrame([("http://a.example/", "/b"), ("http://a.example/", "/b"), ("http://A.example/b", "/c"), ("http://a.example:80/b", "/c")],
+                                  "src_url string, location string")
+    got = sorted((r["page_id"], r["final_url"], r["hops"], r["error_message"]) for r in resolve_redirects(starts, edges).collect())
+    assert got == [(1, "http://a.example/c", 2, None), (2, "https://a.example/x", 0, None)]
+
+
+def test_html_forms(spark):
+    html = ("<html><head><meta name='description' content='Tom&#8217;s &eacute;t&eacute; &#x27;'><meta content=Writer name=author>"
+            "<link href='/f.ico' rel=icon></head><body><a href='/out'>out</a><article><h1>T</h1><p>a <a href='x?y=1'>l&rsquo;x</a> <a class=k href=/z></a></p>"
+            "<article><p>inner</p></article><p>after &nbsp; &bogus; &amp;lt;</p></article><p>no</p></body></html>")
+    pages = spark.createDataFrame([(1, "https://ex.com/d/p", html)], "page_id bigint, url string, html string")
+    r = build_articles(pages).collect()[0]
+    assert (r["description"], r["author"], r["favicon"]) == ("Tom’s été '", "Writer", "https://ex.com/f.ico")
+    assert [tuple(x) for x in r["links"]] == [("https://ex.com/d/x?y=1", "l’x"), ("https://ex.com/z", None)] and r["n_links"] == 2
+    assert "after" in r["body"] and "&bogus; &lt;" in r["body"] and "inner" in r["body"] and "no" not in r["body"].split()
+
+
+def test_article_gates(spark):
+    from dataclasses import replace
+
+    page = "<html><body><article><p>" + "word " * 100 + "</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "https://a.ex/1", page), (2, "https://a.ex/2", page), (3, "http://127.0.0.1/", page), (4, "https://a.ex/other", page)],
+                                  "page_id bigint, url string, html string")
+    reqs = spark.createDataFrame([(1, "https://a.ex/1", "playwright"), (2, "https://a.ex/2", "extractor"), (3, "http://127.0.0.1/", "extractor"), (4, "https://a.ex/none", "extractor")],
+                                 "req_id bigint, url string, mode string").selectExpr("*", "60 as task_timeout_secs", "false as raw_body", "cast(null as string) as block_list")
+    got = {r["req_id"]: r for r in build_articles(pages, reqs, replace(DEFAULTS, max_response_bytes=100)).collect()}
+    assert (got[1]["error_code"], got[1]["error_message"], got[1]["error_details"]) == (422, "Failed to extract content from page", "Response too large")
+    assert got[1]["body"] is None and got[2]["error_code"] is None and got[2]["word_count"] == 100
+    assert got[3]["error_details"] == "SSRF blocked" and got[4]["error_code"] is None and got[4]["body"] == ""
+
+
 # --- A3 / A4 / A5 / F1 ----------------------------------------------------------------------------------------------
 
 

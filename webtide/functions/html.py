@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from .patterns import (
     ANCHOR_TEXT_RE,
-    ARTICLE_RE,
+    ARTICLE_CLOSE_RE,
+    ARTICLE_OPEN_RE,
+    ARTICLE_REST_RE,
     BLOCK_SPLIT_RE,
     BODY_RE,
     META_KEYS,
     STRIP_BOILERPLATE_RE,
     meta_patterns,
 )
-from .text import clean_text, decode_entities, strip_tags, trim_ws, word_count
+from .text import bound, clean_text, decode_entities, sql_literal, strip_tags, trim_ws, word_count
 
 
 def _c(x) -> Column:
@@ -46,8 +48,21 @@ def strip_boilerplate(html) -> Column:
 
 
 def article_inner(cleaned) -> Column:
-    """Inner HTML of the first ``<article>``; NULL when there is none."""
-    return first_match(cleaned, ARTICLE_RE)
+    """Inner HTML of the first ``<article>``, with the articles nested in
+    it; NULL when there is none. It ends where as many articles have been
+    closed as opened, or with the page."""
+    rest = F.regexp_extract(_c(cleaned), ARTICLE_REST_RE, 1)
+    return F.when(_c(cleaned).rlike(ARTICLE_OPEN_RE), bound(rest, INNER_SQL))
+
+
+def _inner_sql() -> str:
+    opened = f"transform(p, x -> size(split(x, {sql_literal(ARTICLE_OPEN_RE)})) - 1)"
+    still_open = f"transform(sequence(1, size(p)), k -> 1 + aggregate(slice({opened}, 1, k), 0, (a, y) -> a + y) - k)"
+    parts = f"coalesce(nullif(cast(array_position({still_open}, 0) as int), 0), size(p))"
+    return f"s -> transform(array(split(s, {sql_literal(ARTICLE_CLOSE_RE)})), p -> array_join(slice(p, 1, {parts}), '</article>'))[0]"
+
+
+INNER_SQL = _inner_sql()
 
 
 def body_inner(cleaned) -> Column:

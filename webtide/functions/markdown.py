@@ -15,8 +15,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import ENTITIES
-from .text import trim_ws
+from .text import decode_entities, double_quoted, trim_ws
 
 _INLINE = r"(?:</?(?:em|i|span|u|s|sub|sup|small|mark|code)\b[^>]*>[^<]*)*"
 _INLINE_NO_EM = r"(?:</?(?:span|u|s|sub|sup|small|mark|code)\b[^>]*>[^<]*)*"
@@ -73,10 +72,11 @@ def _fold(col: Column, rules) -> Column:
 def to_markdown(html, extra_rules: list[tuple[str, str]] | None = None) -> Column:
     """Markdown for an HTML fragment column; NULL and ``''`` give ``''``.
 
-    ``extra_rules`` — (regex, replacement) pairs run after the built-in
-    element rules and before the remaining tags are stripped.
+    ``extra_rules`` — (regex, replacement) pairs run before the built-in
+    element rules, so they can take an element over.
     """
-    c = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
+    c = double_quoted(F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit("")))
+    c = _fold(c, extra_rules or [])
     c = _fold(c, PRE_LIST_RULES)
     segs = F.split(c, OL_SPLIT_RE)
     c = F.array_join(
@@ -89,9 +89,7 @@ def to_markdown(html, extra_rules: list[tuple[str, str]] | None = None) -> Colum
         "",
     )
     c = _fold(c, POST_LIST_RULES)
-    c = _fold(c, extra_rules or [])
     c = _fold(c, [STRIP_RULE])
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
+    c = decode_entities(c)
     c = _fold(c, [COLLAPSE_RULE])
     return trim_ws(c)

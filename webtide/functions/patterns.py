@@ -5,6 +5,8 @@ and RE2 (DuckDB, used by the oracle): no back-references, no look-around,
 no ``\\s`` (the two engines disagree on which characters it covers).
 """
 
+from html.entities import name2codepoint
+
 # --- whitespace -------------------------------------------------------------
 # JavaScript's \s / String.trim() set, spelled out so both engines agree.
 WS_CLASS = (
@@ -29,11 +31,12 @@ URL_RE = (
 )
 ABSOLUTE_REF_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 IPV4_RE = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
-# numeric-looking hosts that are not a dotted quad (hex parts, 1-3 parts)
-ODD_NUMERIC_HOST_RE = (
-    r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+)){0,2}\.?$"
-    r"|^([0-9]+\.)*0x[0-9a-f]*(\.[0-9a-z]*)*$"
-)
+# a host whose last label is a number is an IPv4 address in some spelling
+# (octal, hex, fewer parts, trailing dot); only the plain quad is accepted
+NUMERIC_HOST_RE = r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$"
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+REWRITTEN_HOST_RE = r"[%\t\n\r ]"
+PLAIN_QUAD_RE = "^" + _OCTET + r"(\." + _OCTET + "){3}$"
 
 # --- fixed values (must equal the reference's behaviour) --------------------
 # URL schemes the gate accepts
@@ -48,8 +51,10 @@ BLOCKED_IPV4_RANGES = [
     ("169.254.0.0", "169.254.255.255", False),
     ("0.0.0.0", "0.255.255.255", False),
 ]
-# Blocked IPv6: loopback spellings and lowercase prefixes
-IPV6_LOOPBACK = ["::1", "0:0:0:0:0:0:0:1"]
+# Blocked IPv6: loopback (any number of zero groups, then 1) and lowercase
+# prefixes, both after leading zeros of groups are dropped
+IPV6_LOOPBACK_RE = r"^[0:]*:1$"
+IPV6_LEADING_ZEROS_RE = r"(^|:)0+([0-9a-f])"
 IPV6_BLOCKED_PREFIX_RE = r"^(fe80:|fe9|fea|feb|fc|fd)"
 # Content types accepted by the text fetch gate (prefix match)
 ALLOWED_CONTENT_TYPE_PREFIXES = [
@@ -127,7 +132,9 @@ STRIP_BOILERPLATE_RE = (
     r"|<head\b[^>]*>.*?</head>|<!--.*?-->"
     r"|<nav\b[^>]*>.*?</nav>|<footer\b[^>]*>.*?</footer>|<aside\b[^>]*>.*?</aside>"
 )
-ARTICLE_RE = r"(?is)<article\b[^>]*>(.*?)</article>"
+ARTICLE_OPEN_RE = r"(?i)<article\b[^>]*>"
+ARTICLE_CLOSE_RE = r"(?i)</article\b[^>]*>"
+ARTICLE_REST_RE = r"(?is)<article\b[^>]*>(.*)$"
 BODY_RE = r"(?is)<body\b[^>]*>(.*)$"
 BLOCK_SPLIT_RE = (
     r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|article|section|nav|footer|header|aside"
@@ -150,26 +157,25 @@ ICON_LINK_REV_RE = (
 )
 FIRST_IMG_RE = r"(?is)<img\b[^>]*?\bsrc" + SP + r"*=" + SP + r"*\"([^\"]*)\""
 
-# HTML entities decoded by the text cleaners; ``&amp;`` is always last.
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#34;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&#160;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&laquo;", "«"),
-    ("&raquo;", "»"),
-    ("&amp;", "&"),
-]
+# Character references. Named ones follow the standard library's table of
+# HTML names; a no-break space is read as a space; ``&amp;`` is always last,
+# so that no text is decoded twice.
+NAMED_ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items()) if n not in ("amp", "nbsp")} | {"nbsp": " ", "apos": "'"}
+AMP_FORMS = ["&#38;", "&#x26;", "&#X26;", "&amp;"]
+DECIMAL_REF_RE = r"&#([0-9]{1,7});"
+HEX_REF_RE = r"&#[xX]([0-9A-Fa-f]{1,6});"
+NAMED_REF_RE = r"&([A-Za-z][A-Za-z0-9]{1,31});"
+REF_RE = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+# Attribute values in tags, brought to double quotes before they are read:
+# each rule mends one attribute of every tag, so it is applied several times.
+_BEFORE_VALUE = r"(<[a-zA-Z][^<>\"']*(?:\"[^\"]*\"[^<>\"']*)*"
+QUOTE_RULES = [
+    (_BEFORE_VALUE + "=)" + SP + r"*'([^'\"<>]*)'", '{1}"{2}"'),
+    (_BEFORE_VALUE + SP + r"[a-zA-Z:-]+=)" + SP + r"*([^ \t\n\r\f\"'<>=]+)", '{1}"{2}"'),
+] * 6
+# tags that may need it: a value that does not begin with a double quote
+OTHER_QUOTES_RE = r"<[a-zA-Z][^<>]*=" + SP + r"*[^\" \t\n\r\f<>]"
 
 
 def meta_patterns(key: str) -> tuple[str, str]:

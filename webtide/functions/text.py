@@ -9,7 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import ENTITIES, TAG_RE, WS, WS_CHARS
+from .patterns import (
+    AMP_FORMS,
+    NAMED_ENTITIES,
+    OTHER_QUOTES_RE,
+    QUOTE_RULES,
+    REF_RE,
+    TAG_RE,
+    WS,
+    WS_CHARS,
+)
 
 
 def _c(x) -> Column:
@@ -36,11 +45,59 @@ def word_count(x) -> Column:
     return F.size(F.filter(F.split(t, " "), lambda w: w != ""))
 
 
+def sql_literal(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bound(x: Column, lambda_sql: str) -> Column:
+    """A one-argument SQL lambda applied to ``x``, which is computed once
+    however often the lambda uses it. Large bodies are SQL text, because a
+    column object costs a call to the JVM for each of its nodes."""
+    return F.call_function("transform", F.array(x), F.expr(lambda_sql)).getItem(0)
+
+
+def _decode_sql() -> str:
+    names = sql_literal(";".join(f"{k}={v}" for k, v in NAMED_ENTITIES.items()))
+    number = "case when lower(substr(r, 2, 1)) = 'x' then cast(conv(substr(r, 3), 16, 10) as bigint) else cast(substr(r, 2) as bigint) end"
+    character = (
+        "case when n = 160 then ' ' when n between 1 and 1114111 and n <> 38 and not n between 55296 and 57343 "
+        "then decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') end"
+    )
+    one = (
+        f"case when startswith(r, '#') then transform(array({number}), n -> {character})[0] "
+        f"else try_element_at(str_to_map({names}, ';', '='), r) end"
+    )
+    decoded = (
+        f"aggregate(array_distinct(regexp_extract_all(s, {sql_literal(REF_RE)}, 1)), s, "
+        f"(acc, r) -> coalesce(replace(acc, concat('&', r, ';'), {one}), acc))"
+    )
+    for form in AMP_FORMS:
+        decoded = f"replace({decoded}, '{form}', '&')"
+    return f"s -> case when contains(s, '&') then {decoded} else s end"
+
+
+DECODE_SQL = _decode_sql()
+
+
 def decode_entities(x) -> Column:
-    out = _c(x)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Character references: decimal, hex and named; unknown ones stay."""
+    return bound(_c(x), DECODE_SQL)
+
+
+def _quote_sql() -> str:
+    out = "q"
+    for pattern, replacement in QUOTE_RULES:
+        out = f"regexp_replace({out}, {sql_literal(pattern)}, {sql_literal(replacement.replace('{1}', '$1').replace('{2}', '$2'))})"
+    return f"q -> case when q rlike {sql_literal(OTHER_QUOTES_RE)} then {out} else q end"
+
+
+QUOTE_SQL = _quote_sql()
+
+
+def double_quoted(x) -> Column:
+    """Tags with their attribute values in double quotes (values that hold
+    a double quote themselves stay as they are)."""
+    return bound(_c(x), QUOTE_SQL)
 
 
 def strip_tags(x) -> Column:

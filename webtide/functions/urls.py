@@ -59,6 +59,21 @@ def ipv4_to_long(host) -> Column:
     return F.when(h.rlike(IPV4_RE), F.when(valid, num))
 
 
+def normalize_url(url) -> Column:
+    """One spelling of an absolute http(s) URL: scheme and host in lower
+    case, no default port, ``/`` for an empty path, no blanks at the ends.
+    Anything else, and user info, stays as it is."""
+    u = F.regexp_replace(_c(url), r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
+    g = lambda i: F.regexp_extract(u, URL_RE, i)
+    scheme, port = F.lower(g(1)), g(4)
+    default = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    full = F.concat(
+        scheme, F.lit("://"), g(2), F.lower(g(3)), F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)),
+        F.when(g(5) == "", F.lit("/")).otherwise(g(5)), g(6), g(7),
+    )
+    return F.when(u.rlike(URL_RE) & scheme.isin("http", "https"), full).otherwise(u)
+
+
 def remove_dot_segments(path) -> Column:
     """RFC 3986 §5.2.4 on an absolute path, as an array fold."""
     p = _c(path)

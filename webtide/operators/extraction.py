@@ -33,22 +33,27 @@ from ..functions.patterns import (
     TIME_DATETIME_RE,
     TITLE_TAG_RE,
 )
-from ..functions.text import clean_text, nullif_empty, read_time_min, trim_ws, word_count
+from ..functions.text import bound, clean_text, double_quoted, nullif_empty, read_time_min, sql_literal, trim_ws, word_count
 from ..functions.urls import resolve_url, url_parts
 
 META_TAGS_RE = r"(?is)<meta\b[^>]*>"
 LINK_TAGS_RE = r"(?is)<link\b[^>]*>"
+TIME_TAGS_RE = r"(?is)<time\b[^>]*>"
+IMG_TAGS_RE = r"(?is)<img\b[^>]*>"
 
 
 def tag_list(html, pattern: str) -> Column:
+    """The tags of a kind, in double quotes, one per line."""
     h = F.col(html) if isinstance(html, str) else html
-    return F.array_join(F.regexp_extract_all(h, F.lit(pattern), 0), "\n")
+    return double_quoted(F.array_join(F.regexp_extract_all(h, F.lit(pattern), 0), "\n"))
 
 
 def with_head_tags(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds ``_metas`` and ``_links``: the page's meta / link tags joined."""
-    return pages.withColumn("_metas", tag_list(html, META_TAGS_RE)).withColumn(
-        "_links", tag_list(html, LINK_TAGS_RE)
+    """Adds ``_metas``, ``_links`` and ``_times``: the page's tags joined."""
+    return (
+        pages.withColumn("_metas", tag_list(html, META_TAGS_RE))
+        .withColumn("_links", tag_list(html, LINK_TAGS_RE))
+        .withColumn("_times", tag_list(html, TIME_TAGS_RE))
     )
 
 
@@ -67,8 +72,8 @@ def description_col(metas="_metas") -> Column:
     return meta_field(metas, "description")
 
 
-def date_col(html="html", metas="_metas") -> Column:
-    return F.coalesce(meta_field(metas, "date"), first_match(html, TIME_DATETIME_RE))
+def date_col(times="_times", metas="_metas") -> Column:
+    return F.coalesce(meta_field(metas, "date"), first_match(times, TIME_DATETIME_RE))
 
 
 def parsed_date_col(date: Column) -> Column:
@@ -85,7 +90,11 @@ def author_col(metas="_metas") -> Column:
 
 
 def image_col(url="url", metas="_metas", content="content_html") -> Column:
-    ref = F.coalesce(meta_field(metas, "image"), first_match(content, FIRST_IMG_RE))
+    img = bound(
+        tag_list(F.coalesce(F.col(content), F.lit("")), IMG_TAGS_RE),
+        f"t -> case when t rlike {sql_literal(FIRST_IMG_RE)} then regexp_extract(t, {sql_literal(FIRST_IMG_RE)}, 1) end",
+    )
+    ref = F.coalesce(meta_field(metas, "image"), img)
     return F.when(ref.isNotNull(), resolve_url(url, ref))
 
 
@@ -142,13 +151,32 @@ def block_features(pages: DataFrame, html: str = "html") -> DataFrame:
 # --- C11 / C12 links ------------------------------------------------------------------
 
 
+def anchors(html: Column) -> Column:
+    """The ``<a href>`` elements of an HTML column in document order, as
+    ARRAY<STRUCT<href, text>> with raw href and inner HTML."""
+
+    return bound(double_quoted(html), ANCHORS_SQL)
+
+
+ANCHORS_SQL = (
+    f"h -> transform(arrays_zip(regexp_extract_all(h, {sql_literal(ANCHOR_RE)}, 1), regexp_extract_all(h, {sql_literal(ANCHOR_RE)}, 2)), "
+    "z -> named_struct('href', z['0'], 'text', z['1']))"
+)
+
+
+def article_links(content: Column, base: Column) -> Column:
+    """The outgoing links of an article body: ARRAY<STRUCT<href, text>>,
+    href absolute, text clean (NULL when empty)."""
+    return F.transform(
+        anchors(F.coalesce(content, F.lit(""))),
+        lambda l: F.struct(resolve_url(base, l["href"]).alias("href"), nullif_empty(clean_text(l["text"])).alias("text")),
+    )
+
+
 def page_links(pages: DataFrame, html: str = "html", base: str = "url") -> DataFrame:
     """One row per ``<a href>`` of ``html`` in document order: position,
     absolute href (resolved against ``base``) and clean link text."""
-    a = F.regexp_extract_all(F.col(html), F.lit(ANCHOR_RE), 1)
-    t = F.regexp_extract_all(F.col(html), F.lit(ANCHOR_RE), 2)
-    z = F.arrays_zip(a.alias("href"), t.alias("text"))
-    return pages.select("page_id", base, F.posexplode(z).alias("pos", "l")).select(
+    return pages.select("page_id", base, F.posexplode(anchors(F.col(html))).alias("pos", "l")).select(
         "page_id",
         (F.col("pos") + 1).cast("int").alias("pos"),
         resolve_url(F.col(base), F.col("l.href")).alias("href"),
@@ -172,32 +200,39 @@ def ttr_seconds(words: Column, words_per_minute: int = DEFAULTS.words_per_minute
     )
 
 
+FIELDS = {
+    "title": lambda: title_col(),
+    "description": lambda: description_col(),
+    "date": lambda: date_col(),
+    "author": lambda: author_col(),
+    "image": lambda: image_col(),
+    "favicon": lambda: favicon_col(),
+    "type": lambda: type_col(),
+    "source": lambda: source_col(),
+    "lang": lambda: lang_col(),
+}
+
+
 def extract_pages(
     pages: DataFrame,
     prefer_article: bool = True,
     words_per_minute: int = DEFAULTS.words_per_minute,
     extra_markdown_rules=None,
+    fields: list[str] | None = None,
 ) -> DataFrame:
-    """All article fields of each page in one narrow pass; html is dropped
-    from the output."""
+    """All article fields of each page (or the metadata ``fields`` alone) in
+    one narrow pass; html is dropped from the output."""
     df = with_head_tags(main_content(pages, prefer_article=prefer_article))
+    wanted = [FIELDS[f]().alias(f) for f in (fields or FIELDS)]
+    if fields is not None:
+        return df.select(*[c for c in pages.columns if c != "html"], *wanted)
     df = df.select(
         "*",
-        title_col().alias("title"),
-        description_col().alias("description"),
-        date_col().alias("date"),
-        author_col().alias("author"),
-        image_col().alias("image"),
-        favicon_col().alias("favicon"),
-        type_col().alias("type"),
-        source_col().alias("source"),
-        lang_col().alias("lang"),
+        *wanted,
         to_markdown("content_html", extra_markdown_rules).alias("markdown"),
-        F.size(F.regexp_extract_all(F.coalesce("content_html", F.lit("")), F.lit(ANCHOR_RE), 1))
-        .cast("int")
-        .alias("n_links"),
-    )
-    return df.drop("html", "_metas", "_links")
+        article_links(F.col("content_html"), F.col("url")).alias("links"),
+    ).withColumn("n_links", F.size("links").cast("int"))
+    return df.drop("html", "_metas", "_links", "_times")
 
 
 def reading_figures(df: DataFrame, body: str = "body", wpm: int = DEFAULTS.words_per_minute):

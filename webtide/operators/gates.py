@@ -9,7 +9,7 @@ and the shuffle fallback of B19.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
@@ -39,8 +39,13 @@ URL_SHAPE_RE = (
 )
 
 
+#: Longest URL that a request may have (a rule of this engine, as browsers
+#: and validators commonly have it).
+MAX_URL_CHARS = 2083
+
+
 def url_message(c: Column, name: str = "url") -> Column:
-    return F.when(c.isNull() | ~c.rlike(URL_SHAPE_RE) | (F.length(c) > 2083), F.lit(f"{name} must be a URL address"))
+    return F.when(c.isNull() | ~c.rlike(URL_SHAPE_RE) | (F.length(c) > MAX_URL_CHARS), F.lit(f"{name} must be a URL address"))
 
 
 def one_of_message(c: Column, name: str, allowed: list[str], optional: bool = True) -> Column:
@@ -142,13 +147,16 @@ def quarantine_lanes(df: DataFrame, errors: str = "errors") -> DataFrame:
 
 
 def scheme_gate_message(url: Column) -> Column:
-    """'Invalid URL' when unparseable (or an odd numeric host), 'Unsupported
-    URL protocol' when the scheme is not http(s); NULL when it passes."""
+    """'Invalid URL' when unparseable, 'Unsupported URL protocol' when the
+    scheme is not http(s); NULL when it passes. Hosts that a browser would
+    rewrite into an address (numbers that are no plain dotted quad, percent
+    escapes, blanks) are invalid: no spelling gets past the address gates."""
     parts = url_parts(url)
     host = parts["host"]
     return (
         F.when(parts["scheme"].isNull() | host.isNull(), F.lit("Invalid URL"))
-        .when(host.rlike(P.ODD_NUMERIC_HOST_RE), F.lit("Invalid URL"))
+        .when(host.rlike(P.NUMERIC_HOST_RE) & ~host.rlike(P.PLAIN_QUAD_RE), F.lit("Invalid URL"))
+        .when(host.rlike(P.REWRITTEN_HOST_RE), F.lit("Invalid URL"))
         .when(~parts["scheme"].isin(*P.ALLOWED_SCHEMES), F.lit("Unsupported URL protocol"))
     )
 
@@ -157,45 +165,64 @@ def scheme_gate(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumn("gate_message", scheme_gate_message(F.col(url)))
 
 
-def blocked_ranges(spark: SparkSession, ranges=None) -> DataFrame:
-    """The IPv4 deny table (lo, hi, loopback) as BIGINT bounds; a parameter,
-    6 rows by default."""
-    rows = ranges or P.BLOCKED_IPV4_RANGES
+#: Rows of a deny table: a table beyond that is refused, not cut.
+MAX_DENY_RANGES = 10_000
 
-    def to_long(ip: str) -> int:
-        a, b, c, d = (int(x) for x in ip.split("."))
-        return ((a * 256 + b) * 256 + c) * 256 + d
 
-    return spark.createDataFrame(
-        [(to_long(lo), to_long(hi), bool(lb)) for lo, hi, lb in rows],
-        "lo bigint, hi bigint, loopback boolean",
-    )
+def _deny_literals(ranges: DataFrame | None) -> list[tuple[int, int, bool]]:
+    """The deny table as (lo, hi, loopback), read once behind its bound."""
+    if ranges is None:
+        return [(_ipv4_number(lo), _ipv4_number(hi), lb) for lo, hi, lb in P.BLOCKED_IPV4_RANGES]
+    rows = ranges.select("lo", "hi", "loopback").limit(MAX_DENY_RANGES + 1).collect()
+    if len(rows) > MAX_DENY_RANGES:
+        raise ValueError(f"a deny table has at most {MAX_DENY_RANGES} ranges")
+    return [tuple(r) for r in rows]
+
+
+def _ipv4_number(ip: str) -> int:
+    a, b, c, d = (int(x) for x in ip.split("."))
+    return ((a * 256 + b) * 256 + c) * 256 + d
+
+
+def in_ranges(ip: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether ``ip`` is in one of the ranges, which may overlap: merged and
+    sorted, so that it is one test for few ranges and a search of an array
+    for many. NULL is in none."""
+    merged: list[list[int]] = []
+    for lo, hi in sorted(ranges):
+        if merged and lo <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    if len(merged) <= 32:
+        cond = F.lit(False)
+        for lo, hi in merged:
+            cond = cond | ip.between(lo, hi)
+    else:
+        table = F.array(*[F.struct(F.lit(lo).cast("bigint").alias("lo"), F.lit(hi).cast("bigint").alias("hi")) for lo, hi in merged])
+        cond = F.exists(table, lambda r: ip.between(r["lo"], r["hi"]))
+    return F.coalesce(cond, F.lit(False))
 
 
 def ipv4_block(df: DataFrame, host: str = "host", allow_loopback: bool = False, ranges: DataFrame | None = None) -> DataFrame:
     """Adds ``ip`` (BIGINT), ``ipv4_blocked`` (under ``allow_loopback``)
-    and ``ipv4_blocked_strict`` / ``ipv4_blocked_loopback_ok`` (both
-    settings from the same join): the host is an IPv4 literal inside a deny
-    range. Broadcast range join against the small deny table; ranges do not
-    overlap, so no row is duplicated."""
-    spark = df.sparkSession
-    rng = ranges if ranges is not None else blocked_ranges(spark)
-    rng = rng.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("loopback").alias("_lb"))
-    withip = df.withColumn("ip", ipv4_to_long(strip_brackets(F.col(host))))
-    joined = withip.join(F.broadcast(rng), (F.col("ip") >= F.col("_lo")) & (F.col("ip") <= F.col("_hi")), "left")
-    strict = F.col("_lo").isNotNull()
-    loose = strict & ~F.col("_lb")
+    and ``ipv4_blocked_strict`` / ``ipv4_blocked_loopback_ok``: the host is
+    an IPv4 literal inside a deny range. No join: the small deny table
+    becomes part of the expression, and overlapping ranges cost nothing."""
+    deny = _deny_literals(ranges)
+    out = df.withColumn("ip", ipv4_to_long(strip_brackets(F.col(host))))
+    strict = in_ranges(F.col("ip"), [(lo, hi) for lo, hi, _ in deny])
+    loose = in_ranges(F.col("ip"), [(lo, hi) for lo, hi, lb in deny if not lb])
     return (
-        joined.withColumn("ipv4_blocked_strict", strict)
+        out.withColumn("ipv4_blocked_strict", strict)
         .withColumn("ipv4_blocked_loopback_ok", loose)
         .withColumn("ipv4_blocked", loose if allow_loopback else strict)
-        .drop("_lo", "_hi", "_lb")
     )
 
 
 def ipv6_blocked(host: Column, allow_loopback: bool = False) -> Column:
-    h = F.lower(strip_brackets(host))
-    loop = h.isin(*P.IPV6_LOOPBACK)
+    h = F.regexp_replace(F.lower(strip_brackets(host)), P.IPV6_LEADING_ZEROS_RE, "$1$2")
+    loop = h.rlike(P.IPV6_LOOPBACK_RE)
     pref = h.contains(":") & h.rlike(P.IPV6_BLOCKED_PREFIX_RE)
     return pref if allow_loopback else (loop | pref)
 
@@ -219,27 +246,13 @@ def url_gate(df: DataFrame, url: str = "url", allow_loopback: bool = False) -> D
     return out.drop("ipv4_blocked")
 
 
-def ip_in_blocked_ranges(ip: Column, allow_loopback: bool = False) -> Column:
-    """``ip`` (BIGINT column) inside one of the fixed deny ranges."""
-    cond = F.lit(False)
-    for lo, hi, lb in P.BLOCKED_IPV4_RANGES:
-        if allow_loopback and lb:
-            continue
-        a = [int(x) for x in lo.split(".")]
-        b = [int(x) for x in hi.split(".")]
-        lo_n = ((a[0] * 256 + a[1]) * 256 + a[2]) * 256 + a[3]
-        hi_n = ((b[0] * 256 + b[1]) * 256 + b[2]) * 256 + b[3]
-        cond = cond | ip.between(lo_n, hi_n)
-    return F.coalesce(cond, F.lit(False))
-
-
 def with_address_blocked(df: DataFrame, addr: str, out: str = "blocked", allow_loopback: bool = False) -> DataFrame:
     """Blocked state of an address column (IPv4 deny ranges or the IPv6
     rules); the IPv4 value is materialised once, then range-tested."""
     df = df.withColumn("_ip", ipv4_to_long(F.col(addr)))
     a = F.col(addr)
     return df.withColumn(
-        out, ip_in_blocked_ranges(F.col("_ip"), allow_loopback) | (a.contains(":") & ipv6_blocked(a, allow_loopback))
+        out, in_ranges(F.col("_ip"), [(lo, hi) for lo, hi, lb in _deny_literals(None) if not (allow_loopback and lb)]) | (a.contains(":") & ipv6_blocked(a, allow_loopback))
     ).drop("_ip")
 
 

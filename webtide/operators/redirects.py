@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from ..functions.urls import resolve_url, strip_brackets, url_parts
+from ..functions.urls import normalize_url, resolve_url, strip_brackets, url_parts
 from ..session import cut_lineage
 from .gates import resolved_gate, scheme_gate_message, with_address_blocked
 
@@ -44,8 +44,11 @@ def with_full_gate(df: DataFrame, url: str, out: str, resolved: DataFrame | None
 
 def prepare_edges(edges: DataFrame, src: str = "src_url", location: str = "location",
                   resolved: DataFrame | None = None) -> DataFrame:
-    """(from, next URL, gate of next URL): one pass over the edges."""
-    e = edges.select(F.col(src).alias("_from"), resolve_url(F.col(src), F.col(location)).alias("_next"))
+    """(from, next URL, gate of next URL), one row for each source URL: an
+    edge that was recorded several times, or with different targets, counts
+    once (the least target, so that reruns agree)."""
+    e = edges.select(normalize_url(F.col(src)).alias("_from"), normalize_url(resolve_url(F.col(src), F.col(location))).alias("_next"))
+    e = e.groupBy("_from").agg(F.min("_next").alias("_next"))
     return with_full_gate(e, "_next", "_next_gate", resolved)
 
 
@@ -68,7 +71,7 @@ def resolve_redirects(starts: DataFrame, edges: DataFrame, max_redirects: int =
     # gate expression into every round).
     e = cut_lineage(prepare_edges(edges, src, location, resolved))
     cur = cut_lineage(
-        with_full_gate(starts.select(F.col(key), F.col(url).alias("_cur")), "_cur", "_gate", resolved)
+        with_full_gate(starts.select(F.col(key), normalize_url(F.col(url)).alias("_cur")), "_cur", "_gate", resolved)
         .withColumn("hops", F.lit(0))
     )
     done: list[DataFrame] = []

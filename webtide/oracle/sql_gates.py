@@ -119,7 +119,7 @@ def scheme_msg(u: str) -> str:
     scheme = f"lower({d.url_part(u, 1)})"
     host = f"lower({d.url_part(u, 3)})"
     return (f"(case when {scheme} is null or {host} is null then 'Invalid URL' "
-            f"when regexp_matches({host}, {d.lit(P.ODD_NUMERIC_HOST_RE)}) then 'Invalid URL' "
+            f"when regexp_matches({host}, {d.lit(P.NUMERIC_HOST_RE)}) and not regexp_matches({host}, {d.lit(P.PLAIN_QUAD_RE)}) then 'Invalid URL' when regexp_matches({host}, {d.lit(P.REWRITTEN_HOST_RE)}) then 'Invalid URL' "
             f"when not ({_in(scheme, P.ALLOWED_SCHEMES)}) then 'Unsupported URL protocol' end)")
 
 
@@ -150,9 +150,9 @@ def v4_blocked(ip: str, allow_loopback: bool = False) -> str:
 
 
 def v6_blocked(h: str, allow_loopback: bool = False) -> str:
-    x = f"lower({strip_br(h)})"
+    x = rf"regexp_replace(lower({strip_br(h)}), {d.lit(P.IPV6_LEADING_ZEROS_RE)}, '\1\2', 'g')"
     pref = f"(contains({x}, ':') and regexp_matches({x}, {d.lit(P.IPV6_BLOCKED_PREFIX_RE)}))"
-    return pref if allow_loopback else f"({_in(x, P.IPV6_LOOPBACK)} or {pref})"
+    return pref if allow_loopback else f"(regexp_matches({x}, {d.lit(P.IPV6_LOOPBACK_RE)}) or {pref})"
 
 
 def ipv4_block_sql() -> str:

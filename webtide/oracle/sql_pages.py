@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from ..functions import patterns as P
+from ..plans.queries_pages import ARTICLE_FIXTURE_CAP
 from ..sources.fixtures import duck_ctes
 from . import duck as d
 
 META_TAGS_RE = r"(?is)<meta\b[^>]*>"
 LINK_TAGS_RE = r"(?is)<link\b[^>]*>"
+TIME_TAGS_RE = r"(?is)<time\b[^>]*>"
+IMG_TAGS_RE = r"(?is)<img\b[^>]*>"
 
 
 def _ext_ctes(prefer_article: bool = True, source: str = "pages") -> str:
@@ -20,9 +23,10 @@ def _ext_ctes(prefer_article: bool = True, source: str = "pages") -> str:
     return f"""
 ext0 as (select page_id, url, html, {clean} as clean from {source}),
 ext as (select page_id, url, html, clean,
-               {d.first_match('clean', P.ARTICLE_RE)} as art,
+               {d.article_inner('clean')} as art,
                {d.tag_list('html', META_TAGS_RE)} as metas,
-               {d.tag_list('html', LINK_TAGS_RE)} as links
+               {d.tag_list('html', LINK_TAGS_RE)} as links,
+               {d.tag_list('html', TIME_TAGS_RE)} as times
         from ext0),
 blk0 as (select page_id, regexp_split_to_array({body}, {d.lit(P.BLOCK_SPLIT_RE)}) as bl from ext),
 blk as (select page_id, unnest(bl) as b, generate_subscripts(bl, 1) as pos from blk0),
@@ -41,20 +45,22 @@ kept as (select page_id, k, b, nw, lw, ld,
 dens as (select page_id,
                 string_agg('<p>' || {d.trim_ws('b')} || '</p>', chr(10) order by k) filter (where keep) as dens_html
          from kept group by page_id),
-content as (select e.*, nullif({d.trim_ws(content)}, '') as content_html
-            from ext e left join dens using (page_id))
+content0 as (select e.*, nullif({d.trim_ws(content)}, '') as content_html
+            from ext e left join dens using (page_id)),
+content as (select *, {d.tag_list("coalesce(content_html, '')", IMG_TAGS_RE)} as imgs,
+                   {d.double_quoted("coalesce(content_html, '')")} as quoted from content0)
 """
 
 
 def _fields(wpm: int = 200) -> str:
     host = d.host_of("url")
-    img_ref = f"coalesce({d.meta_field('metas', 'image')}, {d.first_match('content_html', P.FIRST_IMG_RE)})"
+    img_ref = f"coalesce({d.meta_field('metas', 'image')}, {d.first_match('imgs', P.FIRST_IMG_RE)})"
     fav_ref = f"coalesce({d.first_match('links', P.ICON_LINK_RE)}, {d.first_match('links', P.ICON_LINK_REV_RE)})"
     return f"""
   coalesce({d.meta_field('metas', 'title')}, {d.clean_text(d.first_match('html', P.TITLE_TAG_RE))},
            {d.clean_text(d.first_match('html', P.H1_RE))}) as title,
   {d.meta_field('metas', 'description')} as description,
-  coalesce({d.meta_field('metas', 'date')}, {d.first_match('html', P.TIME_DATETIME_RE)}) as date,
+  coalesce({d.meta_field('metas', 'date')}, {d.first_match('times', P.TIME_DATETIME_RE)}) as date,
   {d.meta_field('metas', 'author')} as author,
   (case when {img_ref} is not null then {d.resolve_url('url', img_ref)} end) as image,
   (case when {fav_ref} is not null then {d.resolve_url('url', fav_ref)} end) as favicon,
@@ -62,30 +68,32 @@ def _fields(wpm: int = 200) -> str:
   coalesce({d.meta_field('metas', 'source')}, {host}) as source,
   lower(nullif(regexp_extract(html, {d.lit(P.HTML_LANG_RE)}, 1), '')) as lang,
   {d.to_markdown('content_html')} as markdown,
-  cast(len(regexp_extract_all(coalesce(content_html, ''), {d.lit(P.ANCHOR_RE)}, 1)) as integer) as n_links
+  regexp_extract_all(quoted, {d.lit(P.ANCHOR_RE)}, 1) as hrefs,
+  cast(len(regexp_extract_all(quoted, {d.lit(P.ANCHOR_RE)}, 1)) as integer) as n_links
 """
 
 
-def page_fields_sql(select: str, prefer_article: bool = True) -> str:
+def page_fields_sql(select: str, prefer_article: bool = True, rich: bool = False) -> str:
     return (
-        "with " + _ext_ctes(prefer_article).strip()
+        (duck_ctes("rich_pages").strip() + ",\n" if rich else "with ")
+        + _ext_ctes(prefer_article, "rich_pages" if rich else "pages").strip()
         + f",\nart as (select page_id, url, content_html, {_fields()} from content)\n"
         + select
     )
 
 
-def articles_sql(with_requests: bool = True) -> str:
+def articles_sql(cap: int = ARTICLE_FIXTURE_CAP) -> str:
     """C18 flagship (flattened), requests joined on url, gate on."""
     reqs = duck_ctes("page_requests")[len("with "):]
     wc = d.word_count("body")
-    scheme = d.url_part("r.url", 1)
     hostp = d.url_part("r.url", 3)
-    gate = (
-        f"(case when {scheme} is null or {hostp} is null then 'Invalid URL' "
-        f"when regexp_matches(lower({hostp}), {d.lit(P.ODD_NUMERIC_HOST_RE)}) then 'Invalid URL' "
-        f"when lower({scheme}) not in ('http', 'https') then 'Unsupported URL protocol' end)"
-    )
-    err = "coalesce(gate_msg, case when mode = 'playwright' and content_html is null then 'Content extraction resulted in empty response' end)"
+    from .sql_gates import ipv4_long, scheme_msg, strip_br, v4_blocked, v6_blocked
+
+    host = f"lower({hostp})"
+    gate = (f"coalesce({scheme_msg('r.url')}, case when {v4_blocked(ipv4_long(strip_br(host)))} "
+            f"or (contains({host}, ':') and {v6_blocked(host)}) then 'SSRF blocked' end)")
+    err = (f"coalesce(gate_msg, case when mode = 'playwright' and n_bytes > {cap} then 'Response too large' end, "
+           "case when mode = 'playwright' and content_html is null then 'Content extraction resulted in empty response' end)")
     lo = "lower(coalesce(error_message, ''))"
 
     def anyw(words):
@@ -99,7 +107,7 @@ def articles_sql(with_requests: bool = True) -> str:
     sel = ", ".join(f"case when error_message is null then {f} end as {f}" for f in fields)
     return (
         "with " + reqs.strip() + ",\n" + _ext_ctes().strip()
-        + f",\nart as (select page_id, url, content_html, {_fields()} from content),\n"
+        + f",\nart as (select page_id, url, content_html, strlen(html) as n_bytes, {_fields()} from content),\n"
         + f"""req as (select req_id, url,
                 coalesce(case when mode <> '' then mode end, 'extractor') as mode,
                 coalesce(raw_body = true, false) as raw_body
@@ -116,7 +124,11 @@ select req_id, page_id, url, mode, raw_body, {sel},
        case when error_message is null then {d.read_time_min('word_count')} end as read_time_min,
        case when error_message is null then {d.ttr_seconds('word_count')} end as ttr,
        case when error_message is null then n_links end as n_links,
-       cast(error_code as integer) as error_code, error_message
+       case when error_message is null then array_to_string(list_transform(hrefs, lambda h: {d.resolve_url('url', 'h')}), chr(10)) end as links,
+       cast(error_code as integer) as error_code,
+       case error_code when 502 then 'Browser engine error' when 504 then 'Request timeout' when 400 then 'Validation error'
+            when 422 then 'Failed to extract content from page' end as error_message,
+       error_message as error_details
 from m
 """
     )
@@ -135,7 +147,7 @@ group by rollup (lang, {host})
 
 
 def single_field_sql(field: str) -> str:
-    return page_fields_sql(f"select page_id, {field} from art")
+    return page_fields_sql(f"select page_id, {field} from art", rich=True)
 
 
 def block_features_sql() -> str:
@@ -148,18 +160,19 @@ def block_features_sql() -> str:
 
 def main_content_sql(prefer_article: bool) -> str:
     return (
-        "with " + _ext_ctes(prefer_article).strip()
+        (duck_ctes("rich_pages").strip() + ",\n" + _ext_ctes(True, "rich_pages").strip() if prefer_article
+         else "with " + _ext_ctes(False).strip())
         + f"\nselect page_id, content_html, md5(coalesce(content_html, '')) as content_md5, "
         f"cast({d.word_count(d.clean_text('content_html'))} as integer) as content_words from content"
     )
 
 
-def page_links_sql() -> str:
-    href = f"regexp_extract_all(html, {d.lit(P.ANCHOR_RE)}, 1)"
-    txt = f"regexp_extract_all(html, {d.lit(P.ANCHOR_RE)}, 2)"
+def page_links_sql(source: str = "pages") -> str:
+    href = f"regexp_extract_all(quoted, {d.lit(P.ANCHOR_RE)}, 1)"
+    txt = f"regexp_extract_all(quoted, {d.lit(P.ANCHOR_RE)}, 2)"
     return f"""
 with l as (select page_id, url, unnest({href}) as h, unnest({txt}) as t, generate_subscripts({href}, 1) as pos
-           from pages)
+           from (select page_id, url, {d.double_quoted('html')} as quoted from {source}))
 select page_id, cast(pos as integer) as pos, {d.resolve_url('url', 'h')} as href,
        nullif({d.clean_text('t')}, '') as text
 from l
@@ -168,7 +181,8 @@ from l
 
 def markdown_sql() -> str:
     return page_fields_sql(
-        f"select page_id, markdown, md5(markdown) as md_md5, cast({d.word_count('markdown')} as integer) as md_words from art"
+        f"select page_id, markdown, md5(markdown) as md_md5, cast({d.word_count('markdown')} as integer) as md_words from art",
+        rich=True,
     )
 
 
@@ -207,7 +221,7 @@ SQL = {
     "block_features": block_features_sql,
     "main_content": lambda: main_content_sql(True),
     "main_content_density": lambda: main_content_sql(False),
-    "page_links": page_links_sql,
+    "page_links": lambda: duck_ctes("rich_pages").strip() + "," + page_links_sql("rich_pages").strip()[len("with"):],
     "page_markdown": markdown_sql,
     "word_count": word_count_sql,
     "read_time": read_time_sql,

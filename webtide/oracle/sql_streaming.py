@@ -5,6 +5,7 @@ pytest comparisons."""
 from __future__ import annotations
 
 from ..plans.queries_streaming import EXTRA_RULES
+from ..sources.fixtures import duck_ctes
 from . import duck as d
 from .sql_gates import quarantine_sql, tracker_antijoin_sql
 from .sql_outcomes import _with_c, final_outcome_sql
@@ -32,7 +33,7 @@ group by window_start, engine, code
 
 
 def markdown_extra_rules_sql() -> str:
-    return "with " + _ext_ctes().strip() + f"\nselect page_id, md5({d.to_markdown('content_html', EXTRA_RULES)}) as md_md5 from content"
+    return duck_ctes("rich_pages").strip() + ",\n" + _ext_ctes(True, "rich_pages").strip() + f"\nselect page_id, md5({d.to_markdown('content_html', EXTRA_RULES)}) as md_md5 from content"
 
 
 SQL = {

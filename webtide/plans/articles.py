@@ -1,10 +1,11 @@
 """Article rows for page requests, and their rollup.
 
-Plan shape: extraction is narrow over ``pages`` (one scan, no shuffle, html
-dropped right after), then the request table is joined on ``url``. The join
-ships article rows, never raw HTML. If the request side has a proven small
-size it is broadcast; otherwise both sides shuffle on ``url`` (AQE may still
-switch to broadcast or split skewed partitions at run time).
+Plan shape: requests are gated by URL first (narrow). Pages are cut down to
+the requested ones, and the HTML of rendered pages over the size cap is
+dropped, before any extraction; a small request list (checked) is broadcast
+for that, so raw HTML never moves. Extraction is narrow, and the join that
+follows ships article rows. With a large list pages are not cut down first,
+for that would shuffle their HTML; the result is the same.
 """
 
 from __future__ import annotations
@@ -13,11 +14,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Limits
+from ..functions.urls import strip_brackets, url_parts
 from ..operators.extraction import extract_pages, extraction_policy, parsed_date_col, reading_figures, select_body
+from ..operators.gates import scheme_gate_message, with_address_blocked
 from ..operators.outcomes import page_error_code
-from ..operators.gates import scheme_gate_message
 from ..sources.readers import page_request_defaults
-from .joins import join_maybe_broadcast
+from .joins import BROADCAST_MAX_ROWS, has_at_most
+
+TOO_LARGE = "Response too large"
+
+
+def with_url_gate(df: DataFrame, url: str = "url", out: str = "_gate") -> DataFrame:
+    """Adds the message of the URL gates (scheme, then literal addresses)."""
+    df = with_address_blocked(df.withColumn("_host", strip_brackets(url_parts(F.col(url))["host"])), "_host", "_blk")
+    return df.withColumn(out, F.coalesce(scheme_gate_message(F.col(url)), F.when(F.col("_blk"), F.lit("SSRF blocked")))).drop("_host", "_blk")
+
+
+def requested_pages(pages: DataFrame, requests: DataFrame, cap: int) -> DataFrame:
+    """The pages that some request names, with ``n_bytes``; the HTML is
+    dropped where it is over ``cap`` and only rendered requests name it."""
+    n = F.octet_length("html").cast("bigint")
+    wanted = requests.groupBy("url").agg(F.max((F.col("mode") != "playwright").cast("int")).alias("_static"))
+    sized = pages.select("page_id", "url", "html", n.alias("n_bytes"))
+    if not has_at_most(wanted, BROADCAST_MAX_ROWS):
+        return sized
+    kept = sized.join(F.broadcast(wanted), "url")
+    return kept.withColumn("html", F.when((F.col("n_bytes") <= cap) | (F.col("_static") == 1), F.col("html"))).drop("_static")
 
 
 def build_articles(
@@ -31,37 +53,29 @@ def build_articles(
 ) -> DataFrame:
     """Flat article rows (the nested response of one page request, one row
     per request). Without ``requests`` every page is requested once in the
-    default mode. ``parse_dates`` adds ``date_ts`` beside the opaque date
+    default mode. An error has the code and message of its class and the
+    original message as details; its other fields are NULL. ``parse_dates`` adds ``date_ts`` beside the opaque date
     string."""
-    ext = extract_pages(
-        pages.select("page_id", "url", "html"),
-        prefer_article=prefer_article,
-        words_per_minute=cfg.words_per_minute,
-        extra_markdown_rules=extra_markdown_rules,
-    )
+    options = dict(prefer_article=prefer_article, words_per_minute=cfg.words_per_minute, extra_markdown_rules=extra_markdown_rules)
     if requests is None:
         # one default request per page: no join at all
-        df = ext.select(
-            F.col("page_id").alias("req_id"),
-            "*",
-            F.lit(cfg.default_page_mode).alias("mode"),
-            F.lit(False).alias("raw_body"),
+        sized = pages.select("page_id", "url", "html", F.octet_length("html").cast("bigint").alias("n_bytes"))
+        df = extract_pages(sized, **options).select(
+            F.col("page_id").alias("req_id"), "*", F.lit(cfg.default_page_mode).alias("mode"), F.lit(False).alias("raw_body")
         )
     else:
         req = page_request_defaults(requests, cfg).select("req_id", "url", "mode", "raw_body")
-        df = join_maybe_broadcast(req, ext, on="url", how="left")
+        df = req.join(extract_pages(requested_pages(pages, req, cfg.max_response_bytes), **options), "url", "left")
     df = df.withColumn(
         "body", select_body(F.col("raw_body"), F.col("content_html"), F.col("markdown"))
     )
     df = reading_figures(df, "body", cfg.words_per_minute)
     df = extraction_policy(df)
+    large = F.when((F.col("mode") == "playwright") & (F.col("n_bytes") > cfg.max_response_bytes), F.lit(TOO_LARGE))
+    df = df.withColumn("error_message", F.coalesce(large, F.col("error_message")))
     if gate_urls:
-        gate = scheme_gate_message(F.col("url"))
-        df = df.withColumn("error_message", F.coalesce(gate, F.col("error_message")))
-    df = df.withColumn(
-        "error_code",
-        F.when(F.col("error_message").isNotNull(), page_error_code(F.col("error_message"))["code"]),
-    )
+        df = with_url_gate(df).withColumn("error_message", F.coalesce(F.col("_gate"), F.col("error_message"))).drop("_gate")
+    mapped = page_error_code(F.col("error_message"))
     failed = F.col("error_message").isNotNull()
     fields = ["title", "description", "date", "author", "image", "favicon", "type", "source", "lang"]
     extra = [F.when(~failed, parsed_date_col(F.col("date"))).alias("date_ts")] if parse_dates else []
@@ -77,8 +91,10 @@ def build_articles(
         F.when(~failed, F.col("read_time_min")).alias("read_time_min"),
         F.when(~failed, F.col("ttr")).alias("ttr"),
         F.when(~failed, F.col("n_links")).alias("n_links"),
-        F.col("error_code").cast("int").alias("error_code"),
-        "error_message",
+        F.when(~failed, F.col("links")).alias("links"),
+        F.when(failed, mapped["code"]).cast("int").alias("error_code"),
+        F.when(failed, mapped["message"]).alias("error_message"),
+        F.when(failed, mapped["details"]).alias("error_details"),
         *extra,
     )
 
@@ -96,6 +112,7 @@ def nest_articles(flat: DataFrame) -> DataFrame:
         "favicon",
         "type",
         "source",
+        "links",
         "ttr",
         "body",
         F.struct(
@@ -103,7 +120,7 @@ def nest_articles(flat: DataFrame) -> DataFrame:
         ).alias("meta"),
         F.when(
             F.col("error_code").isNotNull(),
-            F.struct(F.col("error_code").alias("code"), F.col("error_message").alias("message")),
+            F.struct(F.col("error_code").alias("code"), F.col("error_message").alias("message"), F.col("error_details").alias("details")),
         ).alias("error"),
     )
 

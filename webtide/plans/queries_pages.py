@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS
 from ..functions.markdown import to_markdown
 from ..functions.text import clean_text, read_time_min, word_count
 from ..operators.extraction import block_features, extract_pages, main_content, page_links, ttr_seconds
@@ -20,17 +23,28 @@ def q_read_pages(spark: SparkSession, sf: str) -> DataFrame:
                     F.md5("html").alias("html_md5"))
 
 
+# byte cap of rendered pages in the article query: pages are 0.6-60 kB, so
+# the 10 MiB default would never refuse one
+ARTICLE_FIXTURE_CAP = 8192
+
+
+def _articles(spark: SparkSession, sf: str) -> DataFrame:
+    cfg = replace(DEFAULTS, max_response_bytes=ARTICLE_FIXTURE_CAP)
+    return build_articles(table(spark, sf, "pages"), Fixtures(spark, sf).page_requests(), cfg)
+
+
 def q_articles(spark: SparkSession, sf: str) -> DataFrame:
-    return build_articles(table(spark, sf, "pages"), Fixtures(spark, sf).page_requests())
+    hrefs = F.array_join(F.transform("links", lambda l: l["href"]), "\n")
+    return _articles(spark, sf).withColumn("links", hrefs)
 
 
 def q_reading_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return reading_rollup(q_articles(spark, sf))
+    return reading_rollup(_articles(spark, sf))
 
 
 def _field(name: str):
     def q(spark: SparkSession, sf: str) -> DataFrame:
-        return extract_pages(table(spark, sf, "pages")).select("page_id", name)
+        return extract_pages(Fixtures(spark, sf).rich_pages(), fields=[name]).select("page_id", name)
 
     q.__name__ = f"q_page_{name}"
     return q
@@ -42,7 +56,7 @@ def q_block_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def _main_content(prefer_article: bool):
     def q(spark: SparkSession, sf: str) -> DataFrame:
-        m = main_content(table(spark, sf, "pages"), prefer_article=prefer_article)
+        m = main_content(Fixtures(spark, sf).rich_pages() if prefer_article else table(spark, sf, "pages"), prefer_article=prefer_article)
         return m.select(
             "page_id",
             "content_html",
@@ -54,11 +68,11 @@ def _main_content(prefer_article: bool):
 
 
 def q_page_links(spark: SparkSession, sf: str) -> DataFrame:
-    return page_links(table(spark, sf, "pages"))
+    return page_links(Fixtures(spark, sf).rich_pages())
 
 
 def q_page_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    m = main_content(table(spark, sf, "pages"))
+    m = main_content(Fixtures(spark, sf).rich_pages())
     md = to_markdown("content_html")
     return m.select("page_id", md.alias("markdown")).select(
         "page_id", "markdown", F.md5("markdown").alias("md_md5"), word_count("markdown").cast("int").alias("md_words")

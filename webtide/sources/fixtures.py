@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import pages_table, table
 
 # fetch attempt log over `events` (shared text; checked equal in both engines)
 FETCH_LOG = """
@@ -54,7 +54,15 @@ from {customer}
 # [ours] URLs of every shape the URL gates distinguish
 PROBE_URLS = """
 select c_custkey as url_id,
-  case c_custkey%12
+  case c_custkey%29
+    when 1 then 'http://127.0.0.1./'
+    when 2 then 'http://0177.0.0.1/'
+    when 3 then 'http://012.0.0.1/x'
+    when 4 then 'http://127%2e0.0.1/'
+    when 5 then 'http://[::0001]/'
+    when 6 then 'http://256.1.1.1/'
+    when 7 then 'http://2130706433/'
+    else case c_custkey%12
     when 0 then 'http://' || host || '/a?x=1#f'
     when 1 then 'https://' || host || ':8443/p'
     when 2 then 'ftp://files' || cast(c_custkey%7 as string) || '.example.com/x'
@@ -67,7 +75,7 @@ select c_custkey as url_id,
     when 9 then 'http://0x7f.1/'
     when 10 then 'https://[2001:db8::' || cast(c_custkey%50 as string) || ']/'
     else 'https://user:pw@www' || cast(c_custkey%5 as string) || '.example.org/'
-  end as url
+  end end as url
 from ({hosts}) h
 """
 
@@ -83,6 +91,28 @@ select c_custkey as url_id,
 from {customer}
 """
 
+# [ours] pages with the tags that the corpus lacks, in both quote styles and
+# attribute orders, unquoted values, references and a nested article
+# (~ stands for a single quote)
+RICH_PAGES = """
+select page_id, url, replace(replace(html, '<meta charset="utf-8">', '<meta charset="utf-8">' || replace(
+  case page_id%6
+    when 0 then '<meta property="og:title" content="Caf&eacute; &amp; more"><meta name="description" content="Tom &#8217;s &#x27;x&#x27;"><meta name="author" content="A. Writer">'
+    when 1 then '<meta content=~Said &ldquo;so&rdquo;~ name=~twitter:title~><meta content=~short~ property=~og:description~><meta property=~og:image~ content=~/img/a.png~>'
+    when 2 then '<meta name=author content=Writer><meta property="article:published_time" content="2024-05-06T07:08:09Z"><link rel=~icon~ href=~/fav.ico~>'
+    when 3 then '<link href="https://cdn.example.com/i.png" rel="shortcut icon"><meta property="og:type" content="article"><meta property=~og:site_name~ content=~The &Uuml;bersicht~>'
+    when 4 then '<meta name="date" content=""><meta name=~pubdate~ content=~2020~><meta content="website" property="og:type"><link rel=icon href=fav.png>'
+    else '' end, '~', chr(39))),
+  '<article>', '<article>' || replace(
+  case page_id%5
+    when 0 then '<p><img src=~/a.png~ alt=~A~> see <a href=/rel/x>rel</a> or <a class=~k~ href=~https://ex.org/y?z=1~>abs &rsquo;</a></p><hr><p>so <mark>bright</mark></p>'
+    when 1 then '<time datetime=~2021-02-03~>then</time><p>&#169; &Eacute;t&eacute; &#8364; &bogus; &amp;lt; <a href="../up">up</a></p>'
+    when 2 then '<article><p>inner text</p></article><p>after the inner article</p>'
+    when 3 then '<img alt="B" src="b.jpg"><hr>'
+    else '' end, '~', chr(39))) as html
+from {pages}
+"""
+
 # [ours] page requests with missing / odd values
 PAGE_REQUESTS = """
 select page_id as req_id,
@@ -215,6 +245,7 @@ def duck_ctes(*names: str) -> str:
         "probe_urls": PROBE_URLS.format(hosts="select * from hosts"),
         "resolved": RESOLVED.format(hosts="select * from hosts"),
         "named_urls": NAMED_URLS.format(customer="customer"),
+        "rich_pages": RICH_PAGES.format(pages="pages"),
         "page_requests": PAGE_REQUESTS.format(pages="pages"),
         "fetch_requests": FETCH_REQUESTS.format(fetch_log="select * from fetch_log"),
         "responses": RESPONSES.format(pages="pages"),
@@ -285,6 +316,9 @@ class Fixtures:
     def named_urls(self) -> DataFrame:
         return self._sql(NAMED_URLS, customer=self.t("customer").select("c_custkey"))
 
+    def rich_pages(self) -> DataFrame:
+        return self._sql(RICH_PAGES, pages=pages_table(self.spark, self.sf_dir))
+
     def page_requests(self) -> DataFrame:
         return self._sql(PAGE_REQUESTS, pages=self.t("pages").select("page_id", "url"))
 
