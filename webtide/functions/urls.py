@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import ABSOLUTE_REF_RE, IPV4_RE, URL_RE
-from .text import nullif_empty
+from .text import bound, nullif_empty
 
 
 def _c(x) -> Column:
@@ -74,23 +74,17 @@ def normalize_url(url) -> Column:
     return F.when(u.rlike(URL_RE) & scheme.isin("http", "https"), full).otherwise(u)
 
 
+DOT_SEGMENTS_SQL = (
+    "p -> case when contains(p, '/.') then array_join(concat("
+    "aggregate(slice(split(p, '/'), 2, 1073741824), array(''), (acc, s) -> case when s = '.' then acc "
+    "when s = '..' then (case when size(acc) > 1 then slice(acc, 1, size(acc) - 1) else acc end) else concat(acc, array(s)) end), "
+    "case when element_at(split(p, '/'), -1) in ('.', '..') then array('') else cast(array() as array<string>) end), '/') else p end"
+)
+
+
 def remove_dot_segments(path) -> Column:
     """RFC 3986 §5.2.4 on an absolute path, as an array fold."""
-    p = _c(path)
-    segs = F.split(p, "/")
-    folded = F.aggregate(
-        F.slice(segs, 2, 1 << 30),
-        F.array(F.lit("")),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(
-            s == "..",
-            F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc),
-        )
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    last = F.element_at(segs, -1)
-    folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    return F.when(p.contains("/."), F.array_join(folded, "/")).otherwise(p)
+    return bound(_c(path), DOT_SEGMENTS_SQL)
 
 
 def resolve_url(base, ref) -> Column:

@@ -9,14 +9,26 @@ from ..sources.fixtures import duck_ctes
 from . import duck as d
 from .sql_gates import quarantine_sql, tracker_antijoin_sql
 from .sql_outcomes import _with_c, final_outcome_sql
-from .sql_pages import _ext_ctes, page_fields_sql
+from .sql_pages import _ext_ctes, articles_sql, page_fields_sql
 
 
 def stream_articles_sql() -> str:
     wc = d.word_count("coalesce(markdown, '')")
     return page_fields_sql(
-        f"""select page_id, url, title, lang, cast({wc} as integer) as word_count,
-                   {d.read_time_min(wc)} as read_time_min, md5(coalesce(markdown, '')) as body_md5 from art"""
+        f"""select page_id, url, title, description, date, author, image, favicon, type, source, lang,
+                   cast({wc} as integer) as word_count, {d.read_time_min(wc)} as read_time_min, {d.ttr_seconds(wc)} as ttr,
+                   n_links, cast(null as integer) as error_code, md5(coalesce(markdown, '')) as body_md5 from art"""
+    )
+
+
+def write_articles_sql() -> str:
+    return f"select req_id, url, title, word_count, error_code, error_message, md5(body) as body_md5 from ({articles_sql()})"
+
+
+def write_outcomes_sql() -> str:
+    return (
+        "select case when outcome = 'success' then 'ok' else 'err' end as sink, req_id, outcome, status_code, error_code, attempts, "
+        f"duration_ms from ({final_outcome_sql()})"
     )
 
 
@@ -37,6 +49,8 @@ def markdown_extra_rules_sql() -> str:
 
 
 SQL = {
+    "write_articles": write_articles_sql,
+    "write_outcomes": write_outcomes_sql,
     "stream_articles": stream_articles_sql,
     "stream_outcomes": stream_outcomes_sql,
     "stream_request_state": final_outcome_sql,

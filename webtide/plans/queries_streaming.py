@@ -17,16 +17,45 @@ from ..operators.extension import StdlibExtractor, extract
 from ..operators.extraction import page_links
 from ..session import pages_table
 from ..sources.fixtures import PAGE_REQUESTS, Fixtures
-from ..sources.readers import PAGE_SCHEMA
+from ..operators.outcomes import final_outcome
+from ..sources.readers import PAGE_SCHEMA, scan_objects
+from ..sources.sinks import write_articles, write_outcomes
 from ..streaming import jobs as J
 from .queries_gates import tracker_inputs
+from .queries_pages import _articles
 
 
 def q_stream_articles(spark: SparkSession, sf: str) -> DataFrame:
     d = J.run_dir(spark, "articles")
     s = J.page_stream(spark, sf, glob="pages.parquet")
     J.run_available_now(J.stream_articles(s), os.path.join(d, "out"), os.path.join(d, "ckpt"))
-    return spark.read.parquet(os.path.join(d, "out"))
+    return spark.read.parquet(os.path.join(d, "out")).select(
+        "page_id", "url", "title", "description", "date", "author", "image", "favicon", "type", "source", "lang",
+        "word_count", "read_time_min", "ttr", "n_links", "error_code", "body_md5",
+    )
+
+
+def q_write_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: article rows written and read back."""
+    path = os.path.join(J.run_dir(spark, "sink-articles"), "out")
+    write_articles(_articles(spark, sf), path)
+    back = spark.read.parquet(path)
+    return back.select("req_id", "url", "title", "word_count", "error_code", "error_message", F.md5("body").alias("body_md5"))
+
+
+def q_write_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: outcomes written to two sinks and read back."""
+    d = J.run_dir(spark, "sink-outcomes")
+    ok, err = os.path.join(d, "ok"), os.path.join(d, "err")
+    write_outcomes(final_outcome(Fixtures(spark, sf).fetch_log(), jitter=False), ok, err)
+    cols = ["req_id", "outcome", "status_code", "error_code", "attempts", "duration_ms"]
+    return spark.read.parquet(ok).select(F.lit("ok").alias("sink"), *cols).unionByName(spark.read.parquet(err).select(F.lit("err").alias("sink"), *cols))
+
+
+def q_scan_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: the files of the pages table as binary objects."""
+    m = scan_objects(spark, f"{sf.rstrip('/')}/pages.parquet")
+    return m.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "within_cap")
 
 
 def q_stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,6 +131,9 @@ def q_markdown_extra_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "scan_objects": q_scan_objects,
+    "write_articles": q_write_articles,
+    "write_outcomes": q_write_outcomes,
     "stream_articles": q_stream_articles,
     "stream_outcomes": q_stream_outcomes,
     "stream_request_state": q_stream_request_state,

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Limits
 from ..operators import gates as G
-from ..operators.extraction import extract_pages, reading_figures
 from ..operators.outcomes import classify_attempts, final_outcome
+from ..plans.articles import build_articles
 from ..session import shared_path
 from ..sources.readers import PAGE_SCHEMA
 
@@ -41,22 +41,20 @@ def run_available_now(df: DataFrame, out: str, ckpt: str, fmt: str = "parquet",
 # --- E1 -----------------------------------------------------------------------------
 
 
-def page_stream(spark: SparkSession, src_dir: str, glob: str = "pages*.parquet", max_files: int = 1) -> DataFrame:
+def page_stream(spark: SparkSession, src_dir: str, glob: str = "pages*.parquet", max_bytes: int = 1 << 30) -> DataFrame:
     return (
         spark.readStream.schema(PAGE_SCHEMA)
-        .option("maxFilesPerTrigger", max_files)
+        .option("maxBytesPerTrigger", max_bytes)
         .option("pathGlobFilter", glob)
         .parquet(src_dir)
     )
 
 
 def stream_articles(pages: DataFrame, cfg: Limits = DEFAULTS) -> DataFrame:
-    """The batch extraction projection over arriving pages (stateless,
-    append). Back-pressure comes from ``maxFilesPerTrigger``."""
-    e = extract_pages(pages, words_per_minute=cfg.words_per_minute)
-    e = e.withColumn("body", F.coalesce("markdown", F.lit("")))
-    e = reading_figures(e, "body", cfg.words_per_minute)
-    return e.select("page_id", "url", "title", "lang", "word_count", "read_time_min", F.md5("body").alias("body_md5"))
+    """The batch article row (C18, one default request per page) over
+    arriving pages: stateless, append. A trigger takes a bounded number of
+    bytes."""
+    return build_articles(pages, cfg=cfg).withColumn("body_md5", F.md5("body"))
 
 
 # --- E2 -----------------------------------------------------------------------------
