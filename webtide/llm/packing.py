@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -183,25 +184,44 @@ class Plan:
             self._place(uses, int(min(self.left[c] // n for c, n in used.items())))
 
 
-# The tokenizer's pattern, spelt for ``re``, and the characters
-# beyond which ``re`` and ``str.lower`` may see letters, numbers, blanks or
-# compositions in another way.
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+# The tokenizer's pattern, spelt for ``re`` and lower-cased
+# text, and the characters beyond which ``re`` and ``str.lower`` may see
+# letters, numbers, blanks or compositions in another way.
+_WORD = re.compile(r"[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|(?:[^\w\s]|_)+")
 _BEYOND = re.compile(r"[^\x00-\u024f]|[\u00b2\u00b3\u00b9\u00bc-\u00be\x1c-\x1f\x85\xa0]")
 _BLANK_DELIMITED = re.compile(r"[^ \t\n\r\f\v]+")
+#: Before a part that the whole tokenizer has to read; no match has it.
+_WHOLE = "\x1f"
 
 
 def split(text: str) -> list[str]:
     """Parts of a text that are tokenized each for itself, in order. In common
     alphabets they are the matches of the tokenizer's pattern in the
-    lower-cased text; elsewhere what stands between ASCII blanks, for no
-    token goes across blanks. The tokenizer then reads each part as it is."""
+    lower-cased text, ready for the tokenizer's model; elsewhere what stands
+    between ASCII blanks, marked with ``_WHOLE``, for no token goes across
+    blanks."""
     if _BEYOND.search(text):
-        return _BLANK_DELIMITED.findall(text)
+        return [_WHOLE + w for w in _BLANK_DELIMITED.findall(text)]
     return _WORD.findall(text.lower())
 
 
-def _tokenize(model, end: int):
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level tokenizer writes each byte: visible
+    Latin-1 characters stand for themselves, the others for 256, 257, ..."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def binary_array(offsets, values):
+    """A binary Arrow array of the byte ranges between ``offsets``."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _tokenize(model, end: int, width: str):
     def run(batches):
         import os
 
@@ -213,31 +233,31 @@ def _tokenize(model, end: int):
 
         tokenizer = Tokenizer.from_str(model.value)
         tokenizer.encode_special_tokens = True
-        # without offsets, where the library offers it
-        encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        letters, merge = byte_letters(), tokenizer.model.tokenize
 
         def encode(words):
-            found = [x.ids for x in encode_batch(words, add_special_tokens=False)]
+            found = [
+                tokenizer.encode(w[1:], add_special_tokens=False).ids if w[0] == _WHOLE else [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]
+                for w in words
+            ]
             length = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for x in found for i in x), np.uint32, int(length.sum())), length
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length
 
-        held = PieceIds(encode, np.uint32)
+        held = PieceIds(encode, np.uint32, 400_000)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in groups(texts):
-                counts, words, out = [], [], []
+                counts, words = [], []
                 for t in texts[a:b]:
                     before = len(words)
                     for s in stretches(t):
                         words += split(s)
                     counts.append(len(words) - before)
                 ids, length = held.ids(words)
-                ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)].tolist()
-                start = 0
-                for stop in ends:
-                    out.append(np.append(ids[start:stop], np.uint32(end)).astype("<u4").tobytes())
-                    start = stop
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], pa.array(out, pa.binary())], names=["id", "row", "ids"])
+                ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
+                flat = np.insert(ids, ends, end).astype(width)
+                offsets = np.concatenate([[0], ends + np.arange(1, b - a + 1)]) * flat.itemsize
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], binary_array(offsets, flat)], names=["id", "row", "ids"])
 
     return run
 
@@ -273,19 +293,28 @@ def _pieces(table: list[tuple[int, ...]], sequences: int, window: int, grain: in
     return run
 
 
-def _cut(batches):
-    import numpy as np
-    import pyarrow as pa
+def _cut(width: str):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    for batch in batches:
-        ids = batch.column("ids").to_pylist()
-        pieces = batch.column("pieces").to_pylist()
-        n = np.array([len(p) for p in pieces], np.int64)
-        flat = [x for p in pieces for x in p]
-        repeat = pa.array(np.repeat(np.arange(len(n)), n))
-        cut = [ids[i][4 * x["start"] : 4 * (x["start"] + x["length"])] for i, p in enumerate(pieces) for x in p]
-        columns = [pa.array([x[c] for x in flat], pa.int64()) for c in ("start", "length", "sequence", "offset")]
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(repeat), *columns, pa.array(cut, pa.binary()), batch.column("tokens").take(repeat)], names=["id", "start", "length", "sequence", "offset", "ids", "tokens"])
+        for batch in batches:
+            pieces = batch.column("pieces")
+            repeat = pa.array(np.repeat(np.arange(len(pieces)), np.diff(pieces.offsets.to_numpy())))
+            columns = dict(zip((f.name for f in pieces.type.value_type), pieces.flatten().flatten()))
+            # the pieces of a row follow each other, so all pieces together are
+            # the rows' ids as they stand
+            ids = batch.column("ids")
+            low, high = ids.offset, ids.offset + len(ids) + 1
+            offsets = np.frombuffer(ids.buffers()[1], np.int32)[low:high]
+            flat = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(width).astype("<u4")
+            cuts = np.concatenate([[0], np.cumsum(columns["length"].to_numpy())]) * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(repeat), *[columns[c] for c in ("start", "length", "sequence", "offset")], binary_array(cuts, flat), batch.column("tokens").take(repeat)],
+                names=["id", "start", "length", "sequence", "offset", "ids", "tokens"],
+            )
+
+    return run
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH) -> DataFrame:
@@ -304,11 +333,16 @@ def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text
         raise ValueError("the grain must divide the window")
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
-        model = spark.sparkContext.broadcast(json.dumps(json.load(f)))
+        content = json.load(f)
+    model = spark.sparkContext.broadcast(json.dumps(content))
+    # ids are stored as narrow as the vocabulary allows
+    most = max(end, *content["model"]["vocab"].values(), *(t["id"] for t in content["added_tokens"]))
+    width, size = ("<u2", 2) if most < 1 << 16 else ("<u4", 4)
     texts = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    encoded = stored(texts.mapInArrow(_tokenize(model, end), f"id {kind}, row long, ids binary"))
-    sizes = encoded.select("row", (F.octet_length("ids") / 4).cast("long").alias("tokens"))
+    encoded = stored(texts.mapInArrow(_tokenize(model, end, width), f"id {kind}, row long, ids binary"))
+    tokens = (F.octet_length("ids") / size).cast("long").alias("tokens")
+    sizes = encoded.select("row", tokens)
     classes = window // grain
     rest = F.col("tokens") % window
     # full windows are a class of their own
@@ -325,6 +359,6 @@ def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text
     before = Window.partitionBy("sequence").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     pieces = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     by_row = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence", "offset"))).alias("pieces"))
-    joined = encoded.join(by_row, "row").select("id", "ids", "pieces", (F.octet_length("ids") / 4).cast("long").alias("tokens"))
-    cut = joined.mapInArrow(_cut, f"id {kind}, start long, length long, sequence long, offset long, ids binary, tokens long")
+    joined = encoded.join(by_row, "row").select("id", "ids", "pieces", tokens)
+    cut = joined.mapInArrow(_cut(width), f"id {kind}, start long, length long, sequence long, offset long, ids binary, tokens long")
     return cut.select(F.col("id").alias(id_col), "start", "length", "ids", F.col("tokens").alias("doc_tokens"), F.col("sequence").alias("sequence_id"), "offset")
