@@ -26,7 +26,7 @@ from .texts import PieceIds, groups, stretches, take_runs
 #: times width would grow with the square of its length.
 MATRIX_BYTES = 1024
 #: Cells of a matrix that are handled at once.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Widths of the matrices.
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256, 512, MATRIX_BYTES)
 NONE = (1 << 31) - 1

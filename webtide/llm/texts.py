@@ -8,7 +8,7 @@ from itertools import islice
 
 #: Texts are handled in groups of about so many characters, and a text
 #: above it in stretches, which bounds a task's memory by the longest text.
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 19
 
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])[ \n\r\t]")
 
@@ -79,7 +79,7 @@ class PieceIds:
     than ``most`` pieces are held they are all forgotten, so memory is bounded.
     """
 
-    def __init__(self, encode, kind, most: int = 400_000):
+    def __init__(self, encode, kind, most: int = 250_000):
         self.encode, self.kind, self.most = encode, kind, most
         self.clear()
 
