@@ -50,7 +50,7 @@ def count_blocks(texts: list[str], letters) -> Iterator:
     import numpy as np
 
     bits = FEATURES.bit_length() - 1
-    stretch = 1 << 22  # characters of a block, or one text
+    stretch = 1 << 19  # characters of a block, or one text
     at = 0
     while at < len(texts):
         stop, size = at, 0
@@ -148,11 +148,12 @@ def _sparse_counts(model):
 
         letters = np.unpackbits(model.value).astype(bool)
         for batch in batches:
-            rows = [c for counts in count_blocks(batch.column("text").to_pylist(), letters) for c in counts]
-            where = [np.flatnonzero(c) for c in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array(where, pa.list_(pa.int32())), pa.array([c[w] for c, w in zip(rows, where)], pa.list_(pa.int32()))], names=["lang", "features", "counts"]
-            )
+            where, held = [], []
+            for counts in count_blocks(batch.column("text").to_pylist(), letters):
+                for c in counts:
+                    where.append(np.flatnonzero(c))
+                    held.append(c[where[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(where, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int32()))], names=["lang", "features", "counts"])
 
     return run
 

@@ -82,7 +82,7 @@ def maximal_segments(scores: list[tuple[int, float]], length: int, drift: float)
 class _Scores(dict):
     """Scores of words by their longest token in the model."""
 
-    def __init__(self, model: dict[str, float], most: int = 500_000):
+    def __init__(self, model: dict[str, float], most: int = 200_000):
         self.model, self.most = model, most
 
     def __missing__(self, word: str) -> float:
