@@ -13,23 +13,3 @@ BROADCAST_MAX_ROWS = 1_000_000
 def has_at_most(df: DataFrame, n: int) -> bool:
     """True when ``df`` has ≤ n rows; reads at most n+1 rows."""
     return df.limit(n + 1).count() <= n
-
-
-def join_maybe_broadcast(left: DataFrame, right: DataFrame, on, how: str = "inner",
-                         max_rows: int = BROADCAST_MAX_ROWS, right_is_small: bool | None = None) -> DataFrame:
-    """Broadcast ``right`` when it is provably small and the join type can
-    build on the right; else a shuffle join that AQE may re-plan (and whose
-    skewed partitions AQE splits)."""
-    if how in ("inner", "left", "left_outer", "left_semi", "left_anti", "semi", "anti"):
-        small = right_is_small if right_is_small is not None else False
-        if small:
-            return left.join(F.broadcast(right), on, how)
-    return left.join(right, on, how)
-
-
-def join_checked_broadcast(left: DataFrame, right: DataFrame, on, how: str = "inner",
-                           max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Like ``join_maybe_broadcast`` but runs the bounded count on ``right``
-    (for user-supplied lookup tables of unknown size)."""
-    return join_maybe_broadcast(left, right, on, how, max_rows,
-                                right_is_small=has_at_most(right, max_rows))
