@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # A side is broadcast only when it has at most this many rows (checked with
 # a bounded count, never by collecting it).
