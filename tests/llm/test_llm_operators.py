@@ -457,6 +457,22 @@ def test_main_text():
     assert main_text("<article>a<p>b</article><p>c <x") == "a\nb"
 
 
+def test_article_elements_do_not_hide_the_page():
+    from webtide.llm.html_extract import main_text
+
+    body = [f"Paragraph {i} of the body " + "with its words " * 8 for i in range(4)]
+    text = "\n".join(b.strip() for b in body)
+    divs = "".join(f"<div>{b}</div>" for b in body)
+    cards = "".join(f"<article><h3><a href={i}>Card {i}</a></h3><p>Teaser {i}</p></article>" for i in range(6))
+    assert main_text(divs) == main_text(divs + cards) == main_text(cards + divs) == text
+    assert main_text(f"{divs[: len(divs) // 2]}{cards}{divs[len(divs) // 2 :]}").count("Paragraph") == 4
+    # long teasers: together as long as the body, each of them shorter
+    long = "".join(f"<article><p>{'teaser text ' * 9}</p></article>" for i in range(9))
+    assert text in main_text(divs + long)
+    assert main_text(f"<article>{divs}<p><a href=x>all links</a></p></article><p>outside</p>") == text + "\nall links"
+    assert main_text("<article><a href=x>Card</a></article><p>A short page.</p>") == "A short page."
+
+
 def test_op9_on_pages(spark, tmp_path):
     import html as h
     from webtide.llm.html_extract import extract_main_text

@@ -7,8 +7,11 @@ points, where it falls to nothing; the text between them is kept.
 
 The weight of a line is its text outside links. Lines in elements whose tag,
 role, class or id marks them as something else than the article weigh
-nothing and are never kept. Where a page marks its article with an element,
-lines outside of it weigh nothing and any line in it is a surge.
+nothing and are never kept. The windows go over the lines outside of article
+elements, and over those of each article element apart. An article element
+is kept whole if a window of it surges, or if the elements weigh as much
+together as what surges outside of them; what surges outside is kept unless
+one article element weighs as much.
 """
 
 from __future__ import annotations
@@ -63,21 +66,22 @@ def _other(tag: str, raw: str) -> bool:
     return bool(_MARKED.search(a.get("class", "")) or _MARKED.search(a.get("id", "")))
 
 
-def line_blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, in an article element) for each line
-    that is not in an element marked as something else."""
-    lines: list[tuple[str, int, bool]] = []
+def line_blocks(page: str) -> list[tuple[str, int, int]]:
+    """(text, characters outside links, number of the outermost article
+    element it is in, or 0) for each line that is not in an element marked
+    as something else."""
+    lines: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked: list[str] = []
     open_: list[tuple[str, bool]] = []  # (tag, marked as something else)
-    others = links = articles = 0
+    others = links = articles = article = 0
 
     def end_line() -> None:
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
                 in_links = len(" ".join(unescape("".join(linked)).split()))
-                lines.append((line, len(line) - in_links if in_links <= LINK_SHARE * len(line) else 0, articles > 0))
+                lines.append((line, len(line) - in_links if in_links <= LINK_SHARE * len(line) else 0, article if articles else 0))
             text.clear()
             linked.clear()
 
@@ -116,7 +120,9 @@ def line_blocks(page: str) -> list[tuple[str, int, bool]]:
             open_.append((tag, marked))
             others += marked
             links += tag == "a"
-            articles += tag in ARTICLE and not others
+            if tag in ARTICLE and not others:
+                article += not articles
+                articles += 1
         else:
             if tag in BLOCKS:
                 end_line()
@@ -159,17 +165,22 @@ def between_surge_and_dive(weights: list[int], surge: int, window: int = WINDOW)
 def main_text(page: str | None) -> str:
     """Blocks of the main text in page order, joined by newlines."""
     lines = line_blocks(page or "")
-    inside = [x for x in lines if x[2]]
-    if inside:
-        # the element is the surge and its end the dive: every line weighs
-        weights = [len(x[0]) if x[2] else 0 for x in lines]
-        found = between_surge_and_dive(weights, 1, 1)
-    else:
-        weights = [x[1] for x in lines]
-        found = between_surge_and_dive(weights, SURGE_CHARS)
-        if not found and any(weights):  # a short page: its weightiest line is the surge
-            found = between_surge_and_dive(weights, max(weights))
-    return "\n".join(lines[i][0] for a, b in found for i in range(a, b))
+    outside = [i for i, x in enumerate(lines) if not x[2]]
+    weights = [lines[i][1] for i in outside]
+    found = between_surge_and_dive(weights, SURGE_CHARS)
+    if not found and any(weights):  # a short page: its weightiest line is the surge
+        found = between_surge_and_dive(weights, max(weights))
+    rest = sum(sum(weights[a:b]) for a, b in found)
+    inside: dict[int, list[int]] = {}
+    for _, weight, article in lines:
+        if article:
+            inside.setdefault(article, []).append(weight)
+    own = {k: sum(w) for k, w in inside.items()}
+    # the element raises its lines to a surge, unless the page has more elsewhere
+    raised = sum(own.values()) >= rest
+    kept = {k for k, w in inside.items() if raised or between_surge_and_dive(w, SURGE_CHARS)}
+    chosen = {outside[i] for a, b in found for i in range(a, b)} if rest > max(own.values(), default=-1) else set()
+    return "\n".join(x[0] for i, x in enumerate(lines) if x[2] in kept or i in chosen)
 
 
 def _extract(batches):
