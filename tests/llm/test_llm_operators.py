@@ -473,6 +473,27 @@ def test_article_elements_do_not_hide_the_page():
     assert main_text("<article><a href=x>Card</a></article><p>A short page.</p>") == "A short page."
 
 
+def test_names_mark_whole_tokens_only():
+    from webtide.llm.html_extract import main_text
+
+    body = "<article><h1>Title</h1><p>" + "words of the body " * 9 + "</p></article>"
+    text = "Title\n" + ("words of the body " * 9).strip()
+    assert main_text(body) == text
+    for name in ("site-content has-sidebar", "content no-sidebar", "side-by-side", "related-work", "social-impact", "with-menu", "post-header"):
+        assert main_text(f'<div class="{name}">{body}</div>') == main_text(f'<div id="{name}">{body}</div>') == text
+        assert main_text(f'<article><p>A text.</p><div class="{name}">Small</div></article>') == "A text.\nSmall"
+    assert main_text('<article><h2 id="related">Related</h2><p>x</p></article>') == "Related\nx"
+    # a name or form around most of the text is a wrapper; smaller ones in it still count
+    small = "<div class='sidebar'>Small</div><form><p>Mail</p></form>"
+    for start, end in (("<form action=x>", "</form>"), ("<form>", ""), ("<div class=sidebar>", "</div>"), ("<form><div role=search><fieldset>", "</fieldset></div></form>")):
+        assert main_text(f"<body>{start}{small}{body}{end}</body>") == text
+    for name in ("sidebar", "widget-area", "related-posts", "cookie-notice", "site_footer", "main-nav", "ad-12", "share-buttons x", "newsletter_signup"):
+        assert main_text(f'{body[:-10]}<div class="{name}">Small</div></article>') == text
+    assert main_text("<form><p>one line of a page</p></form><p>x</p>") == "one line of a page\nx"
+    assert main_text("<div class=ad>An ad that is longer than the article</div><article>Short</article>") == "Short"
+    assert main_text(f"{body[:-10]}<div hidden>{body * 3}</div></article>") == text
+
+
 def test_op9_on_pages(spark, tmp_path):
     import html as h
     from webtide.llm.html_extract import extract_main_text

@@ -42,41 +42,73 @@ ENDED_BY_SAME = frozenset("p li dt dd tr td th option".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|signup|comments?|commentlist|disqus|replies|respond|sidebar|side|aside|widgets?|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|skip|copyright|login|search)(?=$|[\s_-])",
-    re.I,
+#: Names of what is not the article, and parts that may stand beside them in a
+#: compound. A class or id is marked if it has a name and no other part: so
+#: not has-sidebar, no-sidebar, side-by-side, related-work, post-header.
+_NAMES = frozenset(
+    "ad ads advert adverts advertise advertisement advertisements advertising adsense banner banners sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription subscriptions signup comment comments commentlist disqus replies respond sidebar side aside widget widgets menu nav navbar navigation navigate breadcrumb breadcrumbs footer header masthead share sharing social related recommend recommended recommendation recommendations recommender toolbar pagination pager skip copyright login search".split()
 )
+_BESIDE = frozenset(
+    "area areas bar box block blocks button buttons col column container form gpt google dfp div dialog group global icon icons inner input item items left link links list main mobile msg message outer panel posts articles stories news primary right secondary section site slot sticky to top bottom toggle unit us wrap wrapper media network networks text title thread up".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags that may also wrap a whole page.
+WRAPPERS = frozenset(["form", "fieldset"])
+
+
+def _marked(names: str) -> bool:
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
+        if any(x in _NAMES for x in parts) and all(x in _NAMES or x in _BESIDE for x in parts):
+            return True
+    return False
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)}
 
 
-def _other(tag: str, raw: str) -> bool:
-    """Whether an element is marked as something else than the article."""
+def _other(tag: str, raw: str) -> int:
+    """Whether an element is marked as something else than the article: 2 by
+    what it is or because it is not shown, 1 by its name, role or as a form."""
     if tag in DROPPED:
-        return True
+        return 1 if tag in WRAPPERS else 2
     if tag in ARTICLE or tag in ("html", "body") or not raw.strip():
-        return False
+        return 0
     a = _attributes(raw)
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in NOT_TEXT_ROLES:
-        return True
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+        return 2
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    return bool(_MARKED.search(a.get("class", "")) or _MARKED.search(a.get("id", "")))
+        return 2
+    # the id of a heading is made of its words
+    return int(a.get("role", "").lower() in NOT_TEXT_ROLES or _marked(a.get("class", "")) or tag not in HEADINGS and _marked(a.get("id", "")))
 
 
 def line_blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, characters outside links, number of the outermost article
     element it is in, or 0) for each line that is not in an element marked
-    as something else."""
+    as something else. A name, role or form that holds more than half of the
+    page's text outside links marks nothing; where an article element stands
+    outside of it, only if it holds a surge on two lines or more."""
+    lines, heavy = _line_blocks(page, frozenset())
+    return _line_blocks(page, heavy)[0] if heavy else lines
+
+
+def _line_blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, int, int]], frozenset[int]]:
+    """The lines, and the numbers of the named elements that mark nothing;
+    those in ``unmarked`` count as not named."""
     lines: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked: list[str] = []
-    open_: list[tuple[str, bool]] = []  # (tag, marked as something else)
-    others = links = articles = article = 0
+    open_: list[tuple[str, int, int]] = []  # (tag, marked as something else, number if named)
+    others = links = articles = article = 0  # what is open, and the last article
+    hidden = weight = counted = rows = named = 0
+    held: dict[int, tuple[int, int]] = {}  # weight and lines before a named element, then in it
 
     def end_line() -> None:
+        nonlocal rows, counted
+        rows += weight > counted
+        counted = weight
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
@@ -86,11 +118,25 @@ def line_blocks(page: str) -> list[tuple[str, int, int]]:
             linked.clear()
 
     def say(raw: str) -> None:
+        nonlocal weight
+        if not links and not hidden:
+            weight += len(raw.strip())
         if raw and not others:
             text.append(raw)
             if links:
                 linked.append(raw)
 
+    def close() -> str:
+        nonlocal others, hidden, links, articles
+        tag, marked, number = open_.pop()
+        links -= tag == "a"
+        articles -= tag in ARTICLE and not others
+        hidden -= marked == 2
+        others -= marked > 0
+        if number:
+            held[number] = weight - held[number][0], rows - held[number][1]
+        return tag
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -107,7 +153,7 @@ def line_blocks(page: str) -> list[tuple[str, int, int]]:
                 if tag in ENDED_BY_SAME or tag in BLOCKS:
                     # an open paragraph ends at any block; a list item or cell at its like
                     while open_ and (open_[-1][0] == "p" and tag != "p" or open_[-1][0] == tag and tag in ENDED_BY_SAME):
-                        others -= open_.pop()[1]
+                        close()
             elif tag == "br":
                 say(" ")
             if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
@@ -116,9 +162,17 @@ def line_blocks(page: str) -> list[tuple[str, int, int]]:
                 end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
                 continue
-            marked = _other(tag, m[3])
-            open_.append((tag, marked))
-            others += marked
+            marked, number = _other(tag, m[3]), 0
+            if marked == 1:
+                named += 1
+                if named in unmarked:
+                    marked = 0
+                else:
+                    number = named
+                    held[number] = weight, rows
+            open_.append((tag, marked, number))
+            hidden += marked == 2
+            others += marked > 0
             links += tag == "a"
             if tag in ARTICLE and not others:
                 article += not articles
@@ -126,18 +180,16 @@ def line_blocks(page: str) -> list[tuple[str, int, int]]:
         else:
             if tag in BLOCKS:
                 end_line()
-            if any(t == tag for t, _ in open_):
-                while open_:
-                    t, marked = open_.pop()
-                    links -= t == "a"
-                    articles -= t in ARTICLE and not others
-                    others -= marked
-                    if t == tag:
-                        break
+            if any(x[0] == tag for x in open_):
+                while close() != tag:
+                    pass
     if at < n:
         say(re.sub(r"<[^>]*\Z", "", page[at:]))
     end_line()
-    return lines
+    while open_:
+        close()
+    element = any(x[2] for x in lines)
+    return lines, frozenset(k for k, (w, n) in held.items() if 2 * w > weight and (not element or n > 1 and w >= SURGE_CHARS))
 
 
 def between_surge_and_dive(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
