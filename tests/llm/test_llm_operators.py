@@ -565,6 +565,32 @@ def test_foreign_text_is_rejected(spark, tmp_path):
     assert got == {-1: True, -2: True}
 
 
+def test_very_long_foreign_text_is_rejected(spark, tmp_path):
+    from webtide.llm.langid import identify_languages
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    path = str(tmp_path / "d.parquet")
+    # longer than all training rows, a kind of text the model does not know
+    docs.union(spark.createDataFrame([(-1, "Это совсем другой язык и другие буквы " * 20_000, None), (-2, docs.where("lang = 'en'").first().text * 2000, None)], docs.schema)).write.parquet(path)
+    got = {r.doc_id: r.rejected for r in identify_languages(spark.read.parquet(path)).where("doc_id < 0").collect()}
+    assert got == {-1: True, -2: False}
+
+
+def test_rejection_limits():
+    from webtide.llm import langid as g
+
+    assert g.rejection_limits([]) == [0.0] * g.CLASSES
+    rows = [(k, 500 + k, 1000, 0.5 + k / 1000) for k in range(8, 13)]
+    limits = g.rejection_limits(rows)
+    assert limits[8:13] == [g.REJECT_SHARE * x[3] for x in rows]
+    assert set(limits[:8]) == {limits[8]} and set(limits[13:]) == {limits[12]}  # classes without rows
+    # one very long row of junk lowers nothing, nor do two with classes between
+    assert g.rejection_limits([*rows, (20, 10, 1, 0.01)])[:21] == limits[:21]
+    assert g.rejection_limits([*rows, (20, 10, 1, 0.01), (16, 9, 1, 0.009)]) == limits
+    # short classes are pooled with their neighbours
+    assert g.rejection_limits([(1, 100, 1, 0.1), (2, 300, 200, 0.3), (3, 400, 200, 0.4), (4, 600, 50, 0.6)]) == [0.25 * 0.3] * g.CLASSES
+
+
 def test_maximal_segments_by_definition():
     from webtide.llm.toxicity import maximal_segments
 

@@ -6,7 +6,8 @@ one. Each language has several centroids, found by spherical k-means on a
 bounded sample of its labelled rows; document frequencies are counted over
 all training rows. A text gets the language of the centroid with the largest
 cosine. It is rejected when its cosine is far below what training rows of
-about its length have.
+about its length have; a text longer or shorter than all of them is compared
+with the nearest.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ FIT_ROWS = 2000
 #: all but this quantile of the training rows of its length class reach.
 REJECT_SHARE = 0.25
 REJECT_QUANTILE = 0.01
+#: Training rows that neighbouring length classes are pooled to, at least.
+POOL_ROWS = 300
+#: Length classes: bits of the number of n-grams.
+CLASSES = 64
+#: Steps of the cosines that are counted for the quantiles.
+STEPS = 1000
 #: Texts of a block of counts: BLOCK * FEATURES counters are held.
 BLOCK = 256
 _ODD = 0x9E3779B97F4A7C15
@@ -122,6 +129,39 @@ def spherical_k_means(x, k: int, rounds: int = ROUNDS):
     return centroids
 
 
+def rejection_limits(scores: list[tuple[int, int, int, float]]) -> list[float]:
+    """Limit of each length class, from (class, step, rows, smallest cosine)
+    of training rows. Neighbouring classes are pooled from the shortest on;
+    what is left over joins the last pool. A class without rows has the limit
+    of the nearest that has some, of two the shorter one's."""
+    steps: dict[int, list[tuple[int, int, float]]] = {}
+    for length, step, n, low in scores:
+        steps.setdefault(length, []).append((step, n, low))
+    pools: list[list[int]] = []
+    pooled = POOL_ROWS
+    for length in sorted(steps):
+        if pooled >= POOL_ROWS:
+            pools.append([])
+            pooled = 0
+        pools[-1].append(length)
+        pooled += sum(n for _, n, _ in steps[length])
+    if len(pools) > 1 and pooled < POOL_ROWS:
+        left = pools.pop()
+        pools[-1] += left
+    limits = {}
+    for pool in pools:
+        rows = sorted(x for length in pool for x in steps[length])
+        rank, seen = REJECT_QUANTILE * sum(n for _, n, _ in rows), 0
+        for step, n, low in rows:
+            seen += n
+            if seen >= rank:
+                # smallest of this step in any class of the pool
+                limit = REJECT_SHARE * min(x for s, _, x in rows if s == step)
+                limits |= dict.fromkeys(pool, limit)
+                break
+    return [limits[min(limits, key=lambda x: (abs(x - k), x))] for k in range(CLASSES)] if limits else [0.0] * CLASSES
+
+
 def _document_frequency(model):
     def run(batches):
         import numpy as np
@@ -170,7 +210,7 @@ class LanguageModel:
     alphabetical order.
     """
 
-    def __init__(self, spark, langs: list[str], centroids, idf, limits: dict[int, float]):
+    def __init__(self, spark, langs: list[str], centroids, idf, limits: list[float]):
         self.spark, self.langs, self.centroids, self.idf, self.limits = spark, langs, centroids, idf, limits
         self.shared = spark.sparkContext.broadcast((langs, centroids, idf, letter_table(), limits))
 
@@ -190,7 +230,7 @@ class LanguageModel:
 
         per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
         if not per_lang:
-            return cls(spark, [], np.zeros((0, FEATURES), np.float32), idf, {})
+            return cls(spark, [], np.zeros((0, FEATURES), np.float32), idf, rejection_limits([]))
         share = F.lit(0.0)
         for lang, n in per_lang.items():
             share = F.when(F.col("lang") == lang, fit_rows / len(per_lang) / n).otherwise(share)
@@ -208,14 +248,12 @@ class LanguageModel:
                 found = spherical_k_means(np.stack(x), CENTROIDS)
                 langs += [lang] * len(found)
                 centroids.append(found)
-        model = cls(spark, langs, np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, FEATURES), np.float32), idf, {})
+        model = cls(spark, langs, np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, FEATURES), np.float32), idf, rejection_limits([]))
         scored = rows.select(model.predict(F.col("text")).alias("p")).where(F.col("p.lang") != UNKNOWN)
-        limits = scored.groupBy("p.length_class").agg(F.percentile_approx("p.score", REJECT_QUANTILE, 1000).alias("low")).collect()  # one row for each length class
-        # shorter texts have smaller cosines: a class's limit is no larger than a longer one's
-        low, found = 1.0, {}
-        for k, x in sorted(((r["length_class"], r["low"]) for r in limits), reverse=True):
-            low = found[k] = min(low, REJECT_SHARE * x)
-        return cls(spark, langs, model.centroids, idf, found)
+        step = F.floor(F.col("p.score") * STEPS).cast("int").alias("step")
+        counted = scored.groupBy("p.length_class", step).agg(F.count("*").alias("n"), F.min("p.score").alias("low"))
+        limits = rejection_limits([tuple(r) for r in counted.collect()])  # CLASSES * (STEPS + 1) rows at most
+        return cls(spark, langs, model.centroids, idf, limits)
 
     def predict(self, text: Column) -> Column:
         shared = self.shared
@@ -239,7 +277,7 @@ class LanguageModel:
                             k = at + i
                             lang[k], score[k] = langs[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
                             length[k] = int(size[i]).bit_length()
-                            rejected[k] = score[k] <= 0 or score[k] < limits.get(int(length[k]), 0.0)
+                            rejected[k] = score[k] <= 0 or score[k] < limits[length[k]]
                     at += len(counts)
                 yield pd.DataFrame({"lang": lang, "score": score, "rejected": rejected, "length_class": length})
 
