@@ -580,3 +580,13 @@ def test_nested_articles_and_quarantine_outputs(spark):
     assert [x["req_id"] for x in valid.collect()] == [1]
     bad = invalid.collect()[0]
     assert (bad["req_id"], bad["error_code"], bad["error_message"], len(bad["details"])) == (2, 400, "Validation failed", 3)
+
+
+def test_article_queries_keep_large_pages(spark):
+    from webtide.plans.registry import all_queries
+
+    sf = "/root/testdata/sf0.01"
+    large = spark.read.parquet(f"{sf}/pages.parquet").where("octet_length(html) > 8192").select("page_id")
+    rows = all_queries()["articles"](spark, sf).where("mode = 'playwright'").join(large, "page_id").collect()
+    assert rows and not any(r.error_details == "Response too large" for r in rows)
+    assert any(r.body and r.word_count for r in rows)
