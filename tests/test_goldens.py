@@ -590,3 +590,14 @@ def test_article_queries_keep_large_pages(spark):
     rows = all_queries()["articles"](spark, sf).where("mode = 'playwright'").join(large, "page_id").collect()
     assert rows and not any(r.error_details == "Response too large" for r in rows)
     assert any(r.body and r.word_count for r in rows)
+
+
+def test_streams_read_folders_of_part_files(spark, tmp_path):
+    from webtide.plans.registry import all_queries
+
+    small = "/root/testdata/sf0.001"
+    for name in ("pages", "events"):
+        spark.read.parquet(f"{small}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("stream_articles", "stream_outcomes", "stream_quarantine", "stream_blocklist"):
+        whole, parts = (sorted(map(repr, all_queries()[name](spark, sf).collect())) for sf in (small, str(tmp_path)))
+        assert whole and whole == parts, name

@@ -27,7 +27,7 @@ from .queries_pages import _articles
 
 def q_stream_articles(spark: SparkSession, sf: str) -> DataFrame:
     d = J.run_dir(spark, "articles")
-    s = J.page_stream(spark, sf, glob="pages.parquet")
+    s = J.table_stream(spark, sf, "pages", PAGE_SCHEMA, maxBytesPerTrigger=1 << 30)
     J.run_available_now(J.stream_articles(s), os.path.join(d, "out"), os.path.join(d, "ckpt"))
     return spark.read.parquet(os.path.join(d, "out")).select(
         "page_id", "url", "title", "description", "date", "author", "image", "favicon", "type", "source", "lang",
@@ -63,8 +63,8 @@ def q_stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
     utc(spark)
     d = J.run_dir(spark, "outcomes")
-    ev = (spark.readStream.schema(J.EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
-          .option("maxFilesPerTrigger", 1).parquet(sf))
+    # part files are in no order of time: one trigger takes them all
+    ev = J.table_stream(spark, sf, "events", J.EVENT_SCHEMA)
     J.run_available_now(J.stream_outcomes(J.attempt_fields(ev)), os.path.join(d, "out"), os.path.join(d, "ckpt"))
     return spark.read.parquet(os.path.join(d, "out"))
 
@@ -92,7 +92,7 @@ def q_stream_request_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     d = J.run_dir(spark, "quarantine")
-    pages = spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    pages = J.table_stream(spark, sf, "pages", PAGE_SCHEMA)
     reqs = spark.sql(PAGE_REQUESTS, pages=pages.select("page_id", "url"))
     good, bad = os.path.join(d, "good"), os.path.join(d, "bad")
     J.stream_quarantine(reqs, good, bad, os.path.join(d, "ckpt"))
@@ -104,7 +104,7 @@ def q_stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stream_blocklist(spark: SparkSession, sf: str) -> DataFrame:
     d = J.run_dir(spark, "blocklist")
-    pages = spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    pages = J.table_stream(spark, sf, "pages", PAGE_SCHEMA)
     links = page_links(pages).withColumn("host", url_parts(F.col("href"))["host"])
     _, bl = tracker_inputs(spark, sf)
     out = J.stream_blocklist(links, bl).select("page_id", "pos", "host")

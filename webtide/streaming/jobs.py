@@ -38,6 +38,15 @@ def run_available_now(df: DataFrame, out: str, ckpt: str, fmt: str = "parquet",
     q.awaitTermination()
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, **options) -> DataFrame:
+    """A stream over a table that is one file or a folder of part files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.readStream.schema(schema).options(**options)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(path.toString())
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 # --- E1 -----------------------------------------------------------------------------
 
 
