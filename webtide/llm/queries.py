@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BytePairs
-from .common import table
+from .common import table, whole_text
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_duplicates
 from .html_extract import extract_main_text
 from .langid import identify_languages
 from .line_dedup import drop_repeated_lines
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .sharding import shard_rows
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
@@ -116,6 +117,33 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # the contract's texts: in a tenth of the documents the words repeat from some word on
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(whole_text("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("words").cast("long")
+    a = F.when(n > 0, F.pmod(g, n))
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    marked = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumns({"a": a, "p": p})
+    repeated = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int"))))
+    texts = marked.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs(texts)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.s")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.p")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.p")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -129,6 +157,7 @@ QUERIES = {
         op8_line_dedup,
         op9_html_extraction,
         op10_toxic_segments,
+        op13_recompression_runs,
     )
 }
 SQL = {"op1_exact_dedup": OP1_SQL, "op4_collision_counting": OP4_SQL, "op8_line_dedup": OP8_SQL}
