@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BytePairs
+from .collocations import collocations
 from .common import table, whole_text
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_duplicates
@@ -20,6 +21,7 @@ from .packing import pack
 from .periodic_runs import periodic_runs
 from .sharding import shard_rows
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .toxicity import score_toxicity
 
 #: Shards of ``op2``.
@@ -117,6 +119,61 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n_bytes from documents),
+windows as (select doc_id, x, unnest(generate_series(0, n_bytes - 100)) as i from docs where n_bytes >= 100),
+keys as (select doc_id, i, md5(substr(x, 2 * i + 1, 200)) as k from windows),
+repeats as (select doc_id, i from keys qualify row_number() over (partition by k order by doc_id, i) > 1),
+marked as (select doc_id, i, case when i <= 100 + lag(i) over (partition by doc_id order by i) then 0 else 1 end as new from repeats),
+numbered as (select doc_id, i, sum(new) over (partition by doc_id order by i rows unbounded preceding) as g from marked),
+spans as (select doc_id, min(i) as a, max(i) + 100 as b from numbered group by doc_id, g),
+bounds as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as since from spans),
+kept as (
+  select doc_id, count(*) as n_spans, sum(b - a)::bigint as n_removed, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' order by a) || substr(any_value(x), 2 * max(b) + 1) as left_over
+  from bounds join docs using (doc_id) group by doc_id
+)
+select doc_id, n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(left_over, x))) as kept_sha256
+from docs left join kept using (doc_id)
+"""
+
+
+def op12_de_bruijn_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), most=5, least=100, percent=100, top=2000)
+
+
+OP12_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+  from documents
+),
+ws as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+places as (select lang, w, unnest(generate_series(1, len(w))) as i from ws where len(w) > 0),
+grams as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as g from places, (values (1), (2), (3), (4), (5)) t(k) where i + k - 1 <= len(w)),
+f as (select lang, k, g, count(*) as n from grams group by all),
+total as (select lang, sum(n) as total from f where k = 1 group by lang),
+candidates as (select * from f where k >= 2 and n >= 100),
+free as (
+  select * from candidates c where not exists (
+    select 1 from candidates d where d.lang = c.lang and d.k > c.k and contains(' ' || d.g || ' ', ' ' || c.g || ' ') and 100 * d.n >= 100 * c.n)
+),
+cuts as (select lang, k, g, n as a, string_split(g, ' ') as w, unnest(generate_series(1, k - 1)) as cut from free),
+scored as (
+  select c.lang, c.g, c.a, c.cut, x.n as l, y.n as r, total, (1000 * c.a::hugeint * total::hugeint) // (x.n::hugeint * y.n::hugeint) as score
+  from cuts c join f x on x.lang = c.lang and x.g = array_to_string(w[1 : cut], ' ') join f y on y.lang = c.lang and y.g = array_to_string(w[cut + 1 : c.k], ' ')
+  join total on total.lang = c.lang
+),
+best as (select * from scored qualify row_number() over (partition by lang, g order by score, cut) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, g) as rank from best)
+select lang, rank, g as phrase, a, l, r, total::bigint as n, score::bigint as score from ranked where rank <= 2000
+"""
+
+
 def op13_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # the contract's texts: in a tenth of the documents the words repeat from some word on
@@ -157,7 +214,9 @@ QUERIES = {
         op8_line_dedup,
         op9_html_extraction,
         op10_toxic_segments,
+        op11_two_stage_suffixes,
+        op12_de_bruijn_collocations,
         op13_recompression_runs,
     )
 }
-SQL = {"op1_exact_dedup": OP1_SQL, "op4_collision_counting": OP4_SQL, "op8_line_dedup": OP8_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op4_collision_counting": OP4_SQL, "op8_line_dedup": OP8_SQL, "op11_two_stage_suffixes": OP11_SQL, "op12_de_bruijn_collocations": OP12_SQL}
