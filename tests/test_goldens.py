@@ -162,7 +162,7 @@ def test_markdown(spark):
     assert md[0].startswith("# Title") and "**bold**" in md[0] and "*it*" in md[0] and "- one" in md[0] and "- two" in md[0]
     assert md[1] == "" and md[2] == ""
     assert "**" not in md[3] and "unclosed" in md[3]
-    assert "1. a" in md[5] and "1. b" in md[5] and "```py" in md[5]
+    assert "1. a" in md[5] and "2. b" in md[5] and "```py" in md[5]
 
 
 def test_body_word_count_read_time(spark):
@@ -257,28 +257,75 @@ def test_chunks_binary(spark):
 # --- E3 = batch D10 ---------------------------------------------------------------------------------------------
 
 
+STREAM_KIND = ("req_id long, ts timestamp, event_id long, engine string, status int, err_msg string, content_type string, "
+               "retry_after string, dur_ms long")
+
+
+def _run_state(spark, d, parts, **options):
+    """The stream over ``parts`` of a log, one trigger each, and its end."""
+    from webtide.streaming.jobs import close_open_requests, stream_request_state
+
+    for part in parts:
+        spark.createDataFrame(part, STREAM_KIND).coalesce(1).write.mode("append").parquet(d + "/log")
+    s = spark.readStream.schema(STREAM_KIND).option("maxFilesPerTrigger", 1).parquet(d + "/log")
+    stream_request_state(s, d + "/out", d + "/late", d + "/ckpt", jitter=False, **options)
+    early = spark.read.parquet(d + "/out").count()
+    close_open_requests(spark, d + "/out", d + "/ckpt", jitter=False)
+    out = sorted(map(tuple, spark.read.parquet(d + "/out").drop("batch").collect()), key=str)
+    late = sorted((r["kind"], r["req_id"], r["event_id"]) for r in spark.read.parquet(d + "/late").collect())
+    return early, out, late
+
+
 def test_stream_state_whatever_the_files(spark, tmp_path):
+    import random
     from datetime import datetime, timedelta
 
     from webtide.operators.outcomes import final_outcome
-    from webtide.streaming.jobs import stream_request_state
 
     t0 = datetime(2024, 1, 1)
-    kind = ("req_id long, ts timestamp, event_id long, engine string, status int, err_msg string, content_type string, "
-            "retry_after string, dur_ms long")
-    rows = [(r, t0 + timedelta(minutes=7 * r + 3 * a), 10 * r + a, "http", [503, 429, 200][(r + a) % 3], None, "text/html", None, 500 * a)
-            for r in range(40) for a in range(1 + r % 3)]
-    end = [(-1, t0 + timedelta(days=30), -1, None, None, None, None, None, None)]
-    want = sorted(map(tuple, final_outcome(spark.createDataFrame(rows, kind), jitter=False).collect()), key=str)
-    assert len(want) == 40
-    for files in (1, 16):
-        d = str(tmp_path / f"f{files}")
-        spark.createDataFrame(rows, kind).repartition(files, "event_id").write.parquet(d + "/log")
-        spark.createDataFrame(end, kind).write.mode("append").parquet(d + "/log")
-        s = spark.readStream.schema(kind).option("maxFilesPerTrigger", 4).parquet(d + "/log")
-        stream_request_state(s, d + "/out", d + "/ckpt", idle="1 hour", delay="10 days", jitter=False)
-        got = sorted(map(tuple, spark.read.parquet(d + "/out").drop("batch").collect()), key=str)
-        assert got == want
+    rows = [(r, t0 + timedelta(minutes=7 * r + 300 * a), 10 * r + a, "http" if r % 4 else "playwright", [503, 429, 200, None][(r + a) % 4],
+             ["Timeout", None, "SSRF blocked"][r % 3] if (r + a) % 4 == 3 else None, "text/html", "2" if r % 5 == 0 else None, [500, 70_000, None][r % 3])
+            for r in range(60) for a in range(1 + r % 5)]
+    want = sorted(map(tuple, final_outcome(spark.createDataFrame(rows, STREAM_KIND), jitter=False).collect()), key=str)
+    assert len(want) == 60
+    rows.sort(key=lambda r: r[1])
+    rng = random.Random(3)
+    shuffled = sorted(rows, key=lambda r: r[1] + timedelta(minutes=rng.randrange(59)))
+    for name, order, some in (("ordered", rows, (1,)), ("shuffled", shuffled, (1, 16))):
+        for files in some:
+            cuts = [len(order) * i // files for i in range(files + 1)]
+            early, got, late = _run_state(spark, str(tmp_path / f"{name}{files}"), [order[a:b] for a, b in zip(cuts, cuts[1:])])
+            assert got == want
+            # most requests come out while the log goes on, and nothing is late
+            assert early >= (30 if files > 1 else 20) and {k for k, _, _ in late} <= {"after_end"}
+
+
+def test_stream_state_aborts_late_rows_and_patience(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+
+    def row(req, minutes, event, status, msg=None):
+        return (req, t0 + timedelta(minutes=minutes), event, "http", status, msg, None, None, 10)
+
+    parts = [
+        [row(1, 0, 1, 503), row(2, 0, 2, 200), row(3, 0, 3, 503)],
+        [row(1, 5, 4, None, "Request aborted"), row(9, 600, 5, 200)],
+        [row(1, 601, 6, 200), row(2, 1, 7, 200), row(9, 700, 8, 200)],  # closed; late; closed
+        [row(8, 20 * 1440, 9, 200)],  # the clock goes on by more than the patience
+        [row(3, 20 * 1440 + 1, 10, 200), row(8, 20 * 1440 + 2, 11, 200)],
+    ]
+    early, got, late = _run_state(spark, str(tmp_path / "s"), parts)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r[0], []).append(r)
+    cols = spark.read.parquet(str(tmp_path / "s/out")).drop("batch").columns
+    one = {k: dict(zip(cols, v[0])) for k, v in by_id.items()}
+    assert (one[1]["error_code"], one[1]["attempts"], one[1]["http_status"]) == ("FETCH_ABORTED", 2, 400)
+    assert one[2]["outcome"] == "success" and len(by_id[2]) == len(by_id[1]) == len(by_id[9]) == 1
+    # no attempt came for 7 days: closed with what there was
+    assert [r[cols.index("outcome")] for r in by_id[3]] == ["error"]
+    assert late == [("after_end", 1, 6), ("after_end", 3, 10), ("after_end", 8, 11), ("after_end", 9, 8), ("late", 2, 7)]
 
 
 # --- D3, D10, D11, D13, D15, D17 from the reference's behaviour -----------------------------------------------------

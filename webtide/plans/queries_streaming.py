@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import url_parts
 from ..operators.extension import StdlibExtractor, extract
 from ..operators.extraction import page_links
-from ..session import pages_table
+from ..session import cut_lineage, pages_table
 from ..sources.fixtures import PAGE_REQUESTS, Fixtures
 from ..operators.outcomes import final_outcome
 from ..sources.readers import PAGE_SCHEMA, scan_objects
@@ -70,23 +70,19 @@ def q_stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_stream_request_state(spark: SparkSession, sf: str) -> DataFrame:
+    """E3 with its default delay and patience. The log arrives in three
+    parts, each later than the one before; the stream is stopped and
+    restarted between them, and what is open at the end of the log is read
+    from its state."""
     d = J.run_dir(spark, "state")
-    log = Fixtures(spark, sf).fetch_log()
-    log.write.parquet(os.path.join(d, "log"))
-    stored = spark.read.parquet(os.path.join(d, "log"))
-    # the log's files are in no order of time, and a request's attempts may be
-    # far apart: the session and the delay cover the log. A marker row
-    # far behind the last attempt, in a later file, ends the log.
-    days = stored.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
-    span = f"{days + 1} days"
-    marker = stored.agg(F.max("ts").alias("last")).select(
-        F.lit(-1).cast("long").alias("req_id"),
-        *[(F.col("last") + F.expr(f"interval {3 * days + 4} days") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in stored.schema if f.name != "req_id"],
-    )
-    marker.write.mode("append").parquet(os.path.join(d, "log"))
-    s = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 4).parquet(os.path.join(d, "log"))
-    out = os.path.join(d, "out")
-    J.stream_request_state(s, out, os.path.join(d, "ckpt"), idle=span, delay=span, jitter=False)
+    src, out, late, ckpt = (os.path.join(d, x) for x in ("log", "out", "late", "ckpt"))
+    log = cut_lineage(Fixtures(spark, sf).fetch_log())
+    first, last = log.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    cuts = [first + (last - first) * i // 3 for i in range(3)] + [last + 1] if first is not None else [0, 1]
+    for a, b in zip(cuts, cuts[1:]):
+        log.where(F.unix_micros("ts").between(a, b - 1)).write.mode("append").parquet(src)
+        J.stream_request_state(spark.readStream.schema(log.schema).parquet(src), out, late, ckpt, jitter=False)
+    J.close_open_requests(spark, out, ckpt, jitter=False)
     return spark.read.parquet(out).drop("batch")
 
 

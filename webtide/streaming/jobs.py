@@ -2,8 +2,8 @@
 
 The reference handles independent requests as they arrive; here that is a
 stream of page files or attempt rows. Stateless jobs reuse the batch column
-functions unchanged; the per-request state (E3) is a session window whose
-closed requests go through the batch operator. Every job writes to a
+functions unchanged; the per-request state (E3) is keyed state with
+event-time timers, and closed requests go through the batch operator. Every job writes to a
 sink with a checkpoint under the shared checkpoint folder, so a restarted
 query resumes where it stopped.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Limits
 from ..operators import gates as G
-from ..operators.outcomes import classify_attempts, final_outcome
+from ..operators.outcomes import backoff_ms, classify_attempts, final_outcome
 from ..plans.articles import build_articles
 from ..session import shared_path
 from ..sources.readers import PAGE_SCHEMA
@@ -129,40 +129,164 @@ def stream_outcomes(attempts: DataFrame, window: str = "1 hour", delay: str = "2
 
 # --- E3 -----------------------------------------------------------------------------
 
-ATTEMPT_COLUMNS = ["event_id", "ts", "engine", "status", "err_msg", "content_type", "retry_after", "dur_ms"]
+ATTEMPT = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("engine", T.StringType()),
+        T.StructField("status", T.IntegerType()),
+        T.StructField("err_msg", T.StringType()),
+        T.StructField("content_type", T.StringType()),
+        T.StructField("retry_after", T.StringType()),
+        T.StructField("dur_ms", T.LongType()),
+    ]
+)
+JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+#: An attempt in the state: the row as JSON, and what decides whether it ends
+#: its request.
+HELD = "at:long,event_id:long,ok:boolean,retry:boolean,waits:array<double>,dur_ms:long,row:string"
+STATE = f"closed boolean, last long, held array<struct<{HELD}>>"
+FIELDS = tuple(f.split(":")[0] for f in HELD.split(","))
+#: Longest pause between two attempts of a request, and disorder of the log.
+PATIENCE, DELAY = "7 days", "1 hour"
+PUT_OFF = "3650 days"
+
+
+def ends_at(attempts: list, max_attempts: int, budget_ms: float) -> int:
+    """Index of the attempt that ends a request, or -1. ``attempts`` is in
+    order: (ok, retry, wait after it by its number, duration). It is the first
+    success, error that is not retried, attempt past the deadline or last
+    attempt allowed."""
+    spent = 0.0
+    for i, (ok, retry, waits, took) in enumerate(attempts):
+        late = spent >= budget_ms
+        cut = not late and spent + (took or 0) > budget_ms
+        if late or i + 1 >= max_attempts or (not cut and (ok or not retry)):
+            return i
+        if took is not None:
+            spent += took + (waits[i] if retry else 0.0)
+    return -1
+
+
+def _micros(duration: str) -> int:
+    """A duration such as ``7 days`` in microseconds."""
+    n, unit = duration.split()
+    return int(n) * {"second": 10**6, "minute": 6 * 10**7, "hour": 36 * 10**8, "day": 864 * 10**8}[unit.rstrip("s")]
+
+
+def _follow(max_attempts: int, budget_ms: float, patience: int):
+    """The state of one request. Attempts wait until the watermark has passed
+    them, so they are judged in the order of their times whatever the order
+    in which they came."""
+
+    def follow(key, frames, state):
+        import pandas as pd
+
+        now = state.getCurrentWatermarkMs() * 1000
+        was_closed, last, held = state.get if state.exists else (False, 0, [])
+        closed, held = was_closed, [tuple(x) for x in held]
+        out = []
+        for frame in [] if state.hasTimedOut else frames:
+            for at, event_id, ok, retry, waits, took, row in zip(*(frame[c] for c in FIELDS)):
+                if at <= now:
+                    out.append(("late", [row]))
+                elif closed:
+                    out.append(("after_end", [row]))
+                    last = max(last, int(at))
+                else:
+                    held.append((int(at), int(event_id), bool(ok), bool(retry), [float(w) for w in waits], None if pd.isna(took) else int(took), row))
+        if not closed:
+            held.sort(key=lambda x: x[:2])
+            ready = [x for x in held if x[0] <= now]
+            end = ends_at([x[2:6] for x in ready], max_attempts, budget_ms)
+            if end < 0 and ready and ready[-1][0] + patience < now and (len(ready) == len(held) or held[len(ready)][0] > ready[-1][0] + patience):
+                end = len(ready) - 1  # no further attempt came in time
+            if end >= 0:
+                out.append(("closed", [x[6] for x in held[: end + 1]]))
+                out += [("after_end", [x[6]]) for x in held[end + 1 :]]
+                closed, last, held = True, held[-1][0], []
+        if was_closed and state.hasTimedOut or not (closed or held):
+            state.remove()
+        else:
+            state.update((closed, last, held))
+            waiting = [x[0] for x in held if x[0] > now]
+            at = last + patience if closed else waiting[0] if waiting else held[-1][0] + patience
+            state.setTimeoutTimestamp(max(at // 1000, now // 1000 + 1))
+        yield pd.DataFrame({"kind": [k for k, _ in out], "req_id": [key[0]] * len(out), "attempts": [a for _, a in out]})
+
+    return follow
+
+
+def request_events(attempts: DataFrame, cfg: Limits = DEFAULTS, timeout_secs: int = DEFAULTS.fetch_timeout_secs,
+                   delay: str = DELAY, patience: str = PATIENCE, jitter: bool = True) -> DataFrame:
+    """(kind, req_id, attempts as JSON): ``closed`` with the attempts of a
+    request up to the one that ended it; ``late``, an attempt behind the
+    watermark; ``after_end``, one that came after the request had ended.
+
+    State is kept per request with event-time timers: its attempts until they
+    can be judged, then for ``patience`` a mark that it is closed. A request
+    that got no further attempt for ``patience`` is closed as it stands. An
+    abort by the caller is an attempt row with the message 'Request aborted';
+    it ends the request like any error that is not retried."""
+    max_attempts = max(1, cfg.max_attempts)
+    # Spark drops what is behind the watermark before a state function sees it;
+    # with the time and the delay both put off, the watermark is the same and
+    # late attempts get through
+    clock = attempts.withColumn("clock", F.col("ts") + F.expr(f"interval {PUT_OFF}")).withWatermark("clock", f"{PUT_OFF} {delay}")
+    c = classify_attempts(clock, cfg)
+    # the place of an attempt in its request is known in the state only
+    waits = F.array(*[F.coalesce("retry_after_ms", backoff_ms(F.lit(i), cfg, F.col("req_id") if jitter else None)) for i in range(max_attempts)])
+    rows = c.select(
+        "req_id", "clock", F.unix_micros("ts").alias("at"), "event_id", F.col("error_message").isNull().alias("ok"), "retry",
+        waits.alias("waits"), "dur_ms", F.to_json(F.struct(*ATTEMPT.names), JSON_TIME).alias("row"),
+    )
+    return rows.groupBy("req_id").applyInPandasWithState(
+        _follow(max_attempts, timeout_secs * 1000.0, _micros(patience)),
+        f"kind string, req_id {attempts.schema['req_id'].dataType.simpleString()}, attempts array<string>", STATE, "append", "EventTimeTimeout",
+    )
 
 
-def request_sessions(attempts: DataFrame, idle: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """The attempts of each request, gathered until it has been idle for
-    ``idle`` and the watermark (``delay`` behind the newest attempt) has
-    passed that. Spark merges sessions whatever the order in which attempts
-    arrive; a request has a handful of attempts, so a session is small.
-    Attempts later than the watermark are dropped, so ``delay`` must cover
-    the disorder of the source."""
-    return (
-        attempts.withWatermark("ts", delay)
-        .groupBy(F.session_window("ts", idle).alias("session"), "req_id")
-        .agg(F.collect_list(F.struct(*ATTEMPT_COLUMNS)).alias("attempts"))
-    )
+def attempt_rows(events: DataFrame, *keep: str) -> DataFrame:
+    """The attempts of (req_id, attempts as JSON) as rows again."""
+    rows = events.select(*keep, "req_id", F.explode("attempts").alias("a"))
+    return rows.withColumn("a", F.from_json("a", ATTEMPT, JSON_TIME)).select(*keep, "req_id", "a.*")
 
 
-def stream_request_state(attempts: DataFrame, out: str, ckpt: str, cfg: Limits = DEFAULTS,
-                         timeout_secs: int = DEFAULTS.fetch_timeout_secs, idle: str = "1 hour", delay: str = "1 hour",
+def stream_request_state(attempts: DataFrame, out: str, late: str, ckpt: str, cfg: Limits = DEFAULTS,
+                         timeout_secs: int = DEFAULTS.fetch_timeout_secs, delay: str = DELAY, patience: str = PATIENCE,
                          jitter: bool = True) -> None:
     """The final outcome of each request over an attempt stream (rows
-    carry req_id). A closed request's attempts go through the batch operator
-    (D10), so stream and batch cannot differ. Each micro-batch overwrites a
-    folder named by its id, so a replayed batch is idempotent."""
-
-    def per_batch(closed: DataFrame, batch_id: int) -> None:
-        rows = closed.select("req_id", F.explode("attempts").alias("a")).select("req_id", "a.*")
-        final_outcome(rows, cfg, jitter, timeout_secs).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    carry req_id), once, as soon as the watermark has passed the attempt that
+    ends it. The attempts of closed requests go through the batch operator
+    (D10), so stream and batch cannot differ. Attempts behind the watermark
+    and those of closed requests go to ``late`` with the reason. Each
+    micro-batch overwrites a folder named by its id, so a replayed batch is
+    idempotent; a restarted query goes on from its checkpoint."""
+
+    def per_batch(events: DataFrame, batch_id: int) -> None:
+        events = events.persist()
+        try:
+            final_outcome(attempt_rows(events.where("kind = 'closed'")), cfg, jitter, timeout_secs).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            attempt_rows(events.where("kind <> 'closed'"), "kind").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        finally:
+            events.unpersist()
 
-    sessions = request_sessions(attempts, idle, delay)
-    q = sessions.writeStream.foreachBatch(per_batch).outputMode("append").option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    events = request_events(attempts, cfg, timeout_secs, delay, patience, jitter)
+    q = events.writeStream.foreachBatch(per_batch).outputMode("append").option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
+def close_open_requests(spark: SparkSession, out: str, ckpt: str, cfg: Limits = DEFAULTS,
+                        timeout_secs: int = DEFAULTS.fetch_timeout_secs, jitter: bool = True) -> None:
+    """At the end of a log: the outcomes of the requests that the state store
+    of a stopped ``stream_request_state`` still holds open, as they stand.
+    They are those with no attempt that ends them, and those whose last
+    attempts the watermark had not reached."""
+    state = spark.read.format("statestore").load(ckpt)
+    still = state.where("not value.groupState.closed").select("key.req_id", F.transform("value.groupState.held", lambda x: x["row"]).alias("attempts"))
+    final_outcome(attempt_rows(still), cfg, jitter, timeout_secs).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+
 # --- E4 / E5 -------------------------------------------------------------------------
 
 
