@@ -14,9 +14,9 @@ from .patterns import (
     BODY_RE,
     META_KEYS,
     STRIP_BOILERPLATE_RE,
-    meta_patterns,
 )
-from .text import bound, clean_text, decode_entities, sql_literal, strip_tags, trim_ws, word_count
+from .tags import first_of_sql
+from .text import bound, clean_text_sql, decode_entities, sql_literal, strip_tags, trim_ws, word_count
 
 
 def _c(x) -> Column:
@@ -30,17 +30,14 @@ def first_match(html, pattern: str, group: int = 1) -> Column:
     return F.when(h.rlike(pattern), F.regexp_extract(h, pattern, group))
 
 
-def meta_content(html, key: str) -> Column:
-    fwd, rev = meta_patterns(key)
-    return F.coalesce(first_match(html, fwd), first_match(html, rev))
-
-
-def meta_field(html, field: str) -> Column:
-    """First present meta value for an article field (precedence in
-    ``META_KEYS``), entity-decoded; ``''`` survives like ``??``."""
-    cols = [meta_content(html, k) for k in META_KEYS[field]]
-    v = F.coalesce(*cols) if len(cols) > 1 else cols[0]
-    return clean_text(v)
+def meta_fields(tags: str = "_head") -> Column:
+    """STRUCT with the first present meta value of each article field
+    (precedence in ``META_KEYS``) among the head tags, entity-decoded; ``''``
+    survives like ``??``. One expression cleans them all."""
+    raw = "array(" + ", ".join(first_of_sql(tags, keys) for keys in META_KEYS.values()) + ")"
+    clean = clean_text_sql("v")
+    named = ", ".join(f"'{f}', m[{i}]" for i, f in enumerate(META_KEYS))
+    return F.expr(f"transform(array(transform({raw}, v -> {clean})), m -> named_struct({named}))[0]")
 
 
 def strip_boilerplate(html) -> Column:

@@ -141,21 +141,11 @@ BLOCK_SPLIT_RE = (
     r"|td|th|tr|table|blockquote|pre|br|hr)\b[^>]*>"
 )
 ANCHOR_TEXT_RE = r"(?is)<a\b[^>]*>(.*?)</a>"
-ANCHOR_RE = r"(?is)<a\b[^>]*?\bhref" + SP + r"*=" + SP + r"*\"([^\"]*)\"[^>]*>(.*?)</a>"
 TAG_RE = r"<[^>]*>"
 TITLE_TAG_RE = r"(?is)<title\b[^>]*>(.*?)</title>"
 H1_RE = r"(?is)<h1\b[^>]*>(.*?)</h1>"
-HTML_LANG_RE = r"(?is)<html\b[^>]*?\blang" + SP + r"*=" + SP + r"*[\"']?([A-Za-z]+)"
-TIME_DATETIME_RE = r"(?is)<time\b[^>]*?\bdatetime" + SP + r"*=" + SP + r"*\"([^\"]*)\""
-ICON_LINK_RE = (
-    r"(?is)<link\b[^>]*?\brel" + SP + r"*=" + SP + r"*\"[^\"]*\bicon\b[^\"]*\"[^>]*?\bhref"
-    + SP + r"*=" + SP + r"*\"([^\"]*)\""
-)
-ICON_LINK_REV_RE = (
-    r"(?is)<link\b[^>]*?\bhref" + SP + r"*=" + SP + r"*\"([^\"]*)\"[^>]*?\brel"
-    + SP + r"*=" + SP + r"*\"[^\"]*\bicon\b[^\"]*\""
-)
-FIRST_IMG_RE = r"(?is)<img\b[^>]*?\bsrc" + SP + r"*=" + SP + r"*\"([^\"]*)\""
+LANG_RE = r"^" + SP + r"*([A-Za-z]+)"
+ICON_REL_RE = r"(^|[^a-z0-9_])icon($|[^a-z0-9_])"
 
 # Character references. Named ones follow the standard library's table of
 # HTML names; a no-break space is read as a space; ``&amp;`` is always last,
@@ -167,28 +157,6 @@ HEX_REF_RE = r"&#[xX]([0-9A-Fa-f]{1,6});"
 NAMED_REF_RE = r"&([A-Za-z][A-Za-z0-9]{1,31});"
 REF_RE = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
-# Attribute values in tags, brought to double quotes before they are read:
-# each rule mends one attribute of every tag, so it is applied several times.
-_BEFORE_VALUE = r"(<[a-zA-Z][^<>\"']*(?:\"[^\"]*\"[^<>\"']*)*"
-QUOTE_RULES = [
-    (_BEFORE_VALUE + "=)" + SP + r"*'([^'\"<>]*)'", '{1}"{2}"'),
-    (_BEFORE_VALUE + SP + r"[a-zA-Z:-]+=)" + SP + r"*([^ \t\n\r\f\"'<>=]+)", '{1}"{2}"'),
-] * 6
-# tags that may need it: a value that does not begin with a double quote
-OTHER_QUOTES_RE = r"<[a-zA-Z][^<>]*=" + SP + r"*[^\" \t\n\r\f<>]"
-
-
-def meta_patterns(key: str) -> tuple[str, str]:
-    """Two patterns for ``<meta (property|name)=key content="...">`` in
-    either attribute order; group 1 is the content."""
-    k = key.replace(".", r"\.")
-    name_attr = r"\b(?:property|name|itemprop)" + SP + r"*=" + SP + r"*[\"']" + k + r"[\"']"
-    content_attr = r"\bcontent" + SP + r"*=" + SP + r"*\"([^\"]*)\""
-    fwd = r"(?is)<meta\b[^>]*?" + name_attr + r"[^>]*?" + content_attr
-    rev = r"(?is)<meta\b[^>]*?" + content_attr + r"[^>]*?" + name_attr
-    return fwd, rev
-
-
 # Metadata precedence per article field (first present wins; '' counts as
 # present, like JavaScript's ``??``).
 META_KEYS = {

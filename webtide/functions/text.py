@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from .patterns import (
     AMP_FORMS,
     NAMED_ENTITIES,
-    OTHER_QUOTES_RE,
-    QUOTE_RULES,
     REF_RE,
     TAG_RE,
     WS,
@@ -84,22 +82,6 @@ def decode_entities(x) -> Column:
     return bound(_c(x), DECODE_SQL)
 
 
-def _quote_sql() -> str:
-    out = "q"
-    for pattern, replacement in QUOTE_RULES:
-        out = f"regexp_replace({out}, {sql_literal(pattern)}, {sql_literal(replacement.replace('{1}', '$1').replace('{2}', '$2'))})"
-    return f"q -> case when q rlike {sql_literal(OTHER_QUOTES_RE)} then {out} else q end"
-
-
-QUOTE_SQL = _quote_sql()
-
-
-def double_quoted(x) -> Column:
-    """Tags with their attribute values in double quotes (values that hold
-    a double quote themselves stay as they are)."""
-    return bound(_c(x), QUOTE_SQL)
-
-
 def strip_tags(x) -> Column:
     return F.regexp_replace(_c(x), TAG_RE, " ")
 
@@ -110,6 +92,12 @@ def clean_text(x) -> Column:
     return collapse_ws(decode_entities(strip_tags(x)))
 
 
+def clean_text_sql(x: str) -> str:
+    """``clean_text`` as SQL text."""
+    decoded = f"transform(array(regexp_replace({x}, {sql_literal(TAG_RE)}, ' ')), {DECODE_SQL})[0]"
+    return f"trim({sql_literal(WS_CHARS)} from regexp_replace({decoded}, {sql_literal(WS)}, ' '))"
+
+
 def read_time_min(words, words_per_minute: int = 200) -> Column:
     """0 when there are no words, else ``ceil(words / wpm)``."""
     w = _c(words)

@@ -2,8 +2,8 @@
 
 Every function is DataFrame → DataFrame and narrow (no shuffle): all the
 work on one page happens inside one row, so a 100 TB corpus is read once
-and no HTML crosses the network. Metadata lookups run over the page's
-``<meta>``/``<link>`` tags only (one scan of the HTML collects them).
+and no HTML crosses the network. One pass over the page collects its meta,
+link, time and html tags with their attributes; metadata is looked up there.
 """
 
 from __future__ import annotations
@@ -19,61 +19,39 @@ from ..functions.html import (
     classify_blocks,
     density_content,
     first_match,
-    meta_field,
+    meta_fields,
     strip_boilerplate,
 )
 from ..functions.markdown import to_markdown
-from ..functions.patterns import (
-    ANCHOR_RE,
-    FIRST_IMG_RE,
-    H1_RE,
-    HTML_LANG_RE,
-    ICON_LINK_RE,
-    ICON_LINK_REV_RE,
-    TIME_DATETIME_RE,
-    TITLE_TAG_RE,
-)
-from ..functions.text import bound, clean_text, double_quoted, nullif_empty, read_time_min, sql_literal, trim_ws, word_count
+from ..functions.patterns import H1_RE, ICON_REL_RE, LANG_RE, TITLE_TAG_RE
+from ..functions.tags import anchors, first_image, head_tags, head_value
+from ..functions.text import clean_text, nullif_empty, read_time_min, trim_ws, word_count
 from ..functions.urls import resolve_url, url_parts
 
-META_TAGS_RE = r"(?is)<meta\b[^>]*>"
-LINK_TAGS_RE = r"(?is)<link\b[^>]*>"
-TIME_TAGS_RE = r"(?is)<time\b[^>]*>"
-IMG_TAGS_RE = r"(?is)<img\b[^>]*>"
-
-
-def tag_list(html, pattern: str) -> Column:
-    """The tags of a kind, in double quotes, one per line."""
-    h = F.col(html) if isinstance(html, str) else html
-    return double_quoted(F.array_join(F.regexp_extract_all(h, F.lit(pattern), 0), "\n"))
-
 
 def with_head_tags(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds ``_metas``, ``_links`` and ``_times``: the page's tags joined."""
-    return (
-        pages.withColumn("_metas", tag_list(html, META_TAGS_RE))
-        .withColumn("_links", tag_list(html, LINK_TAGS_RE))
-        .withColumn("_times", tag_list(html, TIME_TAGS_RE))
-    )
+    """Adds ``_head``: the page's meta, link, time and html tags; and
+    ``_meta``: what the meta tags say of each field."""
+    return pages.withColumn("_head", head_tags(html)).withColumn("_meta", meta_fields("_head"))
 
 
 # --- C1–C9 metadata -----------------------------------------------------------
 
 
-def title_col(html="html", metas="_metas") -> Column:
+def title_col(html="html", meta="_meta") -> Column:
     return F.coalesce(
-        meta_field(metas, "title"),
+        F.col(meta)["title"],
         clean_text(first_match(html, TITLE_TAG_RE)),
         clean_text(first_match(html, H1_RE)),
     )
 
 
-def description_col(metas="_metas") -> Column:
-    return meta_field(metas, "description")
+def description_col(meta="_meta") -> Column:
+    return F.col(meta)["description"]
 
 
-def date_col(times="_times", metas="_metas") -> Column:
-    return F.coalesce(meta_field(metas, "date"), first_match(times, TIME_DATETIME_RE))
+def date_col(head="_head", meta="_meta") -> Column:
+    return F.coalesce(F.col(meta)["date"], head_value(head, "time"))
 
 
 def parsed_date_col(date: Column) -> Column:
@@ -85,34 +63,30 @@ def parsed_date_col(date: Column) -> Column:
     )
 
 
-def author_col(metas="_metas") -> Column:
-    return meta_field(metas, "author")
+def author_col(meta="_meta") -> Column:
+    return F.col(meta)["author"]
 
 
-def image_col(url="url", metas="_metas", content="content_html") -> Column:
-    img = bound(
-        tag_list(F.coalesce(F.col(content), F.lit("")), IMG_TAGS_RE),
-        f"t -> case when t rlike {sql_literal(FIRST_IMG_RE)} then regexp_extract(t, {sql_literal(FIRST_IMG_RE)}, 1) end",
-    )
-    ref = F.coalesce(meta_field(metas, "image"), img)
+def image_col(url="url", meta="_meta", content="content_html") -> Column:
+    ref = F.coalesce(F.col(meta)["image"], first_image(F.coalesce(F.col(content), F.lit(""))))
     return F.when(ref.isNotNull(), resolve_url(url, ref))
 
 
-def favicon_col(url="url", links="_links") -> Column:
-    ref = F.coalesce(first_match(links, ICON_LINK_RE), first_match(links, ICON_LINK_REV_RE))
+def favicon_col(url="url", head="_head") -> Column:
+    ref = head_value(head, "link", key_pattern=ICON_REL_RE)
     return F.when(ref.isNotNull(), resolve_url(url, ref))
 
 
-def type_col(metas="_metas") -> Column:
-    return meta_field(metas, "type")
+def type_col(meta="_meta") -> Column:
+    return F.col(meta)["type"]
 
 
-def source_col(url="url", metas="_metas") -> Column:
-    return F.coalesce(meta_field(metas, "source"), url_parts(url)["host"])
+def source_col(url="url", meta="_meta") -> Column:
+    return F.coalesce(F.col(meta)["source"], url_parts(url)["host"])
 
 
-def lang_col(html="html") -> Column:
-    return F.lower(nullif_empty(F.regexp_extract(F.col(html), HTML_LANG_RE, 1)))
+def lang_col(head="_head") -> Column:
+    return F.lower(nullif_empty(F.regexp_extract(head_value(head, "html"), LANG_RE, 1)))
 
 
 # --- C10 main content ------------------------------------------------------------
@@ -151,19 +125,6 @@ def block_features(pages: DataFrame, html: str = "html") -> DataFrame:
 # --- C11 / C12 links ------------------------------------------------------------------
 
 
-def anchors(html: Column) -> Column:
-    """The ``<a href>`` elements of an HTML column in document order, as
-    ARRAY<STRUCT<href, text>> with raw href and inner HTML."""
-
-    return bound(double_quoted(html), ANCHORS_SQL)
-
-
-ANCHORS_SQL = (
-    f"h -> transform(arrays_zip(regexp_extract_all(h, {sql_literal(ANCHOR_RE)}, 1), regexp_extract_all(h, {sql_literal(ANCHOR_RE)}, 2)), "
-    "z -> named_struct('href', z['0'], 'text', z['1']))"
-)
-
-
 def article_links(content: Column, base: Column) -> Column:
     """The outgoing links of an article body: ARRAY<STRUCT<href, text>>,
     href absolute, text clean (NULL when empty)."""
@@ -219,27 +180,33 @@ def extract_pages(
     words_per_minute: int = DEFAULTS.words_per_minute,
     extra_markdown_rules=None,
     fields: list[str] | None = None,
+    asked: tuple[str, str] | None = None,
 ) -> DataFrame:
     """All article fields of each page (or the metadata ``fields`` alone) in
-    one narrow pass; html is dropped from the output."""
+    one narrow pass; html is dropped from the output. ``asked`` names two
+    boolean columns: whether the extracted HTML and whether the Markdown is
+    wanted. A body that nobody wants is not made; ``has_content`` says
+    whether there is one."""
     df = with_head_tags(main_content(pages, prefer_article=prefer_article))
     wanted = [FIELDS[f]().alias(f) for f in (fields or FIELDS)]
     if fields is not None:
         return df.select(*[c for c in pages.columns if c != "html"], *wanted)
-    df = df.select(
-        "*",
+    markdown = to_markdown("content_html", extra_markdown_rules)
+    links = article_links(F.col("content_html"), F.col("url"))
+    hidden = {"html", "_head", "_meta", "content_html", *(asked or ())}
+    return df.select(
+        *[c for c in df.columns if c not in hidden],
         *wanted,
-        to_markdown("content_html", extra_markdown_rules).alias("markdown"),
-        article_links(F.col("content_html"), F.col("url")).alias("links"),
+        F.col("content_html").isNotNull().alias("has_content"),
+        (F.when(F.col(asked[0]), F.col("content_html")) if asked else F.col("content_html")).alias("content_html"),
+        (F.when(F.col(asked[1]), markdown) if asked else markdown).alias("markdown"),
+        links.alias("links"),
     ).withColumn("n_links", F.size("links").cast("int"))
-    return df.drop("html", "_metas", "_links", "_times")
 
 
 def reading_figures(df: DataFrame, body: str = "body", wpm: int = DEFAULTS.words_per_minute):
-    wc = word_count(body)
-    return df.withColumn("word_count", wc.cast("int")).withColumn(
-        "read_time_min", read_time_min("word_count", wpm)
-    ).withColumn("ttr", ttr_seconds(F.col("word_count"), wpm))
+    counted = df.withColumn("word_count", word_count(body).cast("int"))
+    return counted.withColumns({"read_time_min": read_time_min("word_count", wpm), "ttr": ttr_seconds(F.col("word_count"), wpm)})
 
 
 # --- C19 extraction policy ---------------------------------------------------------------
@@ -247,10 +214,8 @@ def reading_figures(df: DataFrame, body: str = "body", wpm: int = DEFAULTS.words
 EMPTY_EXTRACTION = "Content extraction resulted in empty response"
 
 
-def extraction_policy(df: DataFrame, mode: str = "mode", content: str = "content_html") -> DataFrame:
+def extraction_policy(df: DataFrame, mode: str = "mode", content: str = "has_content") -> DataFrame:
     """Static mode: an empty extraction is still a success (null fields,
     body ''). Rendered mode: it is an error that maps to 422."""
-    failed = (F.col(mode) == "playwright") & F.col(content).isNull()
-    return df.withColumn(
-        "error_message", F.when(failed, F.lit(EMPTY_EXTRACTION))
-    ).withColumn("error_code", F.when(failed, F.lit(422)))
+    failed = (F.col(mode) == "playwright") & ~F.coalesce(F.col(content), F.lit(False))
+    return df.withColumns({"error_message": F.when(failed, F.lit(EMPTY_EXTRACTION)), "error_code": F.when(failed, F.lit(422))})

@@ -7,13 +7,8 @@ from ..plans.queries_pages import ARTICLE_FIXTURE_CAP
 from ..sources.fixtures import duck_ctes
 from . import duck as d
 
-META_TAGS_RE = r"(?is)<meta\b[^>]*>"
-LINK_TAGS_RE = r"(?is)<link\b[^>]*>"
-TIME_TAGS_RE = r"(?is)<time\b[^>]*>"
-IMG_TAGS_RE = r"(?is)<img\b[^>]*>"
 
-
-def _ext_ctes(prefer_article: bool = True, source: str = "pages") -> str:
+def _ext_ctes(prefer_article: bool = True, source: str = "pages", markdown: bool = False, extra_rules=None) -> str:
     """CTEs ext (per page helpers), dens (density path via unnest + windows)
     and content (content_html per page)."""
     clean = d.rx_replace("html", P.STRIP_BOILERPLATE_RE, " ")
@@ -24,9 +19,10 @@ def _ext_ctes(prefer_article: bool = True, source: str = "pages") -> str:
 ext0 as (select page_id, url, html, {clean} as clean from {source}),
 ext as (select page_id, url, html, clean,
                {d.article_inner('clean')} as art,
-               {d.tag_list('html', META_TAGS_RE)} as metas,
-               {d.tag_list('html', LINK_TAGS_RE)} as links,
-               {d.tag_list('html', TIME_TAGS_RE)} as times
+               {d.tags('html', 'meta')} as metas,
+               {d.tags('html', 'link')} as links,
+               {d.tags('html', 'time')} as times,
+               {d.tags('html', 'html')} as htmls
         from ext0),
 blk0 as (select page_id, regexp_split_to_array({body}, {d.lit(P.BLOCK_SPLIT_RE)}) as bl from ext),
 blk as (select page_id, unnest(bl) as b, generate_subscripts(bl, 1) as pos from blk0),
@@ -47,37 +43,38 @@ dens as (select page_id,
          from kept group by page_id),
 content0 as (select e.*, nullif({d.trim_ws(content)}, '') as content_html
             from ext e left join dens using (page_id)),
-content as (select *, {d.tag_list("coalesce(content_html, '')", IMG_TAGS_RE)} as imgs,
-                   {d.double_quoted("coalesce(content_html, '')")} as quoted from content0)
-"""
+content as (select *, {d.tags("coalesce(content_html, '')", 'img')} as imgs,
+                   {d.anchors("coalesce(content_html, '')")} as anchors from content0)
+""" + ("," + d.markdown_ctes("content0", extra_rules=extra_rules) if markdown else "")
 
 
 def _fields(wpm: int = 200) -> str:
     host = d.host_of("url")
-    img_ref = f"coalesce({d.meta_field('metas', 'image')}, {d.first_match('imgs', P.FIRST_IMG_RE)})"
-    fav_ref = f"coalesce({d.first_match('links', P.ICON_LINK_RE)}, {d.first_match('links', P.ICON_LINK_REV_RE)})"
+    img_ref = f"coalesce({d.meta_field('metas', 'image')}, {d.first_value('imgs', 'src')})"
+    rel = f"regexp_matches(lower({d.attribute('t', 'rel')}), '(^|[^a-z0-9_])icon($|[^a-z0-9_])')"
+    fav_ref = d.first_value("links", "href", rel)
     return f"""
   coalesce({d.meta_field('metas', 'title')}, {d.clean_text(d.first_match('html', P.TITLE_TAG_RE))},
            {d.clean_text(d.first_match('html', P.H1_RE))}) as title,
   {d.meta_field('metas', 'description')} as description,
-  coalesce({d.meta_field('metas', 'date')}, {d.first_match('times', P.TIME_DATETIME_RE)}) as date,
+  coalesce({d.meta_field('metas', 'date')}, {d.first_value('times', 'datetime')}) as date,
   {d.meta_field('metas', 'author')} as author,
   (case when {img_ref} is not null then {d.resolve_url('url', img_ref)} end) as image,
   (case when {fav_ref} is not null then {d.resolve_url('url', fav_ref)} end) as favicon,
   {d.meta_field('metas', 'type')} as type,
   coalesce({d.meta_field('metas', 'source')}, {host}) as source,
-  lower(nullif(regexp_extract(html, {d.lit(P.HTML_LANG_RE)}, 1), '')) as lang,
-  {d.to_markdown('content_html')} as markdown,
-  regexp_extract_all(quoted, {d.lit(P.ANCHOR_RE)}, 1) as hrefs,
-  cast(len(regexp_extract_all(quoted, {d.lit(P.ANCHOR_RE)}, 1)) as integer) as n_links
+  lower(nullif(regexp_extract({d.first_value('htmls', 'lang')}, '^[ \\t\\n\\r\\f]*([A-Za-z]+)', 1), '')) as lang,
+  list_transform(anchors, lambda z: z[1]) as hrefs,
+  cast(len(anchors) as integer) as n_links
 """
 
 
-def page_fields_sql(select: str, prefer_article: bool = True, rich: bool = False) -> str:
+def page_fields_sql(select: str, prefer_article: bool = True, rich: bool = False, markdown: bool = True) -> str:
+    joined = "content join md using (page_id)" if markdown else "content"
     return (
-        (duck_ctes("rich_pages").strip() + ",\n" if rich else "with ")
-        + _ext_ctes(prefer_article, "rich_pages" if rich else "pages").strip()
-        + f",\nart as (select page_id, url, content_html, {_fields()} from content)\n"
+        (duck_ctes("rich_pages").strip().replace("with ", "with recursive ", 1) + ",\n" if rich else "with recursive ")
+        + _ext_ctes(prefer_article, "rich_pages" if rich else "pages", markdown).strip()
+        + f",\nart as (select page_id, url, content_html, {'markdown, ' if markdown else ''}{_fields()} from {joined})\n"
         + select
     )
 
@@ -106,8 +103,8 @@ def articles_sql(cap: int = ARTICLE_FIXTURE_CAP) -> str:
     fields = ["title", "description", "date", "author", "image", "favicon", "type", "source", "lang"]
     sel = ", ".join(f"case when error_message is null then {f} end as {f}" for f in fields)
     return (
-        "with " + reqs.strip() + ",\n" + _ext_ctes().strip()
-        + f",\nart as (select page_id, url, content_html, strlen(html) as n_bytes, {_fields()} from content),\n"
+        "with recursive " + reqs.strip() + ",\n" + _ext_ctes(markdown=True).strip()
+        + f",\nart as (select page_id, url, content_html, markdown, strlen(html) as n_bytes, {_fields()} from content join md using (page_id)),\n"
         + f"""req as (select req_id, url,
                 coalesce(case when mode <> '' then mode end, 'extractor') as mode,
                 coalesce(raw_body = true, false) as raw_body
@@ -147,7 +144,7 @@ group by rollup (lang, {host})
 
 
 def single_field_sql(field: str) -> str:
-    return page_fields_sql(f"select page_id, {field} from art", rich=True)
+    return page_fields_sql(f"select page_id, {field} from art", rich=True, markdown=False)
 
 
 def block_features_sql() -> str:
@@ -168,13 +165,11 @@ def main_content_sql(prefer_article: bool) -> str:
 
 
 def page_links_sql(source: str = "pages") -> str:
-    href = f"regexp_extract_all(quoted, {d.lit(P.ANCHOR_RE)}, 1)"
-    txt = f"regexp_extract_all(quoted, {d.lit(P.ANCHOR_RE)}, 2)"
     return f"""
-with l as (select page_id, url, unnest({href}) as h, unnest({txt}) as t, generate_subscripts({href}, 1) as pos
-           from (select page_id, url, {d.double_quoted('html')} as quoted from {source}))
-select page_id, cast(pos as integer) as pos, {d.resolve_url('url', 'h')} as href,
-       nullif({d.clean_text('t')}, '') as text
+with l as (select page_id, url, unnest(anchors) as z, generate_subscripts(anchors, 1) as pos
+           from (select page_id, url, {d.anchors('html')} as anchors from {source}))
+select page_id, cast(pos as integer) as pos, {d.resolve_url('url', 'z[1]')} as href,
+       nullif({d.clean_text('z[2]')}, '') as text
 from l
 """
 

@@ -45,7 +45,8 @@ group by window_start, engine, code
 
 
 def markdown_extra_rules_sql() -> str:
-    return duck_ctes("rich_pages").strip() + ",\n" + _ext_ctes(True, "rich_pages").strip() + f"\nselect page_id, md5({d.to_markdown('content_html', EXTRA_RULES)}) as md_md5 from content"
+    ctes = duck_ctes("rich_pages").strip().replace("with ", "with recursive ", 1)
+    return ctes + ",\n" + _ext_ctes(True, "rich_pages", True, EXTRA_RULES).strip() + "\nselect page_id, md5(markdown) as md_md5 from md"
 
 
 SQL = {

@@ -1,11 +1,11 @@
 """Article rows for page requests, and their rollup.
 
-Plan shape: requests are gated by URL first (narrow). Pages are cut down to
-the requested ones, and the HTML of rendered pages over the size cap is
-dropped, before any extraction; a small request list (checked) is broadcast
-for that, so raw HTML never moves. Extraction is narrow, and the join that
-follows ships article rows. With a large list pages are not cut down first,
-for that would shuffle their HTML; the result is the same.
+Plan shape: a Bloom filter of the requested URLs, sized by their count and
+broadcast, cuts pages down to the requested ones before any extraction, and
+says which of the two bodies someone asks for and whether a page over the
+size cap is needed at all. Extraction is narrow. The exact join that follows
+ships article rows with the bodies asked for; no page HTML moves for it. The
+plan is the same for ten requests and for any number of them.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ..operators.extraction import extract_pages, extraction_policy, parsed_date
 from ..operators.gates import scheme_gate_message, with_address_blocked
 from ..operators.outcomes import page_error_code
 from ..sources.readers import page_request_defaults
-from .joins import BROADCAST_MAX_ROWS, has_at_most
+from .joins import BloomFilter
 
 TOO_LARGE = "Response too large"
 
@@ -31,15 +31,17 @@ def with_url_gate(df: DataFrame, url: str = "url", out: str = "_gate") -> DataFr
 
 
 def requested_pages(pages: DataFrame, requests: DataFrame, cap: int) -> DataFrame:
-    """The pages that some request names, with ``n_bytes``; the HTML is
-    dropped where it is over ``cap`` and only rendered requests name it."""
-    n = F.octet_length("html").cast("bigint")
-    wanted = requests.groupBy("url").agg(F.max((F.col("mode") != "playwright").cast("int")).alias("_static"))
-    sized = pages.select("page_id", "url", "html", n.alias("n_bytes"))
-    if not has_at_most(wanted, BROADCAST_MAX_ROWS):
-        return sized
-    kept = sized.join(F.broadcast(wanted), "url")
-    return kept.withColumn("html", F.when((F.col("n_bytes") <= cap) | (F.col("_static") == 1), F.col("html"))).drop("_static")
+    """The pages that some request may name, with ``n_bytes``, ``_raw`` and
+    ``_md`` (which body is asked for). The HTML is dropped where it is over
+    ``cap`` and only rendered requests name it."""
+    kinds = F.array(
+        F.when(F.col("raw_body"), F.lit("raw")).otherwise(F.lit("md")),
+        F.when(F.col("mode") != "playwright", F.lit("static")).otherwise(F.lit("rendered")),
+    )
+    asked = requests.select("url", F.explode(kinds).alias("kind"))
+    sized = pages.select("page_id", "url", "html", F.octet_length("html").cast("bigint").alias("n_bytes"))
+    kept = BloomFilter(asked, "url", "kind").meet(sized, "url", {"_raw": "raw", "_md": "md", "_static": "static"})
+    return kept.withColumn("html", F.when((F.col("n_bytes") <= cap) | F.col("_static"), F.col("html"))).drop("_static")
 
 
 def build_articles(
@@ -65,7 +67,10 @@ def build_articles(
         )
     else:
         req = page_request_defaults(requests, cfg).select("req_id", "url", "mode", "raw_body")
-        df = req.join(extract_pages(requested_pages(pages, req, cfg.max_response_bytes), **options), "url", "left")
+        if gate_urls:  # before the join: requests are narrow rows
+            req = with_url_gate(req)
+        found = extract_pages(requested_pages(pages, req, cfg.max_response_bytes), asked=("_raw", "_md"), **options)
+        df = req.join(found, "url", "left")
     df = df.withColumn(
         "body", select_body(F.col("raw_body"), F.col("content_html"), F.col("markdown"))
     )
@@ -74,7 +79,7 @@ def build_articles(
     large = F.when((F.col("mode") == "playwright") & (F.col("n_bytes") > cfg.max_response_bytes), F.lit(TOO_LARGE))
     df = df.withColumn("error_message", F.coalesce(large, F.col("error_message")))
     if gate_urls:
-        df = with_url_gate(df).withColumn("error_message", F.coalesce(F.col("_gate"), F.col("error_message"))).drop("_gate")
+        df = (df if "_gate" in df.columns else with_url_gate(df)).withColumn("error_message", F.coalesce(F.col("_gate"), F.col("error_message"))).drop("_gate")
     mapped = page_error_code(F.col("error_message"))
     failed = F.col("error_message").isNotNull()
     fields = ["title", "description", "date", "author", "image", "favicon", "type", "source", "lang"]
@@ -130,15 +135,17 @@ def reading_rollup(articles: DataFrame) -> DataFrame:
 
     Partial aggregation runs map-side, so only one row per (lang, host) and
     task crosses the shuffle, whatever the skew of hosts."""
-    ok = articles.where(F.col("error_code").isNull())
+    # a filter would be pushed down to where it repeats the error rules
+    ok = F.col("error_code").isNull()
     host = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return (
-        ok.withColumn("host", host)
+        articles.select("lang", host.alias("host"), ok.alias("ok"), "word_count", "read_time_min")
         .rollup("lang", "host")
         .agg(
-            F.count(F.lit(1)).alias("pages"),
+            F.count_if("ok").alias("pages"),
             F.sum("word_count").cast("bigint").alias("words"),
             F.sum("read_time_min").cast("bigint").alias("read_minutes"),
             F.max("word_count").cast("int").alias("max_words"),
         )
+        .where("pages > 0")
     )
