@@ -48,7 +48,7 @@ def test_matches_sql(spark):
     from webtide.oracle.harness import compare, duck_connect
 
     r = compare(QUERIES["op12_de_bruijn_collocations"](spark, SF), SQL["op12_de_bruijn_collocations"], duck_connect(SF))
-    assert r["ok"] and r["spark_rows"] > 50, r
+    assert r["ok"] and r["rows_spark"] > 50, r
 
 
 @pytest.mark.parametrize("most,least,percent,top", [(5, 3, 100, 2000), (5, 2, 60, 40), (4, 2, 100, 2000), (3, 5, 100, 2000)])

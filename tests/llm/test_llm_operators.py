@@ -636,3 +636,86 @@ def test_toxicity(spark, awkward, empty):
     for some in (none, odd):
         assert score_toxicity(awkward, some).count() == len(awkward_rows()) and drop_toxic(awkward, some).columns == awkward.columns
         assert score_toxicity(empty, some).count() == 0
+
+
+# --- rows are known by what they hold --------------------------------------------------
+
+
+def test_kept_rows_do_not_depend_on_splits(spark, tmp_path):
+    """The scan is split in another way between building and writing."""
+    from webtide.llm.exact_dedup import drop_exact_duplicates
+    from webtide.llm.line_dedup import drop_repeated_lines
+    from webtide.llm.simhash import drop_near_duplicates
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "of", "ing", "tion"]) + str(rng.randrange(40)) for _ in range(30)) + "\nfooter" for _ in range(120)]
+    rows = [(i, texts[i % 120], "x" * (i % 7)) for i in range(400)] + [(5, texts[5], "again"), (5, texts[5], "again"), (None, texts[7], "n"), (None, "only null", "n")]
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(12).write.parquet(path)
+    conf = "spark.sql.files.minPartitionNum"
+    try:
+        out = {}
+        for name, job in (("exact", drop_exact_duplicates), ("near", drop_near_duplicates), ("lines", drop_repeated_lines)):
+            for then in (4, 64):
+                spark.conf.set(conf, 4)
+                left = job(spark.read.parquet(path))
+                spark.conf.set(conf, then)
+                got = sorted((tuple(r) for r in left.collect()), key=str)
+                assert out.setdefault(name, got) == got, (name, then)
+    finally:
+        spark.conf.unset(conf)
+    assert [r[0] for r in sorted(out["exact"], key=lambda r: str(r[1]))] == [max((i for i, t, _ in rows if t == u and i is not None), default=None) for u in sorted({r[1] for r in rows})]
+    assert len(out["near"]) <= 121 and len({r[1] for r in out["near"]}) == len(out["near"])
+    assert len(out["lines"]) == len(rows) and all("footer" not in r[3] for r in out["lines"] if r[1] > 1)
+
+
+def test_runs_spare_frequent_lines(spark, monkeypatch):
+    """With production parameters later batches meet a run of frequent lines."""
+    from webtide.llm import line_dedup as m
+
+    removed = []
+    plain = m.LineRuns._unknown
+
+    def counted(self, counts):
+        left = plain(self, counts)
+        removed.append((len(self.levels[0]), counts.count() - left.count()))
+        return left
+
+    monkeypatch.setattr(m.LineRuns, "_unknown", counted)
+    docs = spark.createDataFrame([(i, f"own {i}\nfooter\nrare {i // 3}") for i in range(600)], "doc_id long, text string")
+    left = m.drop_repeated_lines(docs).collect()
+    assert len(left) == 600 and {r.n_dropped for r in left} == {1}
+    # 4 batches, a compaction that finds the footer, and 12 batches without it
+    assert sum(n for _, n in removed) >= 12 and removed[0] == (0, 0)
+
+
+def test_maximal_segments_are_linear():
+    import time
+
+    from webtide.llm.toxicity import maximal_segments
+
+    def slow(scores, length, drift):
+        held, total, at = [], 0.0, 0
+        for place, score in scores:
+            total += (place - at) * drift
+            at = place + 1
+            new = [place, at, total, total + score]
+            total += score
+            while True:
+                j = next((j for j in range(len(held) - 1, -1, -1) if held[j][2] < new[2]), -1)
+                if j < 0 or held[j][3] >= new[3]:
+                    held.append(new)
+                    break
+                new = [held[j][0], new[1], held[j][2], new[3]]
+                del held[j:]
+        return [(a, b, high - low) for a, b, low, high in held]
+
+    rng = random.Random(2)
+    for _ in range(200):
+        scores = [(i, rng.choice([0.5, 1.0, 2.5, 4.0])) for i in range(80) if rng.random() < rng.choice([0.2, 0.7])]
+        assert maximal_segments(scores, 80, -1.0) == slow(scores, 80, -1.0)
+    began = time.time()
+    n = 64_000
+    assert len(maximal_segments([(3 * i, 1.0) for i in range(n)], 3 * n, -1.0)) == n
+    assert len(maximal_segments([(2 * i, 3.0 - i / n) for i in range(n)], 2 * n, -1.0)) == 1
+    assert time.time() - began < 1

@@ -55,12 +55,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_rows(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose number (see ``with_row``) is in
-    ``kept.row``, with the columns of ``df``."""
-    name = fresh(df, "_row")
-    numbered = df.withColumn(name, F.monotonically_increasing_id())
-    return numbered.join(kept.select(F.col("row").alias(name)), name, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+def keep_rows(df: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
+    """One row of ``df`` for each row of ``kept``, with the columns of ``df``.
+
+    ``keys`` says how the key columns of ``kept`` follow from a row of ``df``
+    (nulls are equal); ``kept.rows`` is how many rows have that key, of which
+    any one stays. Rows are known by what they hold, never by a number that a
+    second scan would have to deal out again in the same way.
+    """
+    names = {k: fresh(df, f"_key_{k}") for k in keys}
+    keyed = df.withColumns({names[k]: c for k, c in keys.items()})
+    columns = [F.col(f"`{c}`") for c in df.columns]
+
+    def of(some: DataFrame) -> DataFrame:
+        right = some.select(*[F.col(k).alias(names[k] + "_r") for k in keys])
+        same = [F.col(n).eqNullSafe(F.col(n + "_r")) for n in names.values()]
+        return keyed.join(right, same, "left_semi")
+
+    left = of(kept.where("rows = 1")).select(*columns)
+    if not kept.where("rows > 1").take(1):
+        return left
+    one = of(kept.where("rows > 1")).groupBy(*names.values()).agg(F.first(F.struct(*columns)).alias("_row"))
+    return left.union(one.select("_row.*"))
 
 
 def numbered_within(rows: DataFrame, key: str, out: str, order: tuple[str, ...] = ("row",)) -> DataFrame:

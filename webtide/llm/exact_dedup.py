@@ -61,6 +61,11 @@ def frequent_digests(rows: DataFrame, counters: int) -> DataFrame:
     return exact.where(F.col("size") * counters >= F.lit(total)).where("size > 1")
 
 
+def _digest(normal: Column | None, text_col: str) -> Column:
+    text = normal if normal is not None else ascii_lower(whole_text(text_col))
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, normal: Column | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, row.
 
@@ -71,8 +76,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty; texts of any length are read whole; an empty table gives none.
     Other columns of ``docs`` are not read.
     """
-    text = normal if normal is not None else ascii_lower(whole_text(text_col))
-    rows = stored(with_row(docs, id=F.col(id_col), digest=F.sha2(F.encode(text, "UTF-8"), 256)))
+    rows = stored(with_row(docs, id=F.col(id_col), digest=_digest(normal, text_col)))
     heavy = stored(frequent_digests(rows, counters))
     tagged = rows.join(F.broadcast(heavy), "digest", "left")
     group = Window.partitionBy("digest")
@@ -83,6 +87,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that ``exact_duplicates`` drops."""
-    return keep_rows(docs, exact_duplicates(docs, **options).where("kept"))
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group: one with the id that stays."""
+    found = exact_duplicates(docs, id_col, text_col, **options)
+    winners = found.where(F.col(id_col).eqNullSafe(F.col("keep_id"))).groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest"))
+    return keep_rows(docs, stored(winners.agg(F.count(F.lit(1)).alias("rows"))), id=F.col(id_col), digest=_digest(options.get("normal"), text_col))

@@ -83,12 +83,12 @@ class LineRuns:
 
 
 def frequent_lines(rows: DataFrame, min_docs: int, min_chars: int, batches: int, fanout: int) -> DataFrame:
-    """``rows`` has row, lines. Keys (MD5 of the line's key, 16 bytes) of
+    """``rows`` has id, h, lines. Keys (MD5 of the line's key, 16 bytes) of
     lines in at least ``min_docs`` rows; a line counts once for each row."""
     spark = rows.sparkSession
     keys = F.array_distinct(F.transform(F.filter(F.transform("lines", line_key), lambda k: F.char_length(k) >= min_chars), lambda k: F.md5(k)))
     # the documents come in batches; one pass counts all batches' lines
-    counted = rows.select(F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("key")).groupBy("batch", "key").agg(F.count(F.lit(1)).alias("docs"))
+    counted = rows.select(F.pmod(F.xxhash64("id", "h"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("key")).groupBy("batch", "key").agg(F.count(F.lit(1)).alias("docs"))
     runs = LineRuns(spark, min_docs, fanout)
     path = f"{runs.folder}/batches"
     counted.select("batch", F.unhex("key").alias("key"), "docs").write.partitionBy("batch").parquet(path)
@@ -100,7 +100,7 @@ def frequent_lines(rows: DataFrame, min_docs: int, min_chars: int, batches: int,
     return found
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 16, fanout: int = 4) -> DataFrame:
     """Id, n_lines, n_dropped, text (the other lines, joined by newlines).
 
     A line is compared by its key: blanks stripped at both ends, A-Z in lower
@@ -111,11 +111,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     combine, and only row and place of a line meet the frequent keys. Repeated
     rows count as documents of their own. An empty table gives none.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.split(whole_text(text_col), "\n").alias("lines"), F.monotonically_increasing_id().alias("row"))
-    found = frequent_lines(rows.select("row", "lines"), min_docs, min_chars, batches, fanout)
-    at = rows.select("row", F.posexplode(F.transform("lines", lambda x: F.md5(line_key(x)))).alias("at", "key"))
-    dropped = at.select("row", "at", F.unhex("key").alias("key")).join(found, "key").groupBy("row").agg(F.collect_list("at").alias("dropped"))
-    both = rows.join(dropped, "row", "left")
+    # rows are known by id and text: those that share both lose the same lines
+    rows = docs.select(F.col(id_col).alias("id"), F.split(whole_text(text_col), "\n").alias("lines"), F.xxhash64(whole_text(text_col)).alias("h"))
+    found = frequent_lines(rows, min_docs, min_chars, batches, fanout)
+    at = rows.select("id", "h", F.posexplode(F.transform("lines", lambda x: F.md5(line_key(x)))).alias("at", "key"))
+    dropped = at.select("id", "h", "at", F.unhex("key").alias("key")).join(found, "key").groupBy("id", "h").agg(F.collect_set("at").alias("dropped"))
+    same = F.col("r.id").eqNullSafe(F.col("d.id")) & (F.col("r.h") == F.col("d.h"))
+    both = rows.alias("r").join(dropped.alias("d"), same, "left").select("r.id", "lines", "dropped")
     n = F.size("lines")
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("dropped", F.array().cast("array<int>")))
     return both.select(

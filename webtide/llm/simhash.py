@@ -17,7 +17,7 @@ sets of queries, and each tree meets each set.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_rows, stored, whole_text
@@ -87,15 +87,20 @@ def _fingerprints(words: int):
                     out.append(bit_majority(np.concatenate(hashes), np.array(ends)))
                     hashes, ends, n = [], [], 0
             found = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(found.view(np.int64))], names=["id", "row", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), batch.column("row"), pa.array(found.view(np.int64))], names=["id", "h", "row", "fingerprint"])
 
     return run
 
 
+def text_hash(text_col: str) -> Column:
+    """With the id, what a row is known by."""
+    return F.xxhash64(whole_text(text_col))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, row, fingerprint as a signed long) of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(words), f"id {rows.schema['id'].dataType.simpleString()}, row long, fingerprint long")
+    """(id, h, row, fingerprint as a signed long) of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprints(words), f"id {rows.schema['id'].dataType.simpleString()}, h long, row long, fingerprint long")
 
 
 class Forest:
@@ -230,7 +235,7 @@ def shard_groups(prints: DataFrame, radius: int, tree: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, tree: int = TREE) -> DataFrame:
-    """Id, fingerprint (16 hex digits), component_id, kept, row of every row.
+    """Id, fingerprint (16 hex digits), component_id, kept, row, h of every row.
 
     Texts are cut into words at ASCII blanks, A-Z in lower case; a shingle is
     ``words`` words joined by spaces (fewer words: all of them). A text
@@ -252,10 +257,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = found.groupBy("component").agg(F.min("first").alias("least"))
     named = found.join(least, "component").select("fingerprint", "least")
     return rows.join(named, "fingerprint").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"), "row"
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"), "row", "h"
     )
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component."""
-    return keep_rows(docs, near_duplicates(docs, **options).where("kept"))
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: one with its smallest id."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    keys = found.groupBy(F.col(id_col).alias("id"), "h").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept"))
+    return keep_rows(docs, stored(keys.where("kept")), id=F.col(id_col), h=text_hash(text_col))

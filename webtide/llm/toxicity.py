@@ -60,23 +60,27 @@ def maximal_segments(scores: list[tuple[int, float]], length: int, drift: float)
     """All maximal scoring segments (from, to, score) of a sequence of
     ``length`` words, of which those in ``scores`` (place, score > 0) are
     positive and all others score ``drift``."""
-    held: list[list[float]] = []  # [from, to, sum before it, sum up to its end]
+    # [from, to, sum before it, sum up to its end, the nearest one to the left
+    # with a smaller sum before it]: with that link the scan is linear
+    held: list[list[float]] = []
     total, at = 0.0, 0
     for place, score in scores:
         total += (place - at) * drift
         at = place + 1
         new = [place, at, total, total + score]
         total += score
+        j = len(held) - 1
         while True:
-            j = len(held) - 1
             while j >= 0 and held[j][2] >= new[2]:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= new[3]:
-                held.append(new)
+                held.append([*new, j])
                 break
             new = [held[j][0], new[1], held[j][2], new[3]]
+            left = held[j][4]
             del held[j:]
-    return [(int(a), int(b), high - low) for a, b, low, high in held]
+            j = left
+    return [(int(a), int(b), high - low) for a, b, low, high, _ in held]
 
 
 class _Scores(dict):
