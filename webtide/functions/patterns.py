@@ -32,11 +32,14 @@ URL_RE = (
 ABSOLUTE_REF_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 IPV4_RE = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
 # a host whose last label is a number is an IPv4 address in some spelling
-# (octal, hex, fewer parts, trailing dot); only the plain quad is accepted
+# (octal, hex, fewer parts, trailing dot)
 NUMERIC_HOST_RE = r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$"
-_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-REWRITTEN_HOST_RE = r"[%\t\n\r ]"
-PLAIN_QUAD_RE = "^" + _OCTET + r"(\." + _OCTET + "){3}$"
+# code points that no host may have once escapes are decoded
+FORBIDDEN_HOST_RE = r"[\x00-\x20#/<>?@\\^|%:\[\]\x7f]"
+# full-width forms and ideographic full stops, and what they stand for
+WIDE_CHARS = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3002\uff61"
+PLAIN_CHARS = "".join(chr(c) for c in range(0x21, 0x7F)) + ".."
+MAX_PORT = 65535
 
 # --- fixed values (must equal the reference's behaviour) --------------------
 # URL schemes the gate accepts

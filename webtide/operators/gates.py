@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import patterns as P
 from ..functions.text import trim_ws
-from ..functions.urls import ipv4_to_long, strip_brackets, url_parts
+from ..functions.urls import canonical_host, ipv4_to_long, strip_brackets, url_parts, valid_port
 from ..plans.joins import BROADCAST_MAX_ROWS, has_at_most
 
 
@@ -143,20 +143,67 @@ def quarantine_lanes(df: DataFrame, errors: str = "errors") -> DataFrame:
     ).withColumn("error_message", F.when(bad, F.lit("Validation failed")))
 
 
+def gate_lanes(df: DataFrame, resolved: DataFrame, allowed: list[str], max_bytes: int = DEFAULTS.max_response_bytes) -> DataFrame:
+    """B1–B15 in the reference's order, first failure wins. Rows are page
+    requests (url, mode, task_timeout_secs, payload as JSON) with what came
+    back for them (engine, status, location, content_type, declared_length,
+    html; no status: nothing was fetched yet).
+
+    Adds ``lane`` (valid, redirect or invalid), ``gate`` (the gate that
+    failed), ``error_code``, ``error_message`` and ``details``. Validation
+    fails with 400 and its messages; a gate on the URL or the response with
+    the code of its message. ``resolved`` is static, so ``df`` may be a
+    stream. The gates on a response are not evaluated for rows that an
+    earlier gate has stopped."""
+    from .outcomes import fetch_error_code
+
+    v = unknown_fields(validate_page_requests(df), "payload", allowed).withColumn("errors", F.concat("errors", F.coalesce("unknown", F.array().cast("array<string>"))))
+    v = v.withColumn("_host", strip_brackets(canonical_host(url_parts(F.col("url"))["host"])))
+    v = with_address_blocked(v, "_host", "_blocked")
+    v = resolved_gate(v, resolved).drop("n_addresses", "host")
+    bad = F.size("errors") > 0
+    fetched = F.col("status").isNotNull()
+    rendered = F.col("engine") == "playwright"
+    empty = F.when(rendered & (F.col("html").isNull() | (F.col("html") == "")), F.lit(EMPTY_RENDERED))
+    status = F.when(F.when(rendered, F.col("status").isin(403, 429)).otherwise(~F.col("status").between(200, 299)), F.concat(F.lit("HTTP status "), F.col("status").cast("string")))
+    declared = F.when(~rendered, F.col("declared_length"))
+    checks = [
+        ("B1", F.when(bad, F.lit("Validation failed"))),
+        ("B7", scheme_gate_message(F.col("url"))),
+        ("B8", F.when(F.col("_blocked"), F.lit("SSRF blocked"))),
+        ("B10", F.col("resolve_message")),
+        ("B13", F.when(fetched & ~rendered & (status_class(F.col("status"), F.col("location")) == "redirect"), F.lit("redirect"))),
+        ("B15", F.when(fetched, empty)),
+        ("B11", F.when(fetched & ~rendered, content_type_message(F.col("content_type")))),
+        ("B12", F.when(fetched, size_message(declared, F.col("html"), max_bytes))),
+        ("B14", F.when(fetched, status)),
+    ]
+    first = F.coalesce(*[F.when(m.isNotNull(), F.struct(F.lit(g).alias("gate"), m.alias("message"))) for g, m in checks])
+    out = v.withColumn("_first", first)
+    stopped = F.col("_first").isNotNull()
+    redirect = F.col("_first.gate") == "B13"
+    mapped = fetch_error_code(F.col("_first.message"), F.when(F.col("_first.gate") == "B14", F.col("status")))
+    unknown = bad & (F.size("unknown") > 0) & (F.size("errors") == F.size("unknown"))
+    return out.withColumns({
+        "lane": F.when(redirect, F.lit("redirect")).when(stopped, F.lit("invalid")).otherwise(F.lit("valid")),
+        "gate": F.when(unknown, F.lit("B4")).otherwise(F.col("_first.gate")),
+        "error_code": F.when(stopped & ~redirect, F.when(bad, F.lit("VALIDATION")).otherwise(mapped["code"])),
+        "error_message": F.when(stopped & ~redirect, F.when(bad, F.lit("Validation failed")).otherwise(mapped["message"])),
+        "details": F.when(bad, F.array_join("errors", "; ")),
+    }).drop("_first", "_host", "_blocked", "resolve_message", "errors", "unknown")
+
+
 # --- B6–B10 URL gates ----------------------------------------------------------------
 
 
 def scheme_gate_message(url: Column) -> Column:
-    """'Invalid URL' when unparseable, 'Unsupported URL protocol' when the
-    scheme is not http(s); NULL when it passes. Hosts that a browser would
-    rewrite into an address (numbers that are no plain dotted quad, percent
-    escapes, blanks) are invalid: no spelling gets past the address gates."""
+    """'Invalid URL' when unparseable (a host that no parser accepts and a
+    port over 65535 included), 'Unsupported URL protocol' when the scheme is
+    not http(s); NULL when it passes."""
     parts = url_parts(url)
-    host = parts["host"]
     return (
-        F.when(parts["scheme"].isNull() | host.isNull(), F.lit("Invalid URL"))
-        .when(host.rlike(P.NUMERIC_HOST_RE) & ~host.rlike(P.PLAIN_QUAD_RE), F.lit("Invalid URL"))
-        .when(host.rlike(P.REWRITTEN_HOST_RE), F.lit("Invalid URL"))
+        F.when(parts["scheme"].isNull() | parts["host"].isNull() | ~valid_port(parts["port"]), F.lit("Invalid URL"))
+        .when(canonical_host(parts["host"]).isNull(), F.lit("Invalid URL"))
         .when(~parts["scheme"].isin(*P.ALLOWED_SCHEMES), F.lit("Unsupported URL protocol"))
     )
 
@@ -186,22 +233,25 @@ def _ipv4_number(ip: str) -> int:
 
 def in_ranges(ip: Column, ranges: list[tuple[int, int]]) -> Column:
     """Whether ``ip`` is in one of the ranges, which may overlap: merged and
-    sorted, so that it is one test for few ranges and a search of an array
-    for many. NULL is in none."""
+    sorted, then searched by halves. NULL is in none."""
     merged: list[list[int]] = []
     for lo, hi in sorted(ranges):
         if merged and lo <= merged[-1][1] + 1:
             merged[-1][1] = max(merged[-1][1], hi)
         else:
             merged.append([lo, hi])
-    if len(merged) <= 32:
-        cond = F.lit(False)
-        for lo, hi in merged:
-            cond = cond | ip.between(lo, hi)
-    else:
-        table = F.array(*[F.struct(F.lit(lo).cast("bigint").alias("lo"), F.lit(hi).cast("bigint").alias("hi")) for lo, hi in merged])
-        cond = F.exists(table, lambda r: ip.between(r["lo"], r["hi"]))
-    return F.coalesce(cond, F.lit(False))
+
+    def among(some: list[list[int]]) -> Column:
+        """Nested comparisons, halving the ranges each time."""
+        if len(some) <= 4:
+            cond = F.lit(False)
+            for lo, hi in some:
+                cond = cond | ip.between(lo, hi)
+            return cond
+        half = len(some) // 2
+        return F.when(ip < some[half][0], among(some[:half])).otherwise(among(some[half:]))
+
+    return F.coalesce(among(merged), F.lit(False))
 
 
 def ipv4_block(df: DataFrame, host: str = "host", allow_loopback: bool = False, ranges: DataFrame | None = None) -> DataFrame:
@@ -210,7 +260,7 @@ def ipv4_block(df: DataFrame, host: str = "host", allow_loopback: bool = False,
     an IPv4 literal inside a deny range. No join: the small deny table
     becomes part of the expression, and overlapping ranges cost nothing."""
     deny = _deny_literals(ranges)
-    out = df.withColumn("ip", ipv4_to_long(strip_brackets(F.col(host))))
+    out = df.withColumn("ip", ipv4_to_long(canonical_host(F.col(host))))
     strict = in_ranges(F.col("ip"), [(lo, hi) for lo, hi, _ in deny])
     loose = in_ranges(F.col("ip"), [(lo, hi) for lo, hi, lb in deny if not lb])
     return (
@@ -268,7 +318,7 @@ def resolved_gate(urls: DataFrame, resolved: DataFrame, url: str = "url", allow_
         .groupBy("host")
         .agg(F.count(F.lit(1)).alias("n_addresses"), F.max(F.col("b").cast("int")).alias("any_blocked"))
     )
-    u = urls.withColumn("host", url_parts(F.col(url))["host"])
+    u = urls.withColumn("host", canonical_host(url_parts(F.col(url))["host"]))
     literal = F.col("host").rlike(P.IPV4_RE) | F.col("host").startswith("[")
     out = u.join(per_host, "host", "left")
     msg = (

@@ -117,10 +117,10 @@ def url_parts_sql() -> str:
 
 def scheme_msg(u: str) -> str:
     scheme = f"lower({d.url_part(u, 1)})"
-    host = f"lower({d.url_part(u, 3)})"
-    return (f"(case when {scheme} is null or {host} is null then 'Invalid URL' "
-            f"when regexp_matches({host}, {d.lit(P.NUMERIC_HOST_RE)}) and not regexp_matches({host}, {d.lit(P.PLAIN_QUAD_RE)}) then 'Invalid URL' when regexp_matches({host}, {d.lit(P.REWRITTEN_HOST_RE)}) then 'Invalid URL' "
-            f"when not ({_in(scheme, P.ALLOWED_SCHEMES)}) then 'Unsupported URL protocol' end)")
+    host, port = d.url_part(u, 3), d.url_part(u, 4)
+    return (f"(case when {scheme} is null or {host} is null or coalesce(try_cast({port} as integer), case when {port} is null then 0 else 65536 end) > 65535 "
+            f"then 'Invalid URL' when {d.canonical_host(host)} is null then 'Invalid URL' "
+            f"when {scheme} not in ('http', 'https') then 'Unsupported URL protocol' end)")
 
 
 def scheme_gate_sql() -> str:
@@ -156,7 +156,7 @@ def v6_blocked(h: str, allow_loopback: bool = False) -> str:
 
 
 def ipv4_block_sql() -> str:
-    ip = ipv4_long(strip_br("host"))
+    ip = ipv4_long(d.canonical_host("host"))
     return duck_ctes("hosts") + f"""
 select c_custkey, host, {ip} as ip, {v4_blocked(ip)} as blocked, {v4_blocked(ip, True)} as blocked_loopback_ok
 from hosts
@@ -171,7 +171,7 @@ from (select url_id, lower({d.url_part('url', 3)}) as host from probe_urls)
 
 
 def url_gate_sql() -> str:
-    ip = ipv4_long(strip_br("host"))
+    ip = ipv4_long(d.canonical_host("host"))
     return duck_ctes("probe_urls") + f""", {ALL_URLS}
 select url_id, host,
   coalesce({scheme_msg('url')}, case when {v4_blocked(ip)} or {v6_blocked('host')} then 'SSRF blocked' end) as gate_message
@@ -184,7 +184,7 @@ def resolved_gate_sql() -> str:
     return duck_ctes("named_urls", "resolved") + f""",
 per_host as (select lower(host) as host, count(*) as n_addresses, max(cast({addr_b} as integer)) as any_blocked
              from resolved group by lower(host)),
-u as (select url_id, lower({d.url_part('url', 3)}) as host from named_urls)
+u as (select url_id, {d.canonical_host(d.url_part('url', 3))} as host from named_urls)
 select u.url_id, u.host, cast(p.n_addresses as bigint) as n_addresses,
   case when regexp_matches(u.host, {d.lit(P.IPV4_RE)}) or starts_with(u.host, '[') or u.host is null then null
        when p.n_addresses is null then 'DNS lookup failed'

@@ -86,7 +86,7 @@ def articles_sql(cap: int = ARTICLE_FIXTURE_CAP) -> str:
     hostp = d.url_part("r.url", 3)
     from .sql_gates import ipv4_long, scheme_msg, strip_br, v4_blocked, v6_blocked
 
-    host = f"lower({hostp})"
+    host = d.canonical_host(hostp)
     gate = (f"coalesce({scheme_msg('r.url')}, case when {v4_blocked(ipv4_long(strip_br(host)))} "
             f"or (contains({host}, ':') and {v6_blocked(host)}) then 'SSRF blocked' end)")
     err = (f"coalesce(gate_msg, case when mode = 'playwright' and n_bytes > {cap} then 'Response too large' end, "

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Limits
-from ..functions.urls import strip_brackets, url_parts
+from ..functions.urls import canonical_host, strip_brackets, url_parts
 from ..operators.extraction import extract_pages, extraction_policy, parsed_date_col, reading_figures, select_body
 from ..operators.gates import scheme_gate_message, with_address_blocked
 from ..operators.outcomes import page_error_code
@@ -26,7 +26,7 @@ TOO_LARGE = "Response too large"
 
 def with_url_gate(df: DataFrame, url: str = "url", out: str = "_gate") -> DataFrame:
     """Adds the message of the URL gates (scheme, then literal addresses)."""
-    df = with_address_blocked(df.withColumn("_host", strip_brackets(url_parts(F.col(url))["host"])), "_host", "_blk")
+    df = with_address_blocked(df.withColumn("_host", strip_brackets(canonical_host(url_parts(F.col(url))["host"]))), "_host", "_blk")
     return df.withColumn(out, F.coalesce(scheme_gate_message(F.col(url)), F.when(F.col("_blk"), F.lit("SSRF blocked")))).drop("_host", "_blk")
 
 

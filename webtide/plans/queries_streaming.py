@@ -16,12 +16,12 @@ from ..functions.urls import url_parts
 from ..operators.extension import StdlibExtractor, extract
 from ..operators.extraction import page_links
 from ..session import cut_lineage, pages_table
-from ..sources.fixtures import PAGE_REQUESTS, Fixtures
+from ..sources.fixtures import GATED_REQUESTS, Fixtures
 from ..operators.outcomes import final_outcome
 from ..sources.readers import PAGE_SCHEMA, scan_objects
 from ..sources.sinks import write_articles, write_outcomes
 from ..streaming import jobs as J
-from .queries_gates import tracker_inputs
+from .queries_gates import ALLOWED_PAGE_FIELDS, tracker_inputs
 from .queries_pages import _articles
 
 
@@ -89,13 +89,12 @@ def q_stream_request_state(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     d = J.run_dir(spark, "quarantine")
     pages = J.table_stream(spark, sf, "pages", PAGE_SCHEMA)
-    reqs = spark.sql(PAGE_REQUESTS, pages=pages.select("page_id", "url"))
+    reqs = spark.sql(GATED_REQUESTS, pages=pages)
     good, bad = os.path.join(d, "good"), os.path.join(d, "bad")
-    J.stream_quarantine(reqs, good, bad, os.path.join(d, "ckpt"))
-    cols = ["req_id", "lane", "error_code", "error_message"]
-    g = spark.read.parquet(good).select(*cols, F.lit(None).cast("string").alias("details"))
-    b = spark.read.parquet(bad).select(*cols, "details")
-    return g.unionByName(b)
+    addresses = cut_lineage(Fixtures(spark, sf).page_addresses())
+    J.stream_quarantine(reqs, addresses, ALLOWED_PAGE_FIELDS, good, bad, os.path.join(d, "ckpt"))
+    cols = ["req_id", "lane", "gate", "error_code", "error_message", "details"]
+    return spark.read.parquet(good).select(*cols).unionByName(spark.read.parquet(bad).select(*cols))
 
 
 def q_stream_blocklist(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,7 +54,7 @@ from {customer}
 # [ours] URLs of every shape the URL gates distinguish
 PROBE_URLS = """
 select c_custkey as url_id,
-  case c_custkey%29
+  case c_custkey%37
     when 1 then 'http://127.0.0.1./'
     when 2 then 'http://0177.0.0.1/'
     when 3 then 'http://012.0.0.1/x'
@@ -62,6 +62,16 @@ select c_custkey as url_id,
     when 5 then 'http://[::0001]/'
     when 6 then 'http://256.1.1.1/'
     when 7 then 'http://2130706433/'
+    when 8 then 'http://127\u3002\u0030\uff0e0.1/'
+    when 9 then 'https://ex.com:99999/'
+    when 10 then 'http://\uff11\uff10.1.2/x'
+    when 13 then 'HTTP://EX.com:80/a/./b/../c?d#e'
+    when 14 then 'http://0x7f000001/'
+    when 15 then 'http://1.2.3.4.5/'
+    when 16 then 'http://0300.168.1/'
+    when 17 then 'http://ex%41mple.com/'
+    when 18 then 'http://ex%zzmple.com:0/'
+    when 19 then 'http://host.99/'
     else case c_custkey%12
     when 0 then 'http://' || host || '/a?x=1#f'
     when 1 then 'https://' || host || ':8443/p'
@@ -125,6 +135,31 @@ select page_id as req_id,
 from {pages}
 """
 
+# [ours] page requests with what came back for them, for the gate pipeline:
+# every gate has rows that it is the first to stop
+GATED_REQUESTS = """
+select page_id as req_id,
+  case when page_id%29=7 then null when page_id%31=5 then 'not-a-url' when page_id%37=3 then 'ftp://ex.org/x'
+       when page_id%41=2 then 'http://10.0.0.' || cast(page_id%250 as string) || '/' when page_id%43=4 then 'http://[::1]/' else url end as url,
+  case page_id%17 when 0 then 'bogus' when 1 then 'playwright' else 'extractor' end as mode,
+  case page_id%19 when 0 then 0 else 60 end as task_timeout_secs,
+  '{{"url": "u", "mode": "m"' || case page_id%23 when 0 then ', "proxy": true' else '' end || '}}' as payload,
+  case when page_id%2=0 then 'http' else 'playwright' end as engine,
+  case page_id%9 when 0 then 404 when 1 then 301 when 2 then 302 when 3 then 503 when 4 then 304 when 5 then 429 when 6 then null else 200 end as status,
+  case when page_id%9 in (1, 4) then '/next/' || cast(page_id as string) end as location,
+  case page_id%6 when 0 then 'text/html; charset=utf-8' when 1 then 'image/png' when 2 then null
+       when 3 then '' when 4 then 'application/octet-stream' else 'text/plain' end as content_type,
+  case page_id%8 when 2 then '999999999' else '10' end as declared_length,
+  case page_id%13 when 0 then '' when 1 then null else html end as html
+from {pages}
+"""
+# [ours] addresses of the pages' hosts: some private, some hosts without any
+PAGE_ADDRESSES = """
+select regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) as host,
+  case when page_id%47=0 then '192.168.1.1' when page_id%53=0 then 'fe80::1' else '93.184.' || cast(page_id%256 as string) || '.34' end as address
+from {pages} where page_id%11 <> 3
+"""
+
 # [ours] fetch requests: the first attempt of every request in the log
 FETCH_REQUESTS = """
 select req_id,
@@ -248,6 +283,8 @@ def duck_ctes(*names: str) -> str:
         "rich_pages": RICH_PAGES.format(pages="pages"),
         "page_requests": PAGE_REQUESTS.format(pages="pages"),
         "fetch_requests": FETCH_REQUESTS.format(fetch_log="select * from fetch_log"),
+        "gated_requests": GATED_REQUESTS.format(pages="pages"),
+        "page_addresses": PAGE_ADDRESSES.format(pages="pages"),
         "responses": RESPONSES.format(pages="pages"),
         "access_raw": ACCESS_RAW.format(events="events"),
         "chunks": CHUNKS_DUCK,
@@ -325,6 +362,9 @@ class Fixtures:
     def fetch_requests(self) -> DataFrame:
         return self._sql(FETCH_REQUESTS.replace("({fetch_log})", "{fetch_log}"), fetch_log=self.fetch_log())
 
+    def page_addresses(self) -> DataFrame:
+        return self._sql(PAGE_ADDRESSES, pages=self.t("pages").select("page_id", "url"))
+
     def responses(self) -> DataFrame:
         return self._sql(RESPONSES, pages=self.t("pages"))
 

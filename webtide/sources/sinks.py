@@ -20,13 +20,16 @@ def articles_json(articles: DataFrame) -> DataFrame:
 def write_articles(articles: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", buckets: int = 64) -> None:
     """Article rows in ``buckets`` folders by a hash of the host (hosts run
     to millions, folders must not): a host's rows are in one folder, which
-    readers can prune by. Each task writes its own files, no global sort."""
+    readers can prune by. Rows are rebalanced by bucket before they are
+    written: Spark measures the bytes of each bucket, splits hot ones and
+    puts small ones together (``spark.sql.adaptive.advisoryPartitionSizeInBytes``),
+    so the files' sizes do not depend on how many tasks made the rows."""
     host = F.coalesce(url_parts(F.col("url"))["host"], F.lit("_invalid"))
     df = articles.withColumn("host", host).withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(buckets)).cast("int"))
     if fmt == "json":
         articles_json(df).write.mode(mode).json(path)
     else:
-        df.write.mode(mode).partitionBy("bucket").format(fmt).save(path)
+        df.hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").format(fmt).save(path)
 
 
 def write_outcomes(outcomes: DataFrame, ok_path: str, err_path: str, mode: str = "overwrite",

@@ -290,19 +290,19 @@ def close_open_requests(spark: SparkSession, out: str, ckpt: str, cfg: Limits =
 # --- E4 / E5 -------------------------------------------------------------------------
 
 
-def stream_quarantine(requests: DataFrame, good_path: str, bad_path: str, ckpt: str) -> None:
-    """Validation gates on a stream; valid rows and dead letters go to
-    two sinks from one cached micro-batch. Each write lands in a folder
-    named by the batch id and overwrites it, so a replayed batch is
-    idempotent."""
+def stream_quarantine(requests: DataFrame, resolved: DataFrame, allowed: list[str], good_path: str, bad_path: str, ckpt: str,
+                      cfg: Limits = DEFAULTS) -> None:
+    """The gates B1–B15 on a stream of requests and their responses.
+    Valid rows and redirects go to one sink, dead letters with gate, code and
+    reason to the other, from one cached micro-batch; the addresses are a
+    static table. Each write lands in a folder named by the batch id and
+    overwrites it, so a replayed batch is idempotent."""
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        v = G.quarantine_lanes(G.validate_page_requests(df)).persist()
+        v = G.gate_lanes(df, resolved, allowed, cfg.max_response_bytes).drop("html").persist()
         try:
-            v.where("lane = 'valid'").drop("errors").write.mode("overwrite").parquet(
-                f"{good_path}/batch={batch_id}")
-            v.where("lane = 'invalid'").withColumn("details", F.array_join("errors", "; ")).drop("errors") \
-                .write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
+            v.where("lane <> 'invalid'").write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
+            v.where("lane = 'invalid'").write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
         finally:
             v.unpersist()
 
