@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .texts import releasing
 from .common import whole_text
 
 UNKNOWN = "und"
@@ -221,7 +222,7 @@ class LanguageModel:
         spark = docs.sparkSession
         table = spark.sparkContext.broadcast(letter_table())
         rows = docs.where(train & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang"))
-        frequency = rows.select("text").mapInArrow(_document_frequency(table), "feature int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
+        frequency = rows.select("text").mapInArrow(releasing(_document_frequency(table)), "feature int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
         docs_with = {r["feature"]: r["docs"] for r in frequency.collect()}  # FEATURES rows
         total = docs_with.pop(-1, 0)
         df = np.zeros(FEATURES)
@@ -238,7 +239,7 @@ class LanguageModel:
         # equal texts are one row of the sample
         drawn = rows.where(draw < share).dropDuplicates(["lang", "text"])
         held: dict[str, list] = {lang: [] for lang in sorted(per_lang)}
-        for r in drawn.mapInArrow(_sparse_counts(table), "lang string, features array<int>, counts array<int>").toLocalIterator():
+        for r in drawn.mapInArrow(releasing(_sparse_counts(table)), "lang string, features array<int>, counts array<int>").toLocalIterator():
             counts = np.zeros(FEATURES, np.int32)
             counts[r["features"]] = r["counts"]
             held[r["lang"]].append(unit_vectors(counts[None], idf)[0])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import numbered_within, stored, whole_text
-from .texts import PieceIds, groups, stretches
+from .texts import PieceIds, groups, releasing, stretches
 
 WINDOW = 4096
 #: Tokens of a length class, and classes in a combination.
@@ -340,7 +340,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text
     width, size = ("<u2", 2) if most < 1 << 16 else ("<u4", 4)
     texts = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    encoded = stored(texts.mapInArrow(_tokenize(model, end, width), f"id {kind}, row long, ids binary"))
+    encoded = stored(texts.mapInArrow(releasing(_tokenize(model, end, width)), f"id {kind}, row long, ids binary"))
     tokens = (F.octet_length("ids") / size).cast("long").alias("tokens")
     sizes = encoded.select("row", tokens)
     classes = window // grain
@@ -360,5 +360,5 @@ def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text
     pieces = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     by_row = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence", "offset"))).alias("pieces"))
     joined = encoded.join(by_row, "row").select("id", "ids", "pieces", tokens)
-    cut = joined.mapInArrow(_cut(width), f"id {kind}, start long, length long, sequence long, offset long, ids binary, tokens long")
+    cut = joined.mapInArrow(releasing(_cut(width)), f"id {kind}, start long, length long, sequence long, offset long, ids binary, tokens long")
     return cut.select(F.col("id").alias(id_col), "start", "length", "ids", F.col("tokens").alias("doc_tokens"), F.col("sequence").alias("sequence_id"), "offset")

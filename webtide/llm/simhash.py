@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows, stored, whole_text
 from .components import components
-from .texts import take_runs
+from .texts import releasing, take_runs
 
 BITS = 64
 #: Fingerprints of a tree, and queries that meet it in one group.
@@ -100,7 +100,7 @@ def text_hash(text_col: str) -> Column:
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, h, row, fingerprint as a signed long) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), F.monotonically_increasing_id().alias("row"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(words), f"id {rows.schema['id'].dataType.simpleString()}, h long, row long, fingerprint long")
+    return rows.mapInArrow(releasing(_fingerprints(words)), f"id {rows.schema['id'].dataType.simpleString()}, h long, row long, fingerprint long")
 
 
 class Forest:

@@ -26,6 +26,23 @@ def stretches(text: str, chars: int = GROUP_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def releasing(run):
+    """``run`` (batches in, batches out) for a Python worker that later tasks
+    use again: what it held goes back to the system at its end."""
+
+    def inner(batches):
+        import ctypes
+        import gc
+
+        yield from run(batches)
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+        if trim:
+            trim(0)
+
+    return inner
+
+
 def groups(texts: list, chars: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges (from, to) of rows with about ``chars`` characters each."""
     start = held = 0

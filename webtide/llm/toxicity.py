@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .texts import releasing
 from .common import stored, whole_text
 from .langid import held_out
 
@@ -225,7 +226,7 @@ class ToxicityModel:
         if len(rows) < 2:
             return none
 
-        counts = sample.mapInArrow(_token_rows, "token string, in_toxic long, in_clean long").groupBy("token").agg(F.sum("in_toxic").alias("a"), F.sum("in_clean").alias("b"))
+        counts = sample.mapInArrow(releasing(_token_rows), "token string, in_toxic long, in_clean long").groupBy("token").agg(F.sum("in_toxic").alias("a"), F.sum("in_clean").alias("b"))
         # counts of rows with a token; the prior is the token's share of all rows
         prior = PRIOR_ROWS * (F.col("a") + F.col("b")) / float(rows[0] + rows[1])
         odds = F.log((F.col("a") + prior) / (rows[1] + PRIOR_ROWS - F.col("a") - prior + 1e-9)) - F.log((F.col("b") + prior) / (rows[0] + PRIOR_ROWS - F.col("b") - prior + 1e-9))
@@ -234,7 +235,7 @@ class ToxicityModel:
         tokens = {r["token"]: float(r["odds"]) for r in best.collect()}  # MODEL_TOKENS rows at most
 
         shared = spark.sparkContext.broadcast(tokens)
-        spread = sample.mapInArrow(_token_scores(shared), "toxic int, score double, words long").groupBy("toxic", "score").agg(F.sum("words").alias("words"))
+        spread = sample.mapInArrow(releasing(_token_scores(shared)), "toxic int, score double, words long").groupBy("toxic", "score").agg(F.sum("words").alias("words"))
         seen = {(r["toxic"], r["score"]): r["words"] for r in spread.collect()}  # scores to two digits
         clean_words = max(1, seen.get((0, 0.0), 0))
         toxic_scores = [s for t, s in seen if t == 1 and s > 0]
