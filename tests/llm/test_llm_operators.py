@@ -494,6 +494,38 @@ def test_names_mark_whole_tokens_only():
     assert main_text(f"{body[:-10]}<div hidden>{body * 3}</div></article>") == text
 
 
+def test_names_of_comments_and_adverts():
+    from webtide.llm.html_extract import main_text
+
+    body = "<article><h1>Title</h1><p>" + "words of the body " * 9 + "</p>%s</article>"
+    text = main_text(body % "")
+    for name in ("post-comments", "article-comments", "reader-comments", "user-comments", "article__comments", "facebook-comments", "commentSection", "cookieBanner",
+                 "adContainer", "adbox", "js-cookie-banner", "navbar-collapse", "sharedaddy", "more-stories", "you-may-also-like"):
+        assert main_text(body % f'<div class="{name}"><p>Small</p></div>') == text, name
+    for name in ("has-comments", "no-ads", "commentary", "adverse-events", "cookie-recipe", "post-header", "leadText", "shadow"):
+        assert main_text(body % f'<div class="{name}"><p>Small</p></div>') == text + "\nSmall", name
+
+
+def test_lines_beside_a_range():
+    from webtide.llm.html_extract import main_text
+
+    long = "word " * 40
+    page = f"<div class=nav><a>Home</a></div><div><h1>Headline</h1><p>By me</p><p>Today</p><p><a href=x>a link line</a></p><p><a href=y>more</a></p><p>{long}</p><p><a>1</a></p><p><a>2</a></p><p><a>3</a></p><p><a>4</a></p><p>{long}</p></div>"
+    got = main_text(page).split("\n")
+    assert got[:3] == ["Headline", "By me", "Today"] and got.count(long.strip()) == 2 and got[-5:-1] == ["1", "2", "3", "4"] and "Home" not in got
+
+
+def test_markup_takes_linear_time():
+    import time
+
+    from webtide.llm.html_extract import main_text
+
+    began = time.time()
+    for page in ("<a " * 300_000, "<b>" * 100_000 + "</i>x" * 100_000, '<a "' * 200_001 + ">", "<p" * 400_000, "<!--" * 200_000, "<p>x" * 150_000):
+        main_text(page)
+    assert time.time() - began < 20
+
+
 def test_op9_on_pages(spark, tmp_path):
     import html as h
     from webtide.llm.html_extract import extract_main_text

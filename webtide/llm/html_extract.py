@@ -11,12 +11,15 @@ nothing and are never kept. The windows go over the lines outside of article
 elements, and over those of each article element apart. An article element
 is kept whole if a window of it surges, or if the elements weigh as much
 together as what surges outside of them; what surges outside is kept unless
-one article element weighs as much.
+one article element weighs as much. A range outside also takes what stands
+in the same element: the lines between two ranges, and from the last headline
+before the first range on. Pages are read in one pass whatever their markup.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -40,27 +43,44 @@ NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search m
 #: Elements that a start tag of the same kind ends.
 ENDED_BY_SAME = frozenset("p li dt dd tr td th option".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+# a tag whose quotes do not close ends at its first >
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
+)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Names of what is not the article, and parts that may stand beside them in a
 #: compound. A class or id is marked if it has a name and no other part: so
 #: not has-sidebar, no-sidebar, side-by-side, related-work, post-header.
 _NAMES = frozenset(
-    "ad ads advert adverts advertise advertisement advertisements advertising adsense banner banners sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription subscriptions signup comment comments commentlist disqus replies respond sidebar side aside widget widgets menu nav navbar navigation navigate breadcrumb breadcrumbs footer header masthead share sharing social related recommend recommended recommendation recommendations recommender toolbar pagination pager skip copyright login search".split()
+    "ad ads advert adverts advertise advertisement advertisements advertising adsense banner banners sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription subscriptions signup comment comments commentlist disqus replies respond sidebar side aside widget widgets menu nav navbar navigation navigate breadcrumb breadcrumbs footer header masthead share sharing social related recommend recommended recommendation recommendations recommender toolbar pagination pager skip copyright login search adbox sharedaddy".split()
 )
 _BESIDE = frozenset(
-    "area areas bar box block blocks button buttons col column container form gpt google dfp div dialog group global icon icons inner input item items left link links list main mobile msg message outer panel posts articles stories news primary right secondary section site slot sticky to top bottom toggle unit us wrap wrapper media network networks text title thread up".split()
+    "area areas bar box block blocks button buttons col column container form gpt google dfp div dialog group global icon icons inner input item items left link links list main mobile msg message outer panel posts articles stories news primary right secondary section site slot sticky to top bottom toggle unit us wrap wrapper media network networks text title thread up collapse".split()
 )
+#: Names that also mark a compound with other parts, as its last one or before
+#: a part of the list above: post-comments, js-cookie-banner.
+_SURE = frozenset("comment comments commentlist disqus replies respond cookie cookies consent gdpr ad ads advert adverts advertisement advertisements adsense newsletter popup breadcrumb breadcrumbs navbar pagination sponsored sidebar".split())
+_NEGATED = frozenset("no not has have with without is".split())
+_PHRASES = frozenset(["more-stories", "more-articles", "you-may-also-like", "you-might-also-like", "read-more", "read-next"])
+#: Elements that hold lines of one text.
+CONTAINERS = frozenset("div section article main td center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that may also wrap a whole page.
 WRAPPERS = frozenset(["form", "fieldset"])
 
 
 def _marked(names: str) -> bool:
-    for name in names.lower().split():
-        parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
+    for name in names.split():
+        parts = [x.lower() for x in _PART.findall(name) if not x.isdigit()]
+        if not parts or parts[0] in _NEGATED:
+            continue
+        if "-".join(parts) in _PHRASES:
+            return True
         if any(x in _NAMES for x in parts) and all(x in _NAMES or x in _BESIDE for x in parts):
             return True
+        if parts[-1] in _SURE or any(x in _SURE for x in parts) and (parts[-1] in _NAMES or parts[-1] in _BESIDE):
+            return True
     return False
 
 
@@ -84,9 +104,10 @@ def _other(tag: str, raw: str) -> int:
     return int(a.get("role", "").lower() in NOT_TEXT_ROLES or _marked(a.get("class", "")) or tag not in HEADINGS and _marked(a.get("id", "")))
 
 
-def line_blocks(page: str) -> list[tuple[str, int, int]]:
+def line_blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
     """(text, characters outside links, number of the outermost article
-    element it is in, or 0) for each line that is not in an element marked
+    element it is in, or 0, number of the container it stands in, whether it
+    is a headline) for each line that is not in an element marked
     as something else. A name, role or form that holds more than half of the
     page's text outside links marks nothing; where an article element stands
     outside of it, only if it holds a surge on two lines or more."""
@@ -94,15 +115,18 @@ def line_blocks(page: str) -> list[tuple[str, int, int]]:
     return _line_blocks(page, heavy)[0] if heavy else lines
 
 
-def _line_blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, int, int]], frozenset[int]]:
+def _line_blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, int, int, int, bool]], frozenset[int]]:
     """The lines, and the numbers of the named elements that mark nothing;
     those in ``unmarked`` count as not named."""
-    lines: list[tuple[str, int, int]] = []
+    lines: list[tuple[str, int, int, int, bool]] = []
     text: list[str] = []
     linked: list[str] = []
     open_: list[tuple[str, int, int]] = []  # (tag, marked as something else, number if named)
     others = links = articles = article = 0  # what is open, and the last article
     hidden = weight = counted = rows = named = 0
+    opened: Counter = Counter()  # open elements by tag
+    within = [0]  # numbers of the open containers
+    containers = heading = 0
     held: dict[int, tuple[int, int]] = {}  # weight and lines before a named element, then in it
 
     def end_line() -> None:
@@ -113,7 +137,7 @@ def _line_blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, i
             line = " ".join(unescape("".join(text)).split())
             if line:
                 in_links = len(" ".join(unescape("".join(linked)).split()))
-                lines.append((line, len(line) - in_links if in_links <= LINK_SHARE * len(line) else 0, article if articles else 0))
+                lines.append((line, len(line) - in_links if in_links <= LINK_SHARE * len(line) else 0, article if articles else 0, within[-1], heading > 0))
             text.clear()
             linked.clear()
 
@@ -127,8 +151,12 @@ def _line_blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, i
                 linked.append(raw)
 
     def close() -> str:
-        nonlocal others, hidden, links, articles
+        nonlocal others, hidden, links, articles, heading
         tag, marked, number = open_.pop()
+        opened[tag] -= 1
+        heading -= tag in HEADINGS
+        if tag in CONTAINERS:
+            within.pop()
         links -= tag == "a"
         articles -= tag in ARTICLE and not others
         hidden -= marked == 2
@@ -138,16 +166,18 @@ def _line_blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, i
         return tag
 
     at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
+    last = page.rfind(">") + 1  # no tag ends behind it
+    while at < last:
+        m = _TOKEN.search(page, at, last)
         if not m:
             break
         say(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        shut, tag, inside = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if not m[1]:
+        tag = tag.lower()
+        if not shut:
             if tag in BLOCKS:
                 end_line()
                 if tag in ENDED_BY_SAME or tag in BLOCKS:
@@ -156,13 +186,13 @@ def _line_blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, i
                         close()
             elif tag == "br":
                 say(" ")
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+            if tag in VOID or inside.endswith("/") and tag not in BLOCKS:
                 continue
             if tag in RAW:  # what is inside is no markup
                 end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
                 continue
-            marked, number = _other(tag, m[3]), 0
+            marked, number = _other(tag, inside), 0
             if marked == 1:
                 named += 1
                 if named in unmarked:
@@ -171,6 +201,11 @@ def _line_blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, i
                     number = named
                     held[number] = weight, rows
             open_.append((tag, marked, number))
+            opened[tag] += 1
+            heading += tag in HEADINGS
+            if tag in CONTAINERS:
+                containers += 1
+                within.append(containers)
             hidden += marked == 2
             others += marked > 0
             links += tag == "a"
@@ -180,11 +215,11 @@ def _line_blocks(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, i
         else:
             if tag in BLOCKS:
                 end_line()
-            if any(x[0] == tag for x in open_):
+            if opened[tag]:
                 while close() != tag:
                     pass
     if at < n:
-        say(re.sub(r"<[^>]*\Z", "", page[at:]))
+        say(page[at:].partition("<")[0])
     end_line()
     while open_:
         close()
@@ -214,6 +249,26 @@ def between_surge_and_dive(weights: list[int], surge: int, window: int = WINDOW)
     return ranges
 
 
+def _beside(lines: list, outside: list[int], found: list[tuple[int, int]]) -> set[int]:
+    """Lines next to the ranges that stand in the same container."""
+    more: set[int] = set()
+    for (_, b), (c, _) in zip(found, found[1:]):
+        parent = lines[outside[b - 1]][3]
+        if parent and parent == lines[outside[c]][3]:
+            more |= {outside[i] for i in range(b, c) if lines[outside[i]][3] == parent}
+    for a, _ in found[:1]:
+        parent = lines[outside[a]][3]
+        before = []
+        for i in range(a - 1, -1, -1):
+            if lines[outside[i]][3] != parent:
+                break
+            before.append(outside[i])
+            if lines[outside[i]][4]:  # the headline
+                more |= set(before)
+                break
+    return more
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text in page order, joined by newlines."""
     lines = line_blocks(page or "")
@@ -224,14 +279,17 @@ def main_text(page: str | None) -> str:
         found = between_surge_and_dive(weights, max(weights))
     rest = sum(sum(weights[a:b]) for a, b in found)
     inside: dict[int, list[int]] = {}
-    for _, weight, article in lines:
+    for _, weight, article, _, _ in lines:
         if article:
             inside.setdefault(article, []).append(weight)
     own = {k: sum(w) for k, w in inside.items()}
     # the element raises its lines to a surge, unless the page has more elsewhere
     raised = sum(own.values()) >= rest
     kept = {k for k, w in inside.items() if raised or between_surge_and_dive(w, SURGE_CHARS)}
-    chosen = {outside[i] for a, b in found for i in range(a, b)} if rest > max(own.values(), default=-1) else set()
+    chosen: set[int] = set()
+    if rest > max(own.values(), default=-1):
+        chosen = {outside[i] for a, b in found for i in range(a, b)}
+        chosen |= _beside(lines, outside, found)
     return "\n".join(x[0] for i, x in enumerate(lines) if x[2] in kept or i in chosen)
 
 
