@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from .extraction import extract_pages
 
-EXTRACTOR_SCHEMA = "page_id bigint, url string, title string, lang string, text_words int"
+EXTRACTOR_SCHEMA = "page_id bigint, url string, title string, lang string, text_words int, error string"
 
 
 class Extractor:
@@ -29,7 +29,8 @@ class Extractor:
 
 class StdlibExtractor(Extractor):
     """Example extractor on the standard-library HTML parser: title, html
-    lang and visible-text word count (script/style skipped)."""
+    lang and visible-text word count (script/style skipped). A page on which
+    the parser fails has its error and no fields."""
 
     def __call__(self, batches):
         import pyarrow as pa
@@ -63,20 +64,22 @@ class StdlibExtractor(Extractor):
 
         for b in batches:
             ids, urls, htmls = b.column("page_id"), b.column("url"), b.column("html")
-            t, l, w = [], [], []
+            t, l, w, e = [], [], [], []
             for h in htmls.to_pylist():
-                p = P()
+                p, error = P(), None
                 try:
                     p.feed(h or "")
                     p.close()
-                except Exception:
-                    pass
-                t.append(p.title)
-                l.append(p.lang)
-                w.append(p.words)
+                except Exception as x:  # whatever the parser raises belongs to this page alone
+                    error = f"{type(x).__name__}: {x}"
+                # a page that failed has no fields, rather than those read so far
+                t.append(None if error else p.title)
+                l.append(None if error else p.lang)
+                w.append(None if error else p.words)
+                e.append(error)
             yield pa.RecordBatch.from_arrays(
-                [ids, urls, pa.array(t, pa.string()), pa.array(l, pa.string()), pa.array(w, pa.int32())],
-                names=["page_id", "url", "title", "lang", "text_words"],
+                [ids, urls, pa.array(t, pa.string()), pa.array(l, pa.string()), pa.array(w, pa.int32()), pa.array(e, pa.string())],
+                names=["page_id", "url", "title", "lang", "text_words", "error"],
             )
 
 

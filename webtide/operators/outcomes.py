@@ -39,6 +39,7 @@ def fetch_error_code(message: Column, status: Column) -> dict[str, Column]:
     m = F.coalesce(message, F.lit(""))
     lo = F.lower(m)
     has_status = status.isNotNull()
+    # fixed values: tests in this order, codes, messages and HTTP statuses
     rules = [
         (lo.contains("invalid url") | lo.contains("unsupported url protocol"),
          "FETCH_INVALID_REQUEST", F.lit("Invalid URL or unsupported protocol"), F.lit(False), 400),
@@ -408,17 +409,22 @@ def merge_fallback_by_engine(both: DataFrame, key: str = "req_id", engine: str =
 
 def outcome_envelope(df: DataFrame, debug: Column | bool = False) -> DataFrame:
     """Adds ``response_status``, ``meta_attempts`` (at least 1 on errors),
-    whether headers or the stack would be shown, and ``payload``: the
-    response body as JSON, {meta} on success and {meta, error} on errors,
-    nulls left out."""
+    whether headers or the stack are shown, and ``payload``: the response
+    body as JSON, {meta} on success and {meta, error} on errors, nulls left
+    out. With ``debug`` the columns ``response_headers`` (a map; on success)
+    and ``stack`` (on errors), where there are such, are part of it."""
     dbg = debug if isinstance(debug, Column) else F.lit(bool(debug))
     err = F.col("outcome") == "error"
     attempts = F.when(err, F.greatest(F.col("attempts"), F.lit(1))).otherwise(F.col("attempts"))
+    headers = F.col("response_headers") if "response_headers" in df.columns else F.lit(None).cast("map<string,string>")
+    stack = F.col("stack") if "stack" in df.columns else F.lit(None).cast("string")
     meta = F.struct(
         F.col("duration_ms").alias("durationMs"), F.col("engine"), attempts.alias("attempts"), F.col("was_antibot").alias("wasAntibot"),
-        F.col("status_code").alias("statusCode"),
+        F.col("status_code").alias("statusCode"), F.when(~err & dbg, headers).alias("responseHeaders"),
+    )
+    error = F.when(
+        err, F.struct(F.col("error_code").alias("code"), F.col("error_message").alias("message"), F.col("retryable"), F.when(dbg, stack).alias("stack"))
     )
-    error = F.when(err, F.struct(F.col("error_code").alias("code"), F.col("error_message").alias("message"), F.col("retryable")))
     return df.select(
         "*",
         attempts.alias("meta_attempts"),

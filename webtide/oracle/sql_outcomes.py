@@ -250,7 +250,9 @@ def outcome_envelope_sql() -> str:
     return _envelope_cte() + """
 select req_id, outcome, meta_attempts, response_status,
   (outcome <> 'error' and debug) as shows_headers, (outcome = 'error' and debug) as shows_stack, error_code,
-  meta_attempts as payload_attempts, duration_ms as payload_duration_ms, case when outcome = 'error' then error_code end as payload_code
+  meta_attempts as payload_attempts, duration_ms as payload_duration_ms, case when outcome = 'error' then error_code end as payload_code,
+  case when outcome <> 'error' and debug then cast(attempts as varchar) end as payload_header,
+  case when outcome = 'error' and debug then 'Error: ' || error_message end as payload_stack
 from env
 """
 

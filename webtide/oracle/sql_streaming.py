@@ -33,6 +33,17 @@ def write_outcomes_sql() -> str:
     )
 
 
+def scan_objects_sql() -> str:
+    return """
+select page_id % 40 as object, cast(sum(strlen(html) + 1) as bigint) as length, sum(strlen(html) + 1) <= 32768 as within_cap
+from pages where html is not null group by 1
+"""
+
+
+def extract_sql() -> str:
+    return page_fields_sql("select page_id, url, title, lang, content_html is not null as has_content, n_links, md5(markdown) as md_md5 from art")
+
+
 def stream_outcomes_sql() -> str:
     return _with_c() + """,
 wm as (select max(ts) - interval 2 hour as wm from c),
@@ -87,6 +98,8 @@ from f
 
 
 SQL = {
+    "scan_objects": scan_objects_sql,
+    "extract": extract_sql,
     "write_articles": write_articles_sql,
     "write_outcomes": write_outcomes_sql,
     "stream_articles": stream_articles_sql,

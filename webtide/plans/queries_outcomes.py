@@ -135,7 +135,11 @@ def q_merge_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 def _envelope(spark, sf) -> DataFrame:
     fr = Fixtures(spark, sf).fetch_requests().select("req_id", F.coalesce(F.col("debug") == F.lit(True), F.lit(False)).alias("debug"))
-    return O.outcome_envelope(_final(spark, sf).join(fr, "req_id", "left"), F.coalesce(F.col("debug"), F.lit(False)))
+    final = _final(spark, sf).join(fr, "req_id", "left").withColumns({
+        "response_headers": F.create_map(F.lit("x-attempts"), F.col("attempts").cast("string"), F.lit("x-engine"), F.col("engine")),
+        "stack": F.concat(F.lit("Error: "), F.col("error_message")),
+    })
+    return O.outcome_envelope(final, F.coalesce(F.col("debug"), F.lit(False)))
 
 
 def q_outcome_envelope(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,6 +148,8 @@ def q_outcome_envelope(spark: SparkSession, sf: str) -> DataFrame:
         F.get_json_object("payload", "$.meta.attempts").cast("int").alias("payload_attempts"),
         F.get_json_object("payload", "$.meta.durationMs").cast("bigint").alias("payload_duration_ms"),
         F.get_json_object("payload", "$.error.code").alias("payload_code"),
+        F.get_json_object("payload", "$.meta.responseHeaders.x-attempts").alias("payload_header"),
+        F.get_json_object("payload", "$.error.stack").alias("payload_stack"),
     )
 
 

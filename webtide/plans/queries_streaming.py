@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import url_parts
 from ..operators.extension import StdlibExtractor, extract
 from ..operators.extraction import page_links
-from ..session import cut_lineage, pages_table
+from ..session import cut_lineage, pages_table, table
 from ..sources.fixtures import GATED_REQUESTS, Fixtures
 from ..operators.outcomes import final_outcome
 from ..sources.readers import PAGE_SCHEMA, scan_objects
@@ -52,10 +52,23 @@ def q_write_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(ok).select(F.lit("ok").alias("sink"), *cols).unionByName(spark.read.parquet(err).select(F.lit("err").alias("sink"), *cols))
 
 
+# objects of the manifest query, and a cap that some of them are over
+OBJECTS, OBJECT_CAP = 40, 32_768
+
+
 def q_scan_objects(spark: SparkSession, sf: str) -> DataFrame:
-    """A3: the files of the pages table as binary objects."""
-    m = scan_objects(spark, f"{sf.rstrip('/')}/pages.parquet")
-    return m.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "within_cap")
+    """A3: the pages' HTML written as text objects, one for each of 40
+    groups of pages, and the manifest of these files."""
+    path = os.path.join(J.run_dir(spark, "objects"), "out")
+    pages = table(spark, sf, "pages").select("html", F.pmod("page_id", F.lit(OBJECTS)).alias("object"))
+    pages.where("html is not null").repartition(OBJECTS, "object").write.partitionBy("object").text(path)
+    m = scan_objects(spark, f"{path}/*/*.txt", request_cap=OBJECT_CAP)
+    return m.select(F.regexp_extract("path", "object=([0-9]+)", 1).cast("bigint").alias("object"), "length", "within_cap")
+
+
+def q_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """the default extractor behind the interface."""
+    return extract(pages_table(spark, sf)).select("page_id", "url", "title", "lang", "has_content", "n_links", F.md5("markdown").alias("md_md5"))
 
 
 def q_stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,6 +147,7 @@ QUERIES = {
     "stream_request_state": q_stream_request_state,
     "stream_quarantine": q_stream_quarantine,
     "stream_blocklist": q_stream_blocklist,
+    "extract": q_extract,
     "extract_stdlib": q_extract_stdlib,
     "markdown_extra_rules": q_markdown_extra_rules,
 }
