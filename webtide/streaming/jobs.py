@@ -142,11 +142,11 @@ ATTEMPT = T.StructType(
     ]
 )
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-#: An attempt in the state: the row as JSON, and what decides whether it ends
-#: its request.
-HELD = "at:long,event_id:long,ok:boolean,retry:boolean,waits:array<double>,dur_ms:long,row:string"
-STATE = f"closed boolean, last long, held array<struct<{HELD}>>"
-FIELDS = tuple(f.split(":")[0] for f in HELD.split(","))
+#: State of a bucket of requests: the attempts that are not judged yet, as
+#: lines of JSON, and the requests that have ended, with the time of their
+#: last attempt.
+STATE = "held string, closed string"
+BUCKETS = 64
 #: Longest pause between two attempts of a request, and disorder of the log.
 PATIENCE, DELAY = "7 days", "1 hour"
 PUT_OFF = "3650 days"
@@ -175,56 +175,72 @@ def _micros(duration: str) -> int:
 
 
 def _follow(max_attempts: int, budget_ms: float, patience: int):
-    """The state of one request. Attempts wait until the watermark has passed
-    them, so they are judged in the order of their times whatever the order
-    in which they came."""
+    """The requests of one bucket. Attempts wait until the watermark has
+    passed them, so they are judged in the order of their times whatever the
+    order in which they came."""
 
     def follow(key, frames, state):
+        import json
+
         import pandas as pd
 
         now = state.getCurrentWatermarkMs() * 1000
-        was_closed, last, held = state.get if state.exists else (False, 0, [])
-        closed, held = was_closed, [tuple(x) for x in held]
+        old, ended = state.get if state.exists else ("", "[]")
+        closed = {r: last for r, last in json.loads(ended) if last + patience >= now}
+        open_: dict = {}
         out = []
+
+        def hold(line):
+            x = json.loads(line)
+            open_.setdefault(x.get("req_id"), []).append((x["at"], x["event_id"], x, line))
+
+        for line in old.split("\n") if old else []:
+            hold(line)
         for frame in [] if state.hasTimedOut else frames:
-            for at, event_id, ok, retry, waits, took, row in zip(*(frame[c] for c in FIELDS)):
+            for at, line in zip(frame["at"].tolist(), frame["row"].tolist()):
                 if at <= now:
-                    out.append(("late", [row]))
-                elif closed:
-                    out.append(("after_end", [row]))
-                    last = max(last, int(at))
-                else:
-                    held.append((int(at), int(event_id), bool(ok), bool(retry), [float(w) for w in waits], None if pd.isna(took) else int(took), row))
-        if not closed:
-            held.sort(key=lambda x: x[:2])
-            ready = [x for x in held if x[0] <= now]
-            end = ends_at([x[2:6] for x in ready], max_attempts, budget_ms)
-            if end < 0 and ready and ready[-1][0] + patience < now and (len(ready) == len(held) or held[len(ready)][0] > ready[-1][0] + patience):
-                end = len(ready) - 1  # no further attempt came in time
-            if end >= 0:
-                out.append(("closed", [x[6] for x in held[: end + 1]]))
-                out += [("after_end", [x[6]]) for x in held[end + 1 :]]
-                closed, last, held = True, held[-1][0], []
-        if was_closed and state.hasTimedOut or not (closed or held):
+                    out.append(("late", line))
+                    continue
+                hold(line)
+        for r, attempts in list(open_.items()):
+            attempts.sort(key=lambda x: x[:2])
+            if r not in closed:
+                ready = [x for x in attempts if x[0] <= now]
+                end = ends_at([(x["ok"], x["retry"], x["waits"], x.get("dur_ms")) for _, _, x, _ in ready], max_attempts, budget_ms)
+                if end < 0 and ready and ready[-1][0] + patience < now and (len(ready) == len(attempts) or attempts[len(ready)][0] > ready[-1][0] + patience):
+                    end = len(ready) - 1  # no further attempt came in time
+                if end < 0:
+                    continue
+                out.append(("closed", "\n".join(x[3] for x in attempts[: end + 1])))
+                closed[r] = attempts[-1][0]
+                attempts = attempts[end + 1 :]
+            out += [("after_end", x[3]) for x in attempts]
+            closed[r] = max([closed[r], *(x[0] for x in attempts)])
+            del open_[r]
+        if not (closed or open_):
             state.remove()
         else:
-            state.update((closed, last, held))
-            waiting = [x[0] for x in held if x[0] > now]
-            at = last + patience if closed else waiting[0] if waiting else held[-1][0] + patience
-            state.setTimeoutTimestamp(max(at // 1000, now // 1000 + 1))
-        yield pd.DataFrame({"kind": [k for k, _ in out], "req_id": [key[0]] * len(out), "attempts": [a for _, a in out]})
+            state.update(("\n".join(x[3] for v in open_.values() for x in v), json.dumps(list(closed.items()))))
+            due = [last + patience + 1 for last in closed.values()]
+            due += [next((x[0] for x in v if x[0] > now), v[-1][0] + patience + 1) for v in open_.values()]
+            state.setTimeoutTimestamp(max(min(due) // 1000, now // 1000 + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["kind", "attempts"])
 
     return follow
 
 
 def request_events(attempts: DataFrame, cfg: Limits = DEFAULTS, timeout_secs: int = DEFAULTS.fetch_timeout_secs,
-                   delay: str = DELAY, patience: str = PATIENCE, jitter: bool = True) -> DataFrame:
-    """(kind, req_id, attempts as JSON): ``closed`` with the attempts of a
+                   delay: str = DELAY, patience: str = PATIENCE, jitter: bool = True, buckets: int = BUCKETS) -> DataFrame:
+    """(kind, attempts as lines of JSON): ``closed`` with the attempts of a
     request up to the one that ended it; ``late``, an attempt behind the
     watermark; ``after_end``, one that came after the request had ended.
 
-    State is kept per request with event-time timers: its attempts until they
-    can be judged, then for ``patience`` a mark that it is closed. A request
+    Keyed state with event-time timers: for each request its attempts until
+    they can be judged, then for ``patience`` a mark that it has ended. A call
+    of the state function costs far more than a request, so requests share
+    ``buckets`` keys by a hash of their id; take about one for a thousand
+    requests that are open or ended within the patience. A request
     that got no further attempt for ``patience`` is closed as it stands. An
     abort by the caller is an attempt row with the message 'Request aborted';
     it ends the request like any error that is not retried."""
@@ -236,25 +252,23 @@ def request_events(attempts: DataFrame, cfg: Limits = DEFAULTS, timeout_secs: in
     c = classify_attempts(clock, cfg)
     # the place of an attempt in its request is known in the state only
     waits = F.array(*[F.coalesce("retry_after_ms", backoff_ms(F.lit(i), cfg, F.col("req_id") if jitter else None)) for i in range(max_attempts)])
-    rows = c.select(
-        "req_id", "clock", F.unix_micros("ts").alias("at"), "event_id", F.col("error_message").isNull().alias("ok"), "retry",
-        waits.alias("waits"), "dur_ms", F.to_json(F.struct(*ATTEMPT.names), JSON_TIME).alias("row"),
-    )
-    return rows.groupBy("req_id").applyInPandasWithState(
-        _follow(max_attempts, timeout_secs * 1000.0, _micros(patience)),
-        f"kind string, req_id {attempts.schema['req_id'].dataType.simpleString()}, attempts array<string>", STATE, "append", "EventTimeTimeout",
+    row = F.struct("req_id", *ATTEMPT.names, F.unix_micros("ts").alias("at"), F.col("error_message").isNull().alias("ok"), "retry", waits.alias("waits"))
+    rows = c.select(F.pmod(F.xxhash64("req_id"), F.lit(buckets)).alias("bucket"), "clock", F.unix_micros("ts").alias("at"), F.to_json(row, JSON_TIME).alias("row"))
+    return rows.groupBy("bucket").applyInPandasWithState(
+        _follow(max_attempts, timeout_secs * 1000.0, _micros(patience)), "kind string, attempts string", STATE, "append", "EventTimeTimeout",
     )
 
 
-def attempt_rows(events: DataFrame, *keep: str) -> DataFrame:
-    """The attempts of (req_id, attempts as JSON) as rows again."""
-    rows = events.select(*keep, "req_id", F.explode("attempts").alias("a"))
-    return rows.withColumn("a", F.from_json("a", ATTEMPT, JSON_TIME)).select(*keep, "req_id", "a.*")
+def attempt_rows(events: DataFrame, req_type: str, *keep: str) -> DataFrame:
+    """The attempts of a column of lines of JSON as rows again."""
+    kind = T.StructType([T.StructField("req_id", T._parse_datatype_string(req_type)), *ATTEMPT.fields])
+    rows = events.select(*keep, F.explode(F.split("attempts", "\n")).alias("a"))
+    return rows.withColumn("a", F.from_json("a", kind, JSON_TIME)).select(*keep, "a.*")
 
 
 def stream_request_state(attempts: DataFrame, out: str, late: str, ckpt: str, cfg: Limits = DEFAULTS,
                          timeout_secs: int = DEFAULTS.fetch_timeout_secs, delay: str = DELAY, patience: str = PATIENCE,
-                         jitter: bool = True) -> None:
+                         jitter: bool = True, buckets: int = BUCKETS) -> None:
     """The final outcome of each request over an attempt stream (rows
     carry req_id), once, as soon as the watermark has passed the attempt that
     ends it. The attempts of closed requests go through the batch operator
@@ -266,25 +280,26 @@ def stream_request_state(attempts: DataFrame, out: str, late: str, ckpt: str, cf
     def per_batch(events: DataFrame, batch_id: int) -> None:
         events = events.persist()
         try:
-            final_outcome(attempt_rows(events.where("kind = 'closed'")), cfg, jitter, timeout_secs).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-            attempt_rows(events.where("kind <> 'closed'"), "kind").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+            final_outcome(attempt_rows(events.where("kind = 'closed'"), req_type), cfg, jitter, timeout_secs).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            attempt_rows(events.where("kind <> 'closed'"), req_type, "kind").write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
         finally:
             events.unpersist()
 
-    events = request_events(attempts, cfg, timeout_secs, delay, patience, jitter)
+    req_type = attempts.schema["req_id"].dataType.simpleString()
+    events = request_events(attempts, cfg, timeout_secs, delay, patience, jitter, buckets)
     q = events.writeStream.foreachBatch(per_batch).outputMode("append").option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def close_open_requests(spark: SparkSession, out: str, ckpt: str, cfg: Limits = DEFAULTS,
-                        timeout_secs: int = DEFAULTS.fetch_timeout_secs, jitter: bool = True) -> None:
+                        timeout_secs: int = DEFAULTS.fetch_timeout_secs, jitter: bool = True, req_type: str = "bigint") -> None:
     """At the end of a log: the outcomes of the requests that the state store
     of a stopped ``stream_request_state`` still holds open, as they stand.
     They are those with no attempt that ends them, and those whose last
     attempts the watermark had not reached."""
     state = spark.read.format("statestore").load(ckpt)
-    still = state.where("not value.groupState.closed").select("key.req_id", F.transform("value.groupState.held", lambda x: x["row"]).alias("attempts"))
-    final_outcome(attempt_rows(still), cfg, jitter, timeout_secs).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    still = state.select(F.col("value.groupState.held").alias("attempts")).where("attempts <> ''")
+    final_outcome(attempt_rows(still, req_type), cfg, jitter, timeout_secs).write.mode("overwrite").parquet(f"{out}/batch=-1")
 
 
 # --- E4 / E5 -------------------------------------------------------------------------
