@@ -42,7 +42,7 @@ CLASSES = 64
 #: Steps of the cosines that are counted for the quantiles.
 STEPS = 1000
 #: Texts of a block of counts: BLOCK * FEATURES counters are held.
-BLOCK = 256
+BLOCK = 128
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -58,7 +58,7 @@ def count_blocks(texts: list[str], letters) -> Iterator:
     import numpy as np
 
     bits = FEATURES.bit_length() - 1
-    stretch = 1 << 19  # characters of a block, or one text
+    stretch = 1 << 18  # characters of a block, or one text
     at = 0
     while at < len(texts):
         stop, size = at, 0
