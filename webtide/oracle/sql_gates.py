@@ -132,10 +132,11 @@ def strip_br(h: str) -> str:
 
 
 def ipv4_long(h: str) -> str:
-    p = [f"cast(regexp_extract({h}, {d.lit(P.IPV4_RE)}, {i}) as bigint)" for i in range(1, 5)]
+    p = [f"cast(regexp_extract(h4, {d.lit(P.IPV4_RE)}, {i}) as bigint)" for i in range(1, 5)]
     valid = " and ".join(f"{x} <= 255" for x in p)
-    return (f"(case when regexp_matches({h}, {d.lit(P.IPV4_RE)}) then (case when {valid} then "
-            f"{p[0]} * 16777216 + {p[1]} * 65536 + {p[2]} * 256 + {p[3]} end) end)")
+    one = (f"(case when regexp_matches(h4, {d.lit(P.IPV4_RE)}) then (case when {valid} then "
+           f"{p[0]} * 16777216 + {p[1]} * 65536 + {p[2]} * 256 + {p[3]} end) end)")
+    return d.bound(h, one, "h4")
 
 
 def _ip_num(ip: str) -> int:
@@ -144,9 +145,9 @@ def _ip_num(ip: str) -> int:
 
 
 def v4_blocked(ip: str, allow_loopback: bool = False) -> str:
-    conds = [f"({ip} between {_ip_num(lo)} and {_ip_num(hi)})" for lo, hi, lb in P.BLOCKED_IPV4_RANGES
+    conds = [f"(i4 between {_ip_num(lo)} and {_ip_num(hi)})" for lo, hi, lb in P.BLOCKED_IPV4_RANGES
              if not (allow_loopback and lb)]
-    return "coalesce(" + " or ".join(conds) + ", false)"
+    return "coalesce(" + d.bound(ip, " or ".join(conds), "i4") + ", false)"
 
 
 def v6_blocked(h: str, allow_loopback: bool = False) -> str:
