@@ -90,11 +90,11 @@ def q_stream_request_state(spark: SparkSession, sf: str) -> DataFrame:
     d = J.run_dir(spark, "state")
     src, out, late, ckpt = (os.path.join(d, x) for x in ("log", "out", "late", "ckpt"))
     log = cut_lineage(Fixtures(spark, sf).fetch_log())
-    first, last = log.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    first, last, rows = log.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.count("ts")).first()
     cuts = [first, first + (last - first) // 2 + 1, last + 1] if first is not None else [0, 1]
     for a, b in zip(cuts, cuts[1:]):
         log.where(F.unix_micros("ts").between(a, b - 1)).write.mode("append").parquet(src)
-        J.stream_request_state(spark.readStream.schema(log.schema).parquet(src), out, late, ckpt, jitter=False)
+        J.stream_request_state(spark.readStream.schema(log.schema).parquet(src), out, late, ckpt, jitter=False, buckets=J.buckets_for(rows))
     J.close_open_requests(spark, out, ckpt, jitter=False)
     return spark.read.parquet(out).drop("batch")
 

@@ -141,31 +141,45 @@ ATTEMPT = T.StructType(
         T.StructField("dur_ms", T.LongType()),
     ]
 )
-JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-#: State of a bucket of requests: the attempts that are not judged yet, as
-#: lines of JSON, and the requests that have ended, with the time of their
-#: last attempt.
-STATE = "held string, closed string"
+#: State of a bucket of requests, as Arrow streams: the attempts that are not
+#: judged yet, and the requests that have ended, with the time of their last
+#: attempt.
+STATE = "held binary, closed binary"
 BUCKETS = 64
 #: Longest pause between two attempts of a request, and disorder of the log.
 PATIENCE, DELAY = "7 days", "1 hour"
 PUT_OFF = "3650 days"
-
-
-def ends_at(attempts: list, max_attempts: int, budget_ms: float) -> int:
-    """Index of the attempt that ends a request, or -1. ``attempts`` is in
-    order: (ok, retry, wait after it by its number, duration). It is the first
-    success, error that is not retried, attempt past the deadline or last
-    attempt allowed."""
-    spent = 0.0
-    for i, (ok, retry, waits, took) in enumerate(attempts):
-        late = spent >= budget_ms
-        cut = not late and spent + (took or 0) > budget_ms
-        if late or i + 1 >= max_attempts or (not cut and (ok or not retry)):
-            return i
-        if took is not None:
-            spent += took + (waits[i] if retry else 0.0)
-    return -1
+#: What an attempt carries through the state besides its request and time.
+#: Numbers are never null there (pandas would make them floats); ``nulls``
+#: says which of them were.
+CARRIED = "at long, request string, event_id long, engine string, status int, err_msg string, content_type string, retry_after string, dur_ms long, nulls int"
+NULLABLE = ("event_id", "status", "dur_ms")
+
+
+def ends_of(first, n, ok, retry, waits, took, max_attempts: int, budget_ms: float):
+    """For each request the index of the attempt that ends it, or -1: the
+    first success, error that is not retried, attempt past the deadline or
+    last attempt allowed. A request has ``n`` attempts, in order, from row
+    ``first`` on; of a row are given ok, retry, the waits after it by its
+    number, and the duration (NaN: unknown)."""
+    import numpy as np
+
+    end, spent = np.full(len(n), -1), np.zeros(len(n))
+    going = np.arange(len(n))
+    for i in range(max_attempts):
+        going = going[n[going] > i]
+        if not len(going):
+            break
+        row = first[going] + i
+        dur, again = took[row], retry[row]
+        late = spent[going] >= budget_ms
+        cut = ~late & (spent[going] + np.nan_to_num(dur) > budget_ms)
+        stop = late | (i + 1 >= max_attempts) | (~cut & (ok[row] | ~again))
+        end[going[stop]] = i
+        going, row, dur, again = (x[~stop] for x in (going, row, dur, again))
+        if len(going):
+            spent[going] += np.nan_to_num(dur + np.where(again, waits[i][row], 0.0))
+    return end
 
 
 def _micros(duration: str) -> int:
@@ -174,73 +188,106 @@ def _micros(duration: str) -> int:
     return int(n) * {"second": 10**6, "minute": 6 * 10**7, "hour": 36 * 10**8, "day": 864 * 10**8}[unit.rstrip("s")]
 
 
+def _to_stream(frame) -> bytes:
+    import pyarrow as pa
+
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_stream(data):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_pandas()
+
+
 def _follow(max_attempts: int, budget_ms: float, patience: int):
     """The requests of one bucket. Attempts wait until the watermark has
     passed them, so they are judged in the order of their times whatever the
     order in which they came."""
+    carried = [f.split()[0] for f in CARRIED.split(", ")]
 
     def follow(key, frames, state):
-        import json
-
+        import numpy as np
         import pandas as pd
 
         now = state.getCurrentWatermarkMs() * 1000
-        old, ended = state.get if state.exists else ("", "[]")
-        closed = {r: last for r, last in json.loads(ended) if last + patience >= now}
-        open_: dict = {}
-        out = []
-
-        def hold(line):
-            x = json.loads(line)
-            open_.setdefault(x.get("req_id"), []).append((x["at"], x["event_id"], x, line))
-
-        for line in old.split("\n") if old else []:
-            hold(line)
-        for frame in [] if state.hasTimedOut else frames:
-            for at, line in zip(frame["at"].tolist(), frame["row"].tolist()):
-                if at <= now:
-                    out.append(("late", line))
-                    continue
-                hold(line)
-        for r, attempts in list(open_.items()):
-            attempts.sort(key=lambda x: x[:2])
-            if r not in closed:
-                ready = [x for x in attempts if x[0] <= now]
-                end = ends_at([(x["ok"], x["retry"], x["waits"], x.get("dur_ms")) for _, _, x, _ in ready], max_attempts, budget_ms)
-                if end < 0 and ready and ready[-1][0] + patience < now and (len(ready) == len(attempts) or attempts[len(ready)][0] > ready[-1][0] + patience):
-                    end = len(ready) - 1  # no further attempt came in time
-                if end < 0:
-                    continue
-                out.append(("closed", "\n".join(x[3] for x in attempts[: end + 1])))
-                closed[r] = attempts[-1][0]
-                attempts = attempts[end + 1 :]
-            out += [("after_end", x[3]) for x in attempts]
-            closed[r] = max([closed[r], *(x[0] for x in attempts)])
-            del open_[r]
-        if not (closed or open_):
-            state.remove()
+        old, ended = state.get if state.exists else (None, None)
+        fresh = [] if state.hasTimedOut else [f.drop(columns=["bucket", "clock"]) for f in frames]
+        for frame in fresh:
+            late = frame[(frame["at"] <= now).to_numpy()]
+            if len(late):
+                yield late[carried].assign(kind="late")
+        parts = [_from_stream(old)] if old else []
+        parts += [x for x in (f[(f["at"] > now).to_numpy()] for f in fresh) if len(x)]
+        marks = _from_stream(ended) if ended else pd.DataFrame({"request": np.array([], object), "last": np.array([], np.int64)})
+        marks = marks[(marks["last"] + patience >= now).to_numpy()]
+        due = []
+        if parts:
+            rows = pd.concat(parts, ignore_index=True)
+            code, names = pd.factorize(np.concatenate([rows["request"].to_numpy(object), marks["request"].to_numpy(object)]))
+            code, marked = code[: len(rows)], code[len(rows) :]
+            # a null event_id is first
+            order = np.lexsort((rows["event_id"], rows["nulls"] & 1 ^ 1, rows["at"], code))
+            rows, code = rows.take(order), code[order]
+            at = rows["at"].to_numpy(np.int64)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            n = np.diff(np.append(first, len(code)))
+            ready = np.add.reduceat((at <= now).astype(np.int64), first)
+            last = at[first + n - 1]
+            over = np.isin(code[first], marked)
+            took = np.where(rows["nulls"] & 4, np.nan, rows["dur_ms"])
+            ok, retry = (rows[c].to_numpy(bool) for c in ("ok", "retry"))
+            waits = [rows[f"wait{i}"].to_numpy(float) for i in range(max_attempts - 1)]
+            end = ends_of(first, np.where(over, 0, ready), ok, retry, waits, took, max_attempts, budget_ms)
+            # no further attempt came in time
+            limit = at[first + np.maximum(ready, 1) - 1] + patience
+            following = at[first + np.minimum(ready, n - 1)]
+            idle = ~over & (end < 0) & (ready > 0) & (limit < now) & ((ready == n) | (following > limit))
+            end = np.where(idle, ready - 1, end)
+            done = over | (end >= 0)
+            place = np.arange(len(code)) - np.repeat(first, n)
+            kind = np.where(place <= np.repeat(end, n), "closed", "after_end").astype(object)
+            gone = np.repeat(done, n)
+            if gone.any():
+                yield rows[gone][carried].assign(kind=kind[gone])
+            rows = rows[~gone]
+            if done.any():
+                marks = pd.concat([marks, pd.DataFrame({"request": names[code[first[done]]], "last": last[done]})]).groupby("request", sort=False, as_index=False)["last"].max()
+            still = np.where(ready < n, following, last + patience + 1)[~done]
+            due += [int(still.min())] if len(still) else []
         else:
-            state.update(("\n".join(x[3] for v in open_.values() for x in v), json.dumps(list(closed.items()))))
-            due = [last + patience + 1 for last in closed.values()]
-            due += [next((x[0] for x in v if x[0] > now), v[-1][0] + patience + 1) for v in open_.values()]
-            state.setTimeoutTimestamp(max(min(due) // 1000, now // 1000 + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["kind", "attempts"])
+            rows = ()
+        if not (len(rows) or len(marks)):
+            state.remove()
+            return
+        due += [int(marks["last"].min()) + patience + 1] if len(marks) else []
+        state.update((_to_stream(rows) if len(rows) else None, _to_stream(marks) if len(marks) else None))
+        state.setTimeoutTimestamp(max(min(due) // 1000, now // 1000 + 1))
 
     return follow
 
 
+def buckets_for(rows: int) -> int:
+    """Keys of the state for a log of so many attempts."""
+    return max(BUCKETS, rows // 50_000)
+
+
 def request_events(attempts: DataFrame, cfg: Limits = DEFAULTS, timeout_secs: int = DEFAULTS.fetch_timeout_secs,
                    delay: str = DELAY, patience: str = PATIENCE, jitter: bool = True, buckets: int = BUCKETS) -> DataFrame:
-    """(kind, attempts as lines of JSON): ``closed`` with the attempts of a
-    request up to the one that ended it; ``late``, an attempt behind the
-    watermark; ``after_end``, one that came after the request had ended.
+    """Attempts (``CARRIED``) with their kind: ``closed``, those of a request
+    up to the one that ended it; ``late``, an attempt behind the watermark;
+    ``after_end``, one that came after the request had ended.
 
     Keyed state with event-time timers: for each request its attempts until
     they can be judged, then for ``patience`` a mark that it has ended. A call
     of the state function costs far more than a request, so requests share
-    ``buckets`` keys by a hash of their id; take about one for a thousand
-    requests that are open or ended within the patience. A request
+    ``buckets`` keys by a hash of their id, and a call judges all requests of
+    its key at once; take so many that what a key holds is small in memory
+    (``buckets_for``). A request
     that got no further attempt for ``patience`` is closed as it stands. An
     abort by the caller is an attempt row with the message 'Request aborted';
     it ends the request like any error that is not retried."""
@@ -251,19 +298,26 @@ def request_events(attempts: DataFrame, cfg: Limits = DEFAULTS, timeout_secs: in
     clock = attempts.withColumn("clock", F.col("ts") + F.expr(f"interval {PUT_OFF}")).withWatermark("clock", f"{PUT_OFF} {delay}")
     c = classify_attempts(clock, cfg)
     # the place of an attempt in its request is known in the state only
-    waits = F.array(*[F.coalesce("retry_after_ms", backoff_ms(F.lit(i), cfg, F.col("req_id") if jitter else None)) for i in range(max_attempts)])
-    row = F.struct("req_id", *ATTEMPT.names, F.unix_micros("ts").alias("at"), F.col("error_message").isNull().alias("ok"), "retry", waits.alias("waits"))
-    rows = c.select(F.pmod(F.xxhash64("req_id"), F.lit(buckets)).alias("bucket"), "clock", F.unix_micros("ts").alias("at"), F.to_json(row, JSON_TIME).alias("row"))
+    waits = [F.coalesce("retry_after_ms", backoff_ms(F.lit(i), cfg, F.col("req_id") if jitter else None)) for i in range(max_attempts - 1)]
+    no_time = F.raise_error(F.lit("an attempt has no time")).cast("bigint")
+    typed = {f.name: F.col(f.name).cast(f.dataType) for f in ATTEMPT.fields}
+    nulls = sum((F.when(typed[x].isNull(), 1 << i).otherwise(0) for i, x in enumerate(NULLABLE)), F.lit(0))
+    rows = c.select(
+        F.pmod(F.xxhash64("req_id"), F.lit(buckets)).alias("bucket"), "clock", F.coalesce(F.unix_micros("ts"), no_time).alias("at"),
+        F.coalesce(F.concat(F.lit("="), F.col("req_id").cast("string")), F.lit("")).alias("request"),
+        *[(F.coalesce(typed[x], F.lit(0)) if x in NULLABLE else typed[x]).alias(x) for x in ATTEMPT.names if x != "ts"], nulls.alias("nulls"),
+        F.col("error_message").isNull().alias("ok"), "retry", *[w.alias(f"wait{i}") for i, w in enumerate(waits)],
+    )
     return rows.groupBy("bucket").applyInPandasWithState(
-        _follow(max_attempts, timeout_secs * 1000.0, _micros(patience)), "kind string, attempts string", STATE, "append", "EventTimeTimeout",
+        _follow(max_attempts, timeout_secs * 1000.0, _micros(patience)), f"{CARRIED}, kind string", STATE, "append", "EventTimeTimeout",
     )
 
 
 def attempt_rows(events: DataFrame, req_type: str, *keep: str) -> DataFrame:
-    """The attempts of a column of lines of JSON as rows again."""
-    kind = T.StructType([T.StructField("req_id", T._parse_datatype_string(req_type)), *ATTEMPT.fields])
-    rows = events.select(*keep, F.explode(F.split("attempts", "\n")).alias("a"))
-    return rows.withColumn("a", F.from_json("a", kind, JSON_TIME)).select(*keep, "a.*")
+    """The attempts as they were in the log."""
+    values = {"ts": F.timestamp_micros("at")} | {x: F.when(F.col("nulls").bitwiseAND(1 << i) == 0, F.col(x)) for i, x in enumerate(NULLABLE)}
+    req = F.when(F.col("request") != "", F.substring("request", 2, 2**31 - 1)).cast(req_type)
+    return events.select(*keep, req.alias("req_id"), *[values.get(x, F.col(x)).alias(x) for x in ATTEMPT.names])
 
 
 def stream_request_state(attempts: DataFrame, out: str, late: str, ckpt: str, cfg: Limits = DEFAULTS,
@@ -275,7 +329,8 @@ def stream_request_state(attempts: DataFrame, out: str, late: str, ckpt: str, cf
     (D10), so stream and batch cannot differ. Attempts behind the watermark
     and those of closed requests go to ``late`` with the reason. Each
     micro-batch overwrites a folder named by its id, so a replayed batch is
-    idempotent; a restarted query goes on from its checkpoint."""
+    idempotent; a restarted query goes on from its checkpoint, with the same
+    ``buckets``."""
 
     def per_batch(events: DataFrame, batch_id: int) -> None:
         events = events.persist()
@@ -291,6 +346,17 @@ def stream_request_state(attempts: DataFrame, out: str, late: str, ckpt: str, cf
     q.awaitTermination()
 
 
+def _held_rows(batches):
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    carried = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in CARRIED.split(", "))])
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            # a column of nulls has no type in pandas
+            yield from pa.ipc.open_stream(pa.py_buffer(data)).read_all().select(carried.names).cast(carried).to_batches()
+
+
 def close_open_requests(spark: SparkSession, out: str, ckpt: str, cfg: Limits = DEFAULTS,
                         timeout_secs: int = DEFAULTS.fetch_timeout_secs, jitter: bool = True, req_type: str = "bigint") -> None:
     """At the end of a log: the outcomes of the requests that the state store
@@ -298,7 +364,7 @@ def close_open_requests(spark: SparkSession, out: str, ckpt: str, cfg: Limits =
     They are those with no attempt that ends them, and those whose last
     attempts the watermark had not reached."""
     state = spark.read.format("statestore").load(ckpt)
-    still = state.select(F.col("value.groupState.held").alias("attempts")).where("attempts <> ''")
+    still = state.select(F.col("value.groupState.held").alias("held")).where("held is not null").mapInArrow(_held_rows, CARRIED)
     final_outcome(attempt_rows(still, req_type), cfg, jitter, timeout_secs).write.mode("overwrite").parquet(f"{out}/batch=-1")
 
 
