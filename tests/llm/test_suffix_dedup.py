@@ -86,6 +86,31 @@ def test_by_hand(spark, monkeypatch, length, share, most):
     assert sorted(rows_of(m.remove_repeats(docs, length=length))) == want
 
 
+def test_texts_are_shuffled_once(spark, monkeypatch, tmp_path):
+    """Segments, windows and what is left are taken from one shuffle of the
+    texts, also where an anchor has too many segments (op11, disk)."""
+    from webtide.llm import suffix_dedup as m
+
+    monkeypatch.setattr(m, "SHARE", 8)
+    monkeypatch.setattr(m, "MOST", 3)
+    rows = list(enumerate(shared_texts(7, 250)))
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        left = m.remove_repeats(spark.read.parquet(path))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert sorted(rows_of(left)) == by_hand(rows, 100)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # for segments, for windows and for what is left
+    assert plan.count("SortMergeJoin") == 3
+    assert plan.count("FileScan parquet") == 1 and plan.count("ReusedExchange") >= 2, plan
+
+
 def test_sorting_finds_repeats(spark):
     """Different segments of one anchor: only the sorted suffixes show what
     they share."""

@@ -296,7 +296,7 @@ def _meet(most: int):
 
 def _met(keyed: DataFrame) -> DataFrame:
     order = ["akey", "skey", "id", "h", "at"]
-    return stored(keyed.repartition("akey").sortWithinPartitions(*order).mapInArrow(_meet(MOST), "kind int, akey long, id long, h long, at long"))
+    return keyed.repartition("akey").sortWithinPartitions(*order).mapInArrow(_meet(MOST), "kind int, akey long, id long, h long, at long")
 
 
 def _cut_segments(length: int):
@@ -543,15 +543,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     texts = docs.select(own.alias("own"), F.coalesce(own, F.lit(_NO_ID)).alias("id"), F.xxhash64(text, own.isNull()).alias("h"), text.alias("text"))
     searched = texts.where(F.octet_length("text") >= length).select("id", "h", "text")
+    # all that is fetched from texts below, and what is left of them, comes
+    # from this one shuffle: with the same columns each time, and nothing
+    # filtered before it, Spark writes it once
+    dealt = texts.repartition("id", "h")
 
-    met = _met(searched.mapInArrow(_anchors(length, heavy_anchors(searched, length)), KEYED))
+    met = stored(_met(searched.mapInArrow(_anchors(length, heavy_anchors(searched, length)), KEYED)))
     place = F.shiftright("at", 14)
     plain = met.where("kind = 0").select("id", "h", place.alias("start"), (place + F.col("at").bitwiseAND(127) + F.lit(length)).alias("stop"))
     found = [plain]
 
     def asked(kind: int) -> DataFrame:
         wanted = met.where(F.col("kind") == kind).groupBy("id", "h").agg(F.collect_list(F.struct("akey", "at")).alias("wanted"))
-        return searched.join(wanted, ["id", "h"]).select("id", "h", "text", "wanted")
+        return dealt.join(wanted, ["id", "h"]).select("own", "id", "h", "text", "wanted")
 
     parts = asked(1).mapInArrow(_cut_segments(length), "akey long, id long, h long, place long, part binary")
     found.append(parts.repartition("akey").sortWithinPartitions("akey").mapInArrow(_sort_segments(length), "id long, h long, start long, stop long"))
@@ -563,6 +567,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for more in found[1:]:
         every = every.union(more)
     spans = every.groupBy("id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    rows = texts.repartition("id", "h").join(spans, ["id", "h"], "left").withColumn("length", F.lit(length)).sortWithinPartitions("id", "h")
+    rows = dealt.join(spans, ["id", "h"], "left").withColumn("length", F.lit(length)).sortWithinPartitions("id", "h")
     left = rows.select("own", "id", "h", "text", "found", "length").mapInArrow(_remove, "own long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
     return left.select(F.col("own").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "spans", "kept")
